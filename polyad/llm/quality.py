@@ -31,6 +31,10 @@ PER_ROUND = 200
 CONFIDENT = 0.95
 #: A feature counts once so many training rows have it.
 MIN_ROWS = 5
+#: ... and if its share of good rows is so many standard deviations off the share of all rows, so that long texts aren't judged by chance words.
+DEVIATIONS = 4
+#: Bytes of the stems that stand for inflected words.
+STEMS = (4, 5)
 KEEP_FROM = 0.5
 META = ("lang", "source", "n_chars")
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -42,7 +46,7 @@ def _bucket(x: float, *bounds: float) -> int:
 
 
 def text_features(text: bytes) -> set[bytes]:
-    """Distinct lower-cased words without marks, and buckets of what the writing looks like; these start with a blank."""
+    """Distinct lower-cased words without marks, their stems, and buckets of what the writing looks like; these start with a blank."""
     n = max(1, len(text))
     plain = text.translate(None, _MARKS).lower().split()
     words, m = set(plain), max(1, len(plain))
@@ -56,7 +60,8 @@ def text_features(text: bytes) -> set[bytes]:
         "words": _bucket(m, 1, 4, 16, 64, 256, 1024, 4096),
         "length": _bucket(n / m, 3, 5, 7, 10, 15),
     } | {f"mark{c.decode()}": _bucket(v, 0, 0.002, 0.01, 0.03, 0.1) for c, v in marks.items()}
-    return words | {f" {k}={v}".encode() for k, v in shape.items()}
+    stems = {w[:k] + b"*" for k in STEMS for w in words if len(w) > k}
+    return words | stems | {f" {k}={v}".encode() for k, v in shape.items()}
 
 
 def meta_features(values: dict) -> set[bytes]:
@@ -72,8 +77,9 @@ class Classifier:
         self.bias, self.scale, self.shift = 0.0, 1.0, 0.0
 
     def fit(self, rows: list[set[bytes]], labels: list[int], steps: int = 120, l2: float = 2e-4) -> Classifier:
-        count = Counter(f for r in rows for f in r)
-        names = sorted(f for f, c in count.items() if c >= MIN_ROWS)
+        count, good = Counter(f for r in rows for f in r), Counter(f for r, g in zip(rows, labels) if g for f in r)
+        base = min(max(sum(labels) / len(labels), 1e-3), 1 - 1e-3)
+        names = sorted(f for f, c in count.items() if c >= MIN_ROWS and abs(good[f] - c * base) >= DEVIATIONS * math.sqrt(c * base * (1 - base)))
         at = {f: i for i, f in enumerate(names)}
         cols = [np.fromiter((at[f] for f in r if f in at), np.int64) for r in rows]
         index, owner = np.concatenate([*cols, np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), list(map(len, cols)))
