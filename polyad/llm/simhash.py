@@ -131,3 +131,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = materialize(of.groupBy("c").agg(F.min("rep").alias("component_id")), "component-min")
     of = materialize(of.join(least, "c").select("fp", "component_id"), "fingerprint-component")
     return fps.join(of, "fp").select(id_back("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back("component_id").alias("component_id"))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """The rows with the smallest id of each component, with all their columns. Rows that repeat a kept id all stay."""
+    found = near_duplicates(df, id_col, text_col, words, radius)
+    dropped = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_of(id_col).alias("__dropped_id"))
+    return df.join(dropped, id_of(id_col) == F.col("__dropped_id"), "left_anti")
