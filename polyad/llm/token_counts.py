@@ -22,6 +22,8 @@ from polyad.llm.common import without
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 #: Characters with Unicode's White_Space property.
 BLANK = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: Characters of the texts that the library encodes at a time; its encodings take some hundred times as many bytes.
+GROUP_CHARS = 1 << 16
 ADDED = ("n_bytes", "n_tokens", "over_limit")
 
 
@@ -74,9 +76,13 @@ def count_tokens(df: DataFrame, path: str, cache: str, text_col: str = "text", l
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
         for batch in batches:
-            texts, counts = batch.column(1), []
-            for at in range(0, batch.num_rows, 64):
-                counts += count(texts.slice(at, 64).to_pylist())
+            counts, group, size = [], [], 0
+            for text in batch.column(1):
+                group.append(text.as_py())
+                size += len(group[-1])
+                if size > GROUP_CHARS:
+                    counts, group, size = counts + count(group), [], 0
+            counts += count(group)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * batch.num_rows, pa.string()), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
     distinct.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
