@@ -20,8 +20,10 @@ from pyspark.sql.utils import AnalysisException
 from polyad.llm.common import without
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
-#: Characters with Unicode's White_Space property.
-BLANK = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: Characters with Unicode's White_Space property, but for the space.
+OTHER_BLANK = r"\x{9}-\x{D}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Runs of white space that aren't one space already.
+BLANK = rf"[{OTHER_BLANK}][{OTHER_BLANK} ]*| [{OTHER_BLANK} ]+"
 #: Characters of the texts that the library encodes at a time; its encodings take some hundred times as many bytes.
 GROUP_CHARS = 1 << 16
 ADDED = ("n_bytes", "n_tokens", "over_limit")
@@ -65,7 +67,7 @@ def count_tokens(df: DataFrame, path: str, cache: str, text_col: str = "text", l
     """
     df, spark, version = without(df, *ADDED), df.sparkSession, tokenizer_digest(path)
     keep = [c for c in df.columns if c != text_col]
-    rows = df.withColumns({"__text": normalised(F.col(text_col), blank_runs_count)}).withColumn("__digest", F.unhex(F.sha2("__text", 256)))
+    rows = df.withColumns({"__text": normalised(F.col(text_col), blank_runs_count)}).withColumn("__digest", F.coalesce(F.unhex(F.sha2("__text", 256)), F.lit(b"")))
     try:
         known = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version)
         misses = rows.join(known.select(F.col("digest").alias("__digest")), "__digest", "left_anti")
