@@ -5,6 +5,663 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from polyad.functions import text as T
+from polyad.functions.vocabulary import GENERIC_ACTORS, MENTION_LABELS
+from polyad.operators import articles as art
+from polyad.operators import curation, graph, mentions, relations, resolution, scoring, signed, topics
+from polyad.operators.components import roots
+from polyad.plans import fixtures as fx
+from polyad.schema import ACT_TYPES, NODE_TYPES
+from polyad.sources import lake
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None, *ctes: str) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL over these CTEs."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+        return f
+
+    return add
+
+
+def _rx(names: list[str]) -> str:
+    return T.alternation(names).replace("'", "''")
+
+
+TEXT = "lower(title || ' ' || body)"
+HITS = f"list_distinct(regexp_extract_all({TEXT}, '{_rx(fx.ACTORS)}', 1))"
+TERM_HITS = f"list_distinct(regexp_extract_all({TEXT}, '{_rx(fx.TERMS)}', 1))"
+EMPTY_TEXT = "lower(coalesce(title, '') || ' ' || body)"
+
+
+# The article lake.
+
+
+@query("SELECT article_id, src_id, source, publish_date, year, title FROM articles", fx.ARTICLES_SQL)
+def lake_dedup(spark, sf_dir):
+    return fx.articles(spark, sf_dir).select("article_id", "src_id", "source", "publish_date", "year", "title")
+
+
+@query(
+    f"SELECT article_id, src_id, publish_date FROM (SELECT md5(body) AS article_id, id AS src_id, {fx.DATED_SQL} AS publish_date FROM news WHERE length(trim(body)) > 0) QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY publish_date NULLS LAST, src_id) = 1",
+    fx.NEWS_SQL,
+)
+def lake_dedup_keep_earliest(spark, sf_dir):
+    rows = lake.has_body(lake.news_articles(fx.news(spark, sf_dir)))
+    return lake.dedup_articles(rows, F.col("publish_date").asc_nulls_last(), "src_id").select("article_id", "src_id", "publish_date")
+
+
+@query("SELECT year, count(*) AS n FROM articles GROUP BY year", fx.ARTICLES_SQL)
+def lake_stats_by_year(spark, sf_dir):
+    return art.counts_by_year(fx.articles(spark, sf_dir))
+
+
+@query("SELECT source, count(*) AS n FROM articles WHERE source IS NOT NULL GROUP BY source ORDER BY n DESC, source LIMIT 5", fx.ARTICLES_SQL)
+def lake_top_sources(spark, sf_dir):
+    return art.top_values(fx.articles(spark, sf_dir), 5)
+
+
+@query("SELECT article_id, year, source FROM articles WHERE year BETWEEN 2015 AND 2018 AND source IN ('src0', 'src3')", fx.ARTICLES_SQL)
+def lake_filter_year_topic(spark, sf_dir):
+    rows = fx.articles(spark, sf_dir).withColumnRenamed("source", "tema_local")
+    return art.load(rows, (2015, 2018), ["src0", "src3"]).select("article_id", "year", F.col("tema_local").alias("source"))
+
+
+@query("SELECT article_id FROM articles ORDER BY md5(article_id || '42'), article_id LIMIT 100", fx.ARTICLES_SQL)
+def lake_sample_md5(spark, sf_dir):
+    return art.load(fx.articles(spark, sf_dir), limit=100).select("article_id")
+
+
+@query(
+    "SELECT article_id, year FROM (SELECT article_id, year, row_number() OVER (PARTITION BY year ORDER BY substring(md5(article_id || '42'), 1, 12), article_id) AS rn FROM articles WHERE source <> 'src0') WHERE rn <= 3 + year % 4 AND year BETWEEN 2014 AND 2016",
+    fx.ARTICLES_SQL,
+)
+def lake_topup_quota(spark, sf_dir):
+    rows = fx.articles(spark, sf_dir)
+    quotas = spark.createDataFrame([(y, 3 + y % 4) for y in (2014, 2015, 2016)], "year int, need int")
+    return art.top_up(rows, rows.filter("source = 'src0'"), quotas).select("article_id", "year")
+
+
+@query(
+    "SELECT name, count(*) AS n FROM (SELECT lower(trim(s_name)) AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE length(trim(s_name)) >= 4 UNION ALL SELECT lower(trim(p_name)) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE length(trim(p_name)) >= 4) GROUP BY name ORDER BY n DESC, name LIMIT 50"
+)
+def gazetteer_rank(spark, sf_dir):
+    lines, s, p = (fx.table(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
+    rows = lines.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return art.gazetteer(rows, ("s_name", "p_name"), top=50)
+
+
+@query(f"SELECT article_id, array_to_string(list_sort({HITS}), ',') AS actors, array_to_string(list_sort({TERM_HITS}), ',') AS terms FROM articles WHERE len({HITS}) >= 2 OR len({TERM_HITS}) >= 3", fx.ARTICLES_SQL)
+def political_prefilter(spark, sf_dir):
+    rows = art.political(fx.articles(spark, sf_dir), fx.ACTORS, fx.TERMS)
+    return rows.select("article_id", F.array_join(F.sort_array("matched_actors"), ",").alias("actors"), F.array_join(F.sort_array("matched_lexicon"), ",").alias("terms"))
+
+
+@query(f"SELECT article_id, CAST(len({HITS}) AS BIGINT) AS n FROM articles WHERE len({HITS}) >= 2 AND year BETWEEN 2014 AND 2015", fx.ARTICLES_SQL)
+def political_actors_only(spark, sf_dir):
+    return art.political(fx.articles(spark, sf_dir), fx.ACTORS, years=(2014, 2015)).select("article_id", F.size("matched_actors").cast("long").alias("n"))
+
+
+@query(
+    f"SELECT year, count(*) AS total, CAST(sum(CASE WHEN len(list_distinct(regexp_extract_all({EMPTY_TEXT}, '{_rx(fx.ACTORS)}', 1))) >= 2 OR len(list_distinct(regexp_extract_all({EMPTY_TEXT}, '{_rx(fx.TERMS)}', 1))) >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS pol FROM articles GROUP BY year",
+    fx.ARTICLES_SQL,
+)
+def political_volume_by_year(spark, sf_dir):
+    return art.political_volume(fx.articles(spark, sf_dir), fx.ACTORS, fx.TERMS)
+
+
+@query("SELECT article_id, CAST(year AS VARCHAR) || '-H' || CASE WHEN month(publish_date) <= 6 THEN '1' ELSE '2' END AS period FROM articles", fx.ARTICLES_SQL)
+def period_half(spark, sf_dir):
+    return fx.articles(spark, sf_dir).select("article_id", T.period(F.col("publish_date"), "half", F.col("year")).alias("period"))
+
+
+@query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS body_tokens FROM documents")
+def body_tokens(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).cast("long").alias("body_tokens"))
+
+
+@query(f"SELECT doc_id, md5({fx.NORM_SQL.format('text')}) AS norm FROM documents")
+def normalize_text(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("norm"))
+
+
+@query(f"SELECT surface, trim(regexp_replace({fx.NORM_SQL.format('surface')}, '{T.ROLE_PREFIX}', '')) AS bare FROM surfaces", fx.SURFACES_SQL)
+def strip_role(spark, sf_dir):
+    return fx.surfaces(spark, sf_dir).select("surface", T.strip_role(T.normalize(F.col("surface"))).alias("bare"))
+
+
+@query(
+    "SELECT article_id, CASE WHEN rn - 1 < 0.6 * n THEN 'train' WHEN rn - 1 < 0.8 * n THEN 'dev' ELSE 'test' END AS split FROM (SELECT article_id, row_number() OVER (PARTITION BY source ORDER BY md5(article_id || '42'), article_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM articles)",
+    fx.ARTICLES_SQL,
+)
+def stratified_split(spark, sf_dir):
+    return art.stratified_split(fx.articles(spark, sf_dir), ["source"], "article_id").select("article_id", "split")
+
+
+@query("SELECT article_id FROM articles WHERE article_id NOT IN (SELECT article_id FROM articles WHERE year < 2016)", fx.ARTICLES_SQL)
+def resume_pending(spark, sf_dir):
+    rows = fx.articles(spark, sf_dir)
+    return lake.pending(rows, rows.filter("year < 2016")).select("article_id")
+
+
+@query("SELECT article_id FROM (SELECT article_id, row_number() OVER (ORDER BY year, article_id) - 1 AS i FROM articles) WHERE i % 4 = 1", fx.ARTICLES_SQL)
+def shard_slice(spark, sf_dir):
+    return lake.shard(fx.articles(spark, sf_dir).select("article_id", "year"), 1, 4, "year", "article_id").select("article_id")
+
+
+# Mentions.
+
+
+@query(
+    """SELECT article_id, CASE WHEN len(w) <= 50 THEN md5(body) ELSE md5(array_to_string(w[o + 1:o + 50], ' ')) END AS chunk, CAST(o AS INTEGER) AS word_offset
+FROM (SELECT *, unnest(CASE WHEN len(w) <= 50 THEN [0] ELSE range(0, len(w), 40) END) AS o FROM (SELECT article_id, body, list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '') AS w FROM articles))""",
+    fx.ARTICLES_SQL,
+)
+def ner_chunks(spark, sf_dir):
+    return mentions.chunks(fx.articles(spark, sf_dir), 50, 10).select("article_id", F.md5("chunk").alias("chunk"), "word_offset")
+
+
+LABEL_SQL = "CASE label " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MENTION_LABELS.items()) + " ELSE label END"
+
+
+@query(
+    f"""SELECT article_id, text, type, round(score, 3) AS score, CAST(instr(body, text) - 1 AS INTEGER) AS at FROM (
+  SELECT article_id, text, {LABEL_SQL} AS type, score, row_number() OVER (PARTITION BY article_id, lower(text), {LABEL_SQL} ORDER BY round(score, 3) DESC, ord) AS rn FROM mentions)
+JOIN bodies USING (article_id) WHERE rn = 1""",
+    fx.MENTIONS_SQL,
+    fx.RELATIONS_SQL,
+)
+def ner_merge(spark, sf_dir):
+    return mentions.merge(fx.mentions(spark, sf_dir), fx.bodies(spark, sf_dir)).select("article_id", "text", "type", "score", F.col("char_span.start").alias("at"))
+
+
+@query(
+    f"SELECT article_id, array_to_string(list_sort(list_distinct(list(text))), ',') AS actors FROM (SELECT *, {LABEL_SQL} AS type FROM mentions) WHERE type IN ({', '.join(repr(t) for t in NODE_TYPES)}) GROUP BY article_id HAVING count(DISTINCT text) >= 2",
+    fx.MENTIONS_SQL,
+)
+def actors_per_article(spark, sf_dir):
+    typed = fx.mentions(spark, sf_dir).withColumn("type", F.coalesce(F.create_map(*[F.lit(x) for kv in MENTION_LABELS.items() for x in kv])[F.col("label")], F.col("label")))
+    return mentions.actors_per_article(typed).select("article_id", F.array_join("actors", ",").alias("actors"))
+
+
+@query(
+    "SELECT surface, type, CAST(freq AS BIGINT) AS freq FROM (SELECT text AS surface, label AS type, sum(count(*)) OVER (PARTITION BY text) AS freq, row_number() OVER (PARTITION BY text ORDER BY count(*) DESC, label) AS rn FROM mentions GROUP BY text, label) WHERE rn = 1",
+    fx.MENTIONS_SQL,
+)
+def majority_type(spark, sf_dir):
+    return mentions.majority_type(fx.mentions(spark, sf_dir).withColumnRenamed("label", "type"))
+
+
+@query("SELECT surface, count(*) AS freq FROM (SELECT from_entity AS surface FROM relations UNION ALL SELECT to_entity FROM relations) WHERE surface IS NOT NULL GROUP BY surface", fx.RELATIONS_SQL)
+def surface_freq(spark, sf_dir):
+    return resolution.surface_freq(fx.relations(spark, sf_dir))
+
+
+_SYSTEMS_SQL = "a AS (SELECT DISTINCT article_id, lower(text) AS w, label FROM mentions WHERE ord % 3 <> 0), b AS (SELECT DISTINCT article_id, lower(text) AS w, label FROM mentions WHERE ord % 4 <> 0)"
+
+
+@query(
+    """SELECT count(*) AS articles, round(avg(j), 6) AS mean_jaccard, CAST(sum(lost) AS BIGINT) AS lost, CAST(sum(gained) AS BIGINT) AS gained FROM (
+  SELECT article_id, count(*) FILTER (WHERE ia AND ib) * 1.0 / count(*) AS j, count(*) FILTER (WHERE ib IS NULL) AS lost, count(*) FILTER (WHERE ia IS NULL) AS gained
+  FROM (SELECT *, true AS ia FROM a) FULL JOIN (SELECT *, true AS ib FROM b) USING (article_id, w, label) GROUP BY article_id)""",
+    fx.MENTIONS_SQL,
+    _SYSTEMS_SQL,
+)
+def ner_parity_jaccard(spark, sf_dir):
+    rows = fx.mentions(spark, sf_dir).withColumnRenamed("label", "type")
+    return mentions.parity(rows.filter("ord % 3 <> 0"), rows.filter("ord % 4 <> 0")).withColumn("mean_jaccard", F.round("mean_jaccard", 6))
+
+
+@query(
+    """SELECT 'a' AS system, (SELECT count(*) FROM mentions WHERE ord % 3 <> 0) AS mentions, (SELECT count(*) FROM bodies WHERE article_id NOT IN (SELECT article_id FROM a)) AS empty_articles, (SELECT count(DISTINCT w) FROM a) AS vocabulary, (SELECT count(DISTINCT w) FROM a WHERE w NOT IN (SELECT w FROM b)) AS only_here
+UNION ALL SELECT 'b', (SELECT count(*) FROM mentions WHERE ord % 4 <> 0), (SELECT count(*) FROM bodies WHERE article_id NOT IN (SELECT article_id FROM b)), (SELECT count(DISTINCT w) FROM b), (SELECT count(DISTINCT w) FROM b WHERE w NOT IN (SELECT w FROM a))""",
+    fx.MENTIONS_SQL,
+    fx.RELATIONS_SQL,
+    _SYSTEMS_SQL,
+)
+def ner_compare(spark, sf_dir):
+    rows = fx.mentions(spark, sf_dir)
+    return mentions.compare(rows.filter("ord % 3 <> 0"), rows.filter("ord % 4 <> 0"), fx.bodies(spark, sf_dir)).drop("mean_per_article")
+
+
+# Relations.
+
+
+@query(
+    "SELECT article_id, ord, length(trim(evidence_quote)) >= 8 AND contains(body, trim(evidence_quote)) AS passed FROM (SELECT article_id, ord, regexp_replace(evidence_quote, '^\\s+|\\s+$', '', 'g') AS evidence_quote FROM relations) JOIN bodies USING (article_id)",
+    fx.RELATIONS_SQL,
+)
+def evidence_gate(spark, sf_dir):
+    return relations.evidence_gate(fx.relations(spark, sf_dir), fx.bodies(spark, sf_dir)).select("article_id", "ord", "passed")
+
+
+@query("SELECT article_id, ord, from_entity, to_entity, act_type, polarity, evidence_quote FROM relations WHERE CAST(substring(article_id, 2) AS BIGINT) % 13 <> 0", fx.RELATIONS_SQL)
+def relations_explode(spark, sf_dir):
+    rows = fx.relations(spark, sf_dir)
+    fields = ["from_entity", "to_entity", "act_type", "polarity", "issue", "evidence_quote"]
+    sorted_ = F.transform(F.sort_array(F.collect_list(F.struct("ord", *fields))), lambda r: F.struct(*[r[f].alias(f) for f in fields]))
+    replies = rows.groupBy("article_id").agg(F.concat(F.lit("```json\n"), F.to_json(F.struct(sorted_.alias("relations"))), F.lit("\n```")).alias("text"))
+    broken = F.substring("article_id", 2, 20).cast("long") % 13 == 0
+    return relations.explode_replies(replies.withColumn("text", F.when(broken, "no JSON").otherwise(F.col("text")))).drop("issue")
+
+
+@query(
+    f"""SELECT rule, count(*) AS n FROM (
+  SELECT CASE WHEN broken IS NOT NULL THEN broken WHEN row_number() OVER (PARTITION BY article_id, broken IS NULL, from_entity, to_entity, act_type, polarity ORDER BY ord) > 1 THEN 'duplicate' ELSE 'passed' END AS rule FROM (
+    SELECT r.*, CASE WHEN from_entity IS NULL OR to_entity IS NULL OR act_type IS NULL OR polarity IS NULL THEN 'missing_fields'
+      WHEN act_type NOT IN ({", ".join(repr(a) for a in ACT_TYPES)}) THEN 'invalid_act_type' WHEN polarity NOT IN ('positive', 'negative', 'neutral') THEN 'invalid_polarity'
+      WHEN from_entity = to_entity THEN 'self_loop' WHEN NOT contains(body, q) THEN 'quote_not_in_body' WHEN length(q) < 8 THEN 'quote_too_short' END AS broken
+    FROM (SELECT *, regexp_replace(evidence_quote, '^\\s+|\\s+$', '', 'g') AS q FROM relations) r JOIN bodies USING (article_id))) GROUP BY rule""",
+    fx.RELATIONS_SQL,
+)
+def validation_waterfall(spark, sf_dir):
+    rules = relations.Rules(normalize_passive=False, max_per_article=None)
+    return relations.waterfall(relations.validate(fx.relations(spark, sf_dir), fx.bodies(spark, sf_dir), rules))
+
+
+_DICTIONARY_SQL = f"dictionary AS (SELECT form, arg_min(node_id, prio || node_id) AS node_id FROM (SELECT surface_norm AS form, node_id, '0' AS prio FROM aliases UNION ALL SELECT {fx.NORM_SQL.format('canonical')}, node_id, '1' FROM nodes) WHERE form <> '' GROUP BY form)"
+
+
+@query("SELECT * FROM dictionary", fx.NODES_SQL, fx.ALIASES_SQL, _DICTIONARY_SQL)
+def alias_dictionary(spark, sf_dir):
+    return relations.alias_dictionary(fx.aliases(spark, sf_dir), fx.nodes(spark, sf_dir))
+
+
+_LINKED_SQL = f"""linked AS (SELECT r.*, f.node_id AS from_node_id, t.node_id AS to_node_id, publish_date,
+  CASE WHEN d.article_id IS NULL THEN 'unknown_article' WHEN f.node_id IS NULL OR t.node_id IS NULL THEN 'unresolved' WHEN f.node_id = t.node_id THEN 'self_loop'
+       WHEN coalesce(polarity, '') NOT IN ('positive', 'negative', 'neutral') OR coalesce(act_type, '') = '' THEN 'unresolved' ELSE 'linked' END AS outcome
+  FROM (SELECT * FROM relations WHERE act_type <> 'co_occurs' OR act_type IS NULL) r LEFT JOIN (SELECT 'd' || doc_id AS article_id, DATE '2014-01-01' + CAST(doc_id % 4380 AS INTEGER) AS publish_date FROM documents WHERE doc_id % 19 <> 0) d USING (article_id)
+  LEFT JOIN dictionary f ON f.form = {fx.NORM_SQL.format('from_entity')} LEFT JOIN dictionary t ON t.form = {fx.NORM_SQL.format('to_entity')})"""
+_LINK_CTES = (fx.RELATIONS_SQL, fx.NODES_SQL, fx.ALIASES_SQL, _DICTIONARY_SQL, _LINKED_SQL)
+
+
+def _linked(spark, sf_dir):
+    d = F.col("doc_id")
+    known = fx.table(spark, sf_dir, "documents").filter(d % 19 != 0).select(F.concat(F.lit("d"), d.cast("string")).alias("article_id"), F.date_add(F.lit("2014-01-01").cast("date"), (d % 4380).cast("int")).alias("publish_date"))
+    words = relations.alias_dictionary(fx.aliases(spark, sf_dir), fx.nodes(spark, sf_dir))
+    return relations.link(relations.signed_acts(fx.relations(spark, sf_dir)), words, known)
+
+
+@query("SELECT article_id, ord, from_node_id, to_node_id, publish_date, outcome FROM linked", *_LINK_CTES)
+def edges_link(spark, sf_dir):
+    return _linked(spark, sf_dir).select("article_id", "ord", "from_node_id", "to_node_id", "publish_date", "outcome")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE outcome = 'unresolved') AS unresolved, round(100.0 * count(*) FILTER (WHERE outcome <> 'unresolved') / count(*), 6) AS link_rate, round(100.0 * count(*) FILTER (WHERE outcome = 'linked') / count(*), 6) AS strict_rate FROM linked", *_LINK_CTES)
+def link_rate(spark, sf_dir):
+    return relations.link_rate(_linked(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("link_rate", "strict_rate")})
+
+
+@query(
+    "SELECT from_node_id, to_node_id, article_id, act_type, polarity, publish_date, CAST(year(publish_date) AS VARCHAR) AS period FROM linked WHERE outcome = 'linked' QUALIFY row_number() OVER (PARTITION BY from_node_id, to_node_id, article_id, act_type ORDER BY ord) = 1",
+    *_LINK_CTES,
+)
+def edges_dedup_keep_first(spark, sf_dir):
+    return relations.edges(_linked(spark, sf_dir), "run", ["ord"]).select("from_node_id", "to_node_id", "article_id", "act_type", "polarity", "publish_date", "period")
+
+
+@query("SELECT *, row_number() OVER (ORDER BY from_node_id, to_node_id, article_id, act_type) - 1 AS edge_id FROM (SELECT DISTINCT from_node_id, to_node_id, article_id, act_type FROM edges)", fx.EDGES_SQL)
+def edges_numbered(spark, sf_dir):
+    keys = ["from_node_id", "to_node_id", "article_id", "act_type"]
+    return relations.numbered(fx.edges(spark, sf_dir).select(*keys).distinct(), "edge_id", *keys)
+
+
+@query("SELECT * FROM edges", fx.EDGES_SQL)
+def edges_build(spark, sf_dir):
+    return fx.edges(spark, sf_dir)
+
+
+@query(
+    f"SELECT article_id, ord, text, coalesce(a.node_id, d.node_id) AS node_id FROM mentions m LEFT JOIN (SELECT DISTINCT text, 'A' || substring(md5(text), 1, 4) AS node_id FROM mentions WHERE length(text) % 5 = 0) a USING (text) LEFT JOIN (SELECT DISTINCT {fx.NORM_SQL.format('text')} AS form, 'D' AS node_id FROM mentions WHERE length(text) % 3 = 0) d ON d.form = {fx.NORM_SQL.format('text')} WHERE coalesce(a.node_id, d.node_id) IS NOT NULL",
+    fx.MENTIONS_SQL,
+)
+def mention_link(spark, sf_dir):
+    rows = fx.mentions(spark, sf_dir)
+    assign = rows.filter(F.length("text") % 5 == 0).select(F.col("text").alias("surface"), F.concat(F.lit("A"), F.substring(F.md5("text"), 1, 4)).alias("node_id")).distinct()
+    words = rows.filter(F.length("text") % 3 == 0).select(T.normalize(F.col("text")).alias("form"), F.lit("D").alias("node_id")).distinct()
+    return relations.resolve_mentions_to_nodes(rows, assign, words).select("article_id", "ord", "text", "node_id")
+
+
+_PROMPT_SQL = "chars AS (SELECT article_id, body, array_to_string(list_sort(list_distinct(list(text))), ', ') AS actors FROM mentions JOIN bodies USING (article_id) GROUP BY article_id, body)"
+
+
+@query("SELECT article_id AS key, md5('" + relations.PROMPT[0].replace("\n", "' || chr(10) || '") + "' || substring(body, 1, 6000) || '" + relations.PROMPT[1].replace("\n", "' || chr(10) || '") + "' || actors || '" + relations.PROMPT[2].replace("\n", "' || chr(10) || '") + "') AS prompt FROM chars", fx.MENTIONS_SQL, fx.RELATIONS_SQL, _PROMPT_SQL)
+def prompt_jsonl(spark, sf_dir):
+    actors = fx.mentions(spark, sf_dir).groupBy("article_id").agg(F.sort_array(F.collect_set("text")).alias("actors"))
+    lines = lake.request_lines(relations.prompts(fx.bodies(spark, sf_dir), actors), "system")
+    return lines.select(F.get_json_object("value", "$.key").alias("key"), F.md5(F.get_json_object("value", "$.request.contents[0].parts[0].text")).alias("prompt"))
+
+
+@query("SELECT count(*) AS items, sum(1000 + length(substring(body, 1, 6000)) + length(actors)) / 4.0 AS in_tokens, count(*) * 600 AS out_tokens, round(sum(1000 + length(substring(body, 1, 6000)) + length(actors)) / 4.0 / 1e6 * 0.15 + count(*) * 600 / 1e6 * 0.6, 6) AS cost FROM chars", fx.MENTIONS_SQL, fx.RELATIONS_SQL, _PROMPT_SQL)
+def cost_estimate(spark, sf_dir):
+    actors = fx.mentions(spark, sf_dir).groupBy("article_id").agg(F.sort_array(F.collect_set("text")).alias("actors"))
+    return relations.cost_estimate(fx.bodies(spark, sf_dir), actors, 1000, 0.15, 0.6).select("items", F.col("in_tokens").cast("double").alias("in_tokens"), "out_tokens", F.round("cost", 6).alias("cost"))
+
+
+@query("SELECT conv_id || '-' || turn AS key, CASE WHEN turn % 3 = 2 THEN '' ELSE text END AS text FROM conversations")
+def batch_responses(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "conversations")
+    whole = F.struct(F.array(F.struct(F.struct(F.array(F.struct(F.col("text"))).alias("parts")).alias("content"))).alias("candidates"))
+    key = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    lines = rows.select(F.when(F.col("turn") % 3 == 2, F.to_json(F.struct(key.alias("key")))).otherwise(F.to_json(F.struct(key.alias("key"), whole.alias("response")))).alias("value"))
+    return lake.response_lines(lines)
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props(spark, sf_dir):
+    return fx.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+# The graph.
+
+
+_ENDS_SQL = "ends AS (SELECT from_node_id AS node_id, polarity FROM edges UNION ALL SELECT to_node_id, polarity FROM edges)"
+_DEGREE_SQL = """degrees AS (SELECT node_id, canonical, node_type, CAST(coalesce(sum(CASE WHEN polarity = 'positive' THEN 1 ELSE 0 END), 0) AS BIGINT) AS pos_degree,
+  CAST(coalesce(sum(CASE WHEN polarity = 'negative' THEN 1 ELSE 0 END), 0) AS BIGINT) AS neg_degree, count(polarity) AS degree FROM nodes LEFT JOIN ends USING (node_id) GROUP BY ALL)"""
+_GRAPH = (fx.NODES_SQL, fx.EDGES_SQL, _ENDS_SQL, _DEGREE_SQL)
+
+
+def _graph(spark, sf_dir):
+    return fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir)
+
+
+def _ranked(spark, sf_dir):
+    return graph.with_degree(*_graph(spark, sf_dir))
+
+
+@query("SELECT * FROM degrees", *_GRAPH)
+def signed_degree_table(spark, sf_dir):
+    return graph.signed_degree(*_graph(spark, sf_dir))
+
+
+@query(
+    "SELECT node_id, canonical, node_type, CAST(sum(CASE WHEN polarity = 'positive' THEN 1 ELSE 0 END) AS BIGINT) AS pos_degree, CAST(sum(CASE WHEN polarity = 'negative' THEN 1 ELSE 0 END) AS BIGINT) AS neg_degree, count(*) AS degree FROM nodes JOIN (SELECT from_node_id AS node_id, polarity FROM edges UNION ALL SELECT to_node_id, polarity FROM edges WHERE from_node_id <> to_node_id) USING (node_id) GROUP BY ALL",
+    fx.NODES_SQL,
+    fx.EDGES_SQL,
+)
+def signed_degree_view(spark, sf_dir):
+    return graph.signed_degree_view(*_graph(spark, sf_dir))
+
+
+@query(f"SELECT from_node_id, to_node_id, period, CAST(sum({fx.SIGN_SQL}) AS BIGINT) AS sign_sum, count(*) AS n FROM edges GROUP BY ALL", fx.EDGES_SQL)
+def edges_by_period(spark, sf_dir):
+    return graph.edges_by_period(fx.edges(spark, sf_dir))
+
+
+@query("SELECT polarity AS value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM edges GROUP BY polarity", fx.EDGES_SQL)
+def polarity_dist(spark, sf_dir):
+    return graph.distribution(fx.edges(spark, sf_dir), "polarity").withColumn("pct", F.round("pct", 6))
+
+
+@query(f"SELECT CAST({fx.SIGN_SQL} AS INTEGER) AS sign, count(*) AS n FROM edges GROUP BY 1", fx.EDGES_SQL)
+def sign_dist(spark, sf_dir):
+    return graph.with_sign(fx.edges(spark, sf_dir)).groupBy(F.col("sign").cast("int").alias("sign")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT node_type AS value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM nodes GROUP BY node_type", fx.NODES_SQL)
+def node_type_dist(spark, sf_dir):
+    return graph.distribution(fx.nodes(spark, sf_dir), "node_type").withColumn("pct", F.round("pct", 6))
+
+
+@query("SELECT act_type AS value, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM relations GROUP BY act_type", fx.RELATIONS_SQL)
+def act_type_dist(spark, sf_dir):
+    return graph.distribution(fx.relations(spark, sf_dir), "act_type").withColumn("pct", F.round("pct", 6))
+
+
+_DYADS_SQL = f"dyads AS (SELECT least(from_node_id, to_node_id) AS u, greatest(from_node_id, to_node_id) AS v, CAST(sum({fx.SIGN_SQL}) AS BIGINT) AS sign_sum, count(*) AS m, sum({fx.SIGN_SQL}) / count(*) AS mean FROM edges WHERE from_node_id <> to_node_id AND polarity <> 'neutral' GROUP BY 1, 2 HAVING count(*) >= 3)"
+
+
+@query("SELECT u, v, sign_sum, m, round(mean, 6) AS mean FROM dyads", fx.EDGES_SQL, _DYADS_SQL)
+def dyads_continuous(spark, sf_dir):
+    return graph.dyads(fx.edges(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT least(from_node_id, to_node_id) AS u, greatest(from_node_id, to_node_id) AS v, count(*) FILTER (WHERE polarity = 'positive') AS pos, count(*) FILTER (WHERE polarity = 'negative') AS neg FROM edges GROUP BY 1, 2", fx.EDGES_SQL)
+def dyads_net(spark, sf_dir):
+    return graph.dyads_net(fx.edges(spark, sf_dir))
+
+
+@query(
+    f"SELECT a, b, expect, CAST(sum({fx.SIGN_SQL}) AS BIGINT) AS net, count(polarity) AS n FROM (SELECT 'Supplier#000000001' AS a, 'Supplier#000000002' AS b, 'pos' AS expect UNION ALL SELECT 'Supplier#000000007', 'Supplier#000000003', 'neg') JOIN (SELECT canonical AS a, node_id AS x FROM nodes) USING (a) JOIN (SELECT canonical AS b, node_id AS y FROM nodes) USING (b) LEFT JOIN edges ON least(x, y) = least(from_node_id, to_node_id) AND greatest(x, y) = greatest(from_node_id, to_node_id) GROUP BY a, b, expect",
+    fx.NODES_SQL,
+    fx.EDGES_SQL,
+)
+def dyad_known_pairs(spark, sf_dir):
+    expected = spark.createDataFrame([("Supplier#000000001", "Supplier#000000002", "pos"), ("Supplier#000000007", "Supplier#000000003", "neg")], "a string, b string, expect string")
+    nodes, edges = _graph(spark, sf_dir)
+    return signed.known_pairs(edges, nodes, expected)
+
+
+_MONTHS_SQL = "months AS (SELECT strftime(publish_date, '%Y-%m') AS ym, 100.0 * count(*) FILTER (WHERE polarity = 'negative') / count(*) AS pct_neg, count(*) AS n FROM edges WHERE publish_date IS NOT NULL GROUP BY 1)"
+
+
+@query("SELECT ym, round(pct_neg, 6) AS pct_neg, n FROM months", fx.EDGES_SQL, _MONTHS_SQL)
+def polarization_monthly(spark, sf_dir):
+    return signed.polarization(fx.edges(spark, sf_dir)).withColumn("pct_neg", F.round("pct_neg", 6))
+
+
+@query("SELECT ym, round(pct_neg, 6) AS pct_neg, n, CAST(floor(28 * pct_neg / (SELECT max(pct_neg) FROM months)) AS INTEGER) AS bar, CASE ym WHEN '1998-03' THEN 'MARK' END AS event FROM months WHERE ym BETWEEN '1997-01' AND '1999-12'", fx.EDGES_SQL, _MONTHS_SQL)
+def polarization_scaled(spark, sf_dir):
+    return signed.polarization_bars(fx.edges(spark, sf_dir), "1997-01", "1999-12", events={"1998-03": "MARK"}).withColumn("pct_neg", F.round("pct_neg", 6))
+
+
+@query("SELECT * FROM degrees WHERE degree > 0", *_GRAPH)
+def public_nodes(spark, sf_dir):
+    return graph.public_nodes(*_graph(spark, sf_dir))
+
+
+@query(f"SELECT from_node_id, to_node_id, article_id, act_type, polarity, CAST({fx.SIGN_SQL} AS INTEGER) AS sign, publish_date, period FROM edges", fx.EDGES_SQL)
+def public_edges(spark, sf_dir):
+    rows = fx.edges(spark, sf_dir).withColumn("issue", F.lit(None).cast("string"))
+    return graph.public_edges(rows).withColumn("sign", F.col("sign").cast("int")).drop("issue")
+
+
+@query("SELECT article_id, source, publish_date, year, CAST(year(publish_date) AS VARCHAR) AS period FROM articles", fx.ARTICLES_SQL)
+def articles_meta(spark, sf_dir):
+    return graph.public_articles(fx.articles(spark, sf_dir).withColumn("period", T.period(F.col("publish_date"))))
+
+
+@query("SELECT node_id, canonical, degree FROM degrees WHERE lower(canonical) NOT IN ('supplier#000000001', 'supplier#000000010') ORDER BY degree DESC, node_id LIMIT 20", *_GRAPH)
+def top_actors_excl_generic(spark, sf_dir):
+    return graph.top_actors(_ranked(spark, sf_dir), 20, [*GENERIC_ACTORS, "supplier#000000001", "supplier#000000010"]).select("node_id", "canonical", "degree")
+
+
+@query("SELECT e.from_node_id, e.to_node_id, e.article_id, e.act_type, e.polarity FROM edges e JOIN nodes a ON from_node_id = a.node_id AND a.node_type = 'person' JOIN nodes b ON to_node_id = b.node_id AND b.node_type = 'person'", fx.NODES_SQL, fx.EDGES_SQL)
+def person_person_edges(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    return graph.of_type(edges, nodes).select("from_node_id", "to_node_id", "article_id", "act_type", "polarity")
+
+
+@query(
+    f"""SELECT frac, n_articles, n_dyads, round(100.0 * n_dyads / t, 6) AS coverage, round(CASE WHEN n_dyads <= 2 THEN 1.0 ELSE r END, 6) AS corr, CAST(n_dyads - lag(n_dyads) OVER (ORDER BY frac) AS DOUBLE) AS growth FROM (
+  SELECT frac, (SELECT count(DISTINCT article_id) FROM marked WHERE af < frac) AS n_articles, count(*) AS n_dyads, corr(s.mean, f.mean) AS r, (SELECT count(*) FROM whole) AS t
+  FROM stable s JOIN whole f USING (u, v) GROUP BY frac)""",
+    fx.EDGES_SQL,
+    "marked AS (SELECT *, ('0x' || substring(md5(article_id), 1, 8))::BIGINT % 100000 / 100000.0 AS af FROM edges)",
+    f"stable AS (SELECT frac, least(from_node_id, to_node_id) AS u, greatest(from_node_id, to_node_id) AS v, sum({fx.SIGN_SQL}) / count(*) AS mean FROM marked, (SELECT unnest([0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS frac) WHERE af < frac AND polarity <> 'neutral' GROUP BY 1, 2, 3 HAVING count(*) >= 3), whole AS (SELECT u, v, mean FROM stable WHERE frac = 1.0)",
+)
+def saturation_curve(spark, sf_dir):
+    return signed.saturation(fx.edges(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("coverage", "corr")}).withColumn("growth", F.col("growth").cast("double"))
+
+
+_MASS = "coalesce(sum(CASE WHEN {0} THEN abs(mean) END), 0.0)"
+
+
+@query(
+    "SELECT round(pw, 6) AS pos_within, round(pb, 6) AS pos_between, round(nw, 6) AS neg_within, round(nb, 6) AS neg_between, round(CASE WHEN pw + pb > 0 THEN 100 * pw / (pw + pb) ELSE 0 END, 6) AS pos_within_pct, round(CASE WHEN nw + nb > 0 THEN 100 * nb / (nw + nb) ELSE 0 END, 6) AS neg_between_pct FROM (SELECT "
+    + ", ".join(_MASS.format(c) + f" AS {n}" for c, n in (("mean > 0 AND a.node_type = b.node_type", "pw"), ("mean > 0 AND a.node_type <> b.node_type", "pb"), ("mean < 0 AND a.node_type = b.node_type", "nw"), ("mean < 0 AND a.node_type <> b.node_type", "nb")))
+    + " FROM dyads JOIN nodes a ON u = a.node_id JOIN nodes b ON v = b.node_id)",
+    fx.NODES_SQL,
+    fx.EDGES_SQL,
+    _DYADS_SQL,
+)
+def structural_balance(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    out = signed.balance(graph.dyads(edges), nodes.select("node_id", F.col("node_type").alias("community")))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query(None)
+def louvain_communities(spark, sf_dir):
+    edges = fx.edges(spark, sf_dir)
+    return signed.communities(signed.allies(graph.dyads(edges)))
+
+
+# Resolution, curation, scores.
+
+
+@query(
+    "SELECT a, b, CAST(levenshtein(a, b) AS INTEGER) AS d FROM (SELECT DISTINCT x.ns AS a, y.ns AS b FROM words x JOIN words y ON x.t = y.t AND x.ns < y.ns) WHERE levenshtein(a, b) <= floor((length(a) + length(b)) * 10 / 100.0)",
+    fx.SURFACES_SQL,
+    f"norms AS (SELECT DISTINCT {fx.NORM_SQL.format('surface')} AS ns FROM surfaces), words AS (SELECT DISTINCT ns, t FROM (SELECT ns, unnest(string_split(ns, ' ')) AS t FROM norms) WHERE length(t) >= 5)",
+)
+def er_pairs_levenshtein_bound(spark, sf_dir):
+    forms = fx.surfaces(spark, sf_dir).select(T.normalize(F.col("surface")).alias("ns")).distinct()
+    words = forms.select("ns", F.explode(F.array_distinct(F.filter(F.split("ns", " "), lambda t: F.length(t) >= 5))).alias("t"))
+    pairs = words.select(F.col("ns").alias("a"), "t").join(words.select(F.col("ns").alias("b"), "t"), "t").filter("a < b").select("a", "b").distinct()
+    d = F.levenshtein("a", "b")
+    return pairs.filter(d <= F.floor((F.length("a") + F.length("b")) * 10 / 100.0)).select("a", "b", d.alias("d"))
+
+
+@query(None)
+def er_resolve(spark, sf_dir):
+    assign, nodes = resolution.resolve(fx.surfaces(spark, sf_dir))
+    return assign.join(nodes.select("node_id", "canonical", "type", "n"), "node_id")
+
+
+@query(None)
+def gazetteer_resolve(spark, sf_dir):
+    entries = spark.createDataFrame([(i, f"E{i % 5}", n, [n.lower()]) for i, n in enumerate(fx.NAMES)], "ord int, entity_id string, canonical string, aliases array<string>")
+    names = fx.relations(spark, sf_dir).select(F.col("from_entity").alias("surface")).distinct()
+    return resolution.resolve_names(names.unionByName(names.select(F.concat("surface", F.lit("x")).alias("surface"))), resolution.gazetteer_index(entries))
+
+
+@query(None)
+def curation_candidates(spark, sf_dir):
+    return curation.candidate_pairs(_ranked(spark, sf_dir), threshold=85)
+
+
+@query("SELECT node_id, surface_form, CAST(rank AS INTEGER) AS rank FROM (SELECT node_id, surface_form, row_number() OVER (PARTITION BY node_id ORDER BY n_occurrences DESC, surface_form) AS rank FROM aliases JOIN (SELECT node_id FROM degrees ORDER BY degree DESC, node_id LIMIT 30) USING (node_id)) WHERE rank <= 8", *_GRAPH, fx.ALIASES_SQL)
+def top_aliases(spark, sf_dir):
+    return curation.top_aliases(_ranked(spark, sf_dir), fx.aliases(spark, sf_dir), top=30)
+
+
+@query(
+    "SELECT node_id, min(other) AS component FROM reach GROUP BY node_id",
+    fx.ALIASES_SQL,
+    "pairs AS (SELECT DISTINCT a.node_id AS node_a, b.node_id AS node_b FROM aliases a JOIN aliases b ON a.surface_norm = b.surface_norm AND a.n_occurrences % 2 = b.n_occurrences % 2), reach AS (SELECT node_a AS node_id, node_b AS other FROM pairs)",
+)
+def curate_components(spark, sf_dir):
+    rows = fx.aliases(spark, sf_dir).withColumn("k", F.concat_ws("|", "surface_norm", F.col("n_occurrences") % 2))
+    first = rows.groupBy("k").agg(F.min("node_id").alias("node_a"))
+    return curation.groups(rows.join(first, "k").select("node_a", F.col("node_id").alias("node_b")))
+
+
+@query(None)
+def curate_propose(spark, sf_dir):
+    nodes = _ranked(spark, sf_dir)
+    return curation.propose(nodes, curation.evidence(nodes, fx.aliases(spark, sf_dir)))
+
+
+@query(
+    "SELECT node, arg_max(x, depth) AS root FROM walk GROUP BY node",
+    "RECURSIVE pairs AS (SELECT 'S' || s_suppkey AS node, 'S' || (s_suppkey // 3) AS into_ FROM supplier WHERE s_suppkey // 3 <> s_suppkey), walk AS (SELECT node, into_ AS x, 1 AS depth FROM pairs UNION ALL SELECT w.node, p.into_, depth + 1 FROM walk w JOIN pairs p ON w.x = p.node)",
+)
+def merge_roots(spark, sf_dir):
+    pairs = fx.table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node"), F.concat(F.lit("S"), F.floor(F.col("s_suppkey") / 3).cast("string")).alias("into"))
+    return roots(pairs)
+
+
+@query(
+    "SELECT e.from_node_id, e.to_node_id, article_id, act_type, count(*) OVER (PARTITION BY from_node_id) AS out_degree FROM (SELECT DISTINCT coalesce(a.root, from_node_id) AS from_node_id, coalesce(b.root, to_node_id) AS to_node_id, article_id, act_type FROM edges LEFT JOIN merges a ON from_node_id = a.node_id LEFT JOIN merges b ON to_node_id = b.node_id WHERE coalesce(a.root, from_node_id) <> coalesce(b.root, to_node_id)) e",
+    fx.EDGES_SQL,
+    "merges AS (SELECT 'S' || s_suppkey AS node_id, 'S' || (s_suppkey % 7) AS root FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey > 6)",
+)
+def curate_apply(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    k = F.col("s_suppkey")
+    merges = fx.table(spark, sf_dir, "supplier").filter((k % 5 == 0) & (k > 6)).select(F.concat(F.lit("S"), k.cast("string")).alias("node_id"), F.concat(F.lit("S"), (k % 7).cast("string")).alias("root"))
+    edges = edges.withColumn("edge_id", F.xxhash64("from_node_id", "to_node_id", "article_id", "act_type", "polarity"))
+    nodes = nodes.withColumns({"n_mentions": F.lit(1), "curated": F.lit(False), "confidence": F.lit(1.0), "degree": F.lit(0)})
+    none = spark.createDataFrame([], "node_id string, canonical string, type string, is_generic boolean")
+    done = curation.apply_merges({"nodes": nodes, "edges": edges, "aliases": fx.aliases(spark, sf_dir), "mentions": spark.createDataFrame([], "node_id string")}, merges, none)
+    from pyspark.sql.window import Window
+
+    return done["edges"].select("from_node_id", "to_node_id", "article_id", "act_type", F.count(F.lit(1)).over(Window.partitionBy("from_node_id")).alias("out_degree"))
+
+
+_SCORE_SQL = "SELECT level, CAST(sum(CASE WHEN p AND g THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN g IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN p IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM (SELECT *, true AS p FROM keys WHERE src = 'p') p FULL JOIN (SELECT *, true AS g FROM keys WHERE src = 'g') g USING (level, article_id, key) GROUP BY level"
+
+
+@query(
+    f"SELECT level, tp, fp, fn, round(pr, 6) AS p, round(re, 6) AS r, round(1.25 * pr * re / (0.25 * pr + re), 6) AS f05 FROM (SELECT *, tp / (tp + fp) AS pr, tp / (tp + fn) AS re FROM ({_SCORE_SQL}))",
+    fx.RELATIONS_SQL,
+    "src AS (SELECT 'p' AS src, * FROM relations WHERE ord <> 1 UNION ALL SELECT 'g', * FROM relations WHERE ord <> 2)",
+    """keys AS (SELECT DISTINCT src, article_id, unnest(['undirected', 'directed', 'act_type', 'polarity']) AS level,
+  unnest([least(from_entity, to_entity) || '|' || greatest(from_entity, to_entity), from_entity || '|' || to_entity, from_entity || '|' || to_entity || '|' || coalesce(act_type, ''), from_entity || '|' || to_entity || '|' || coalesce(act_type, '') || '|' || polarity]) AS key
+  FROM src WHERE from_entity <> to_entity)""",
+)
+def score_gold_levels(spark, sf_dir):
+    rows = fx.relations(spark, sf_dir).withColumnsRenamed({"from_entity": "a", "to_entity": "b"})
+    return scoring.score(rows.filter("ord <> 1"), rows.filter("ord <> 2")).withColumns({c: F.round(c, 6) for c in ("p", "r", "f05")})
+
+
+@query(
+    "SELECT n, round(o, 6) AS agreement, round(e, 6) AS expected, round((o - e) / (1 - e), 6) AS kappa FROM (SELECT count(*) AS n, sum(CASE WHEN x = y THEN 1 ELSE 0 END) / count(*) AS o, (SELECT sum(nx * ny) FROM (SELECT x AS k, count(*) AS nx FROM xy GROUP BY x) JOIN (SELECT y AS k, count(*) AS ny FROM xy GROUP BY y) USING (k)) / (count(*) * count(*)) AS e FROM xy)",
+    "xy AS (SELECT quality AS x, CASE WHEN length(text) > 600 THEN 1 ELSE 0 END AS y FROM labels JOIN documents USING (doc_id))",
+)
+def cohen_kappa(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "labels").join(fx.table(spark, sf_dir, "documents"), "doc_id").select(F.col("quality").alias("x"), F.when(F.length("text") > 600, 1).otherwise(0).alias("y"))
+    return scoring.kappa(rows).withColumns({c: F.round(c, 6) for c in ("agreement", "expected", "kappa")})
+
+
+@query("SELECT (SELECT count(*) FROM bodies) AS articles, count(*) AS relations, round(count(*) / (SELECT count(*) FROM bodies), 6) AS per_article, round(100.0 * ((SELECT count(*) FROM bodies) - count(DISTINCT article_id)) / (SELECT count(*) FROM bodies), 6) AS pct_without FROM relations WHERE polarity = 'positive'", fx.RELATIONS_SQL)
+def quality_proxies(spark, sf_dir):
+    out = scoring.proxies(fx.relations(spark, sf_dir).filter("polarity = 'positive'"), fx.bodies(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("per_article", "pct_without")})
+
+
+# Topics.
+
+
+_CENTRES_SQL = "places AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings), centres AS (SELECT label, i, avg(x::DOUBLE) AS m FROM places GROUP BY label, i), scores AS (SELECT vec_id AS id, c.label, sum(x::DOUBLE * m) / (sqrt(sum(x::DOUBLE * x::DOUBLE)) * sqrt(sum(m * m))) AS s FROM places p JOIN centres c USING (i) GROUP BY vec_id, c.label), assigned AS (SELECT id, arg_max(label, s) AS topic_id, max(s) AS score FROM scores GROUP BY id)"
+
+
+def _assigned(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "embeddings")
+    return topics.assign(rows.select(F.col("vec_id").alias("id"), "embedding"), topics.centroids(rows))
+
+
+@query("SELECT id, topic_id, round(score, 6) AS score FROM assigned", _CENTRES_SQL)
+def topic_assign(spark, sf_dir):
+    return _assigned(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT topic_id, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM embeddings), 6) AS pct FROM assigned GROUP BY topic_id", _CENTRES_SQL)
+def topic_report(spark, sf_dir):
+    words = spark.createDataFrame([], "topic_id int, term string, score double, rank int")
+    return topics.report(_assigned(spark, sf_dir), words).select("topic_id", "n", F.round("pct", 6).alias("pct"))
+
+
+@query("SELECT id, topic_id, CASE topic_id WHEN 0 THEN 'economy' WHEN 1 THEN 'politics' ELSE 'otro' END AS macro_topic FROM assigned", _CENTRES_SQL)
+def macro_mapping(spark, sf_dir):
+    mapping = spark.createDataFrame([(0, "economy"), (1, "politics"), (2, "")], "topic_id int, macro_topic string")
+    return topics.to_macro(_assigned(spark, sf_dir), mapping).select("id", "topic_id", "macro_topic")
+
+
+@query(None)
+def topic_keywords(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.abs(F.hash("lang") % 8).alias("topic_id"), "text")
+    return topics.keywords(topics.terms(docs)).withColumn("score", F.round("score", 6))
+
+
+FLAGSHIP = political_prefilter
