@@ -38,7 +38,7 @@ def groups(pairs: DataFrame) -> DataFrame:
     rows = pairs.select("node_a", "node_b")
     ends = rows.select(F.explode(F.array("node_a", "node_b")).alias("node_id")).distinct()
     found = components(rows.select(F.xxhash64("node_a").alias("u"), F.xxhash64("node_b").alias("v")))
-    of = ends.join(found, F.xxhash64("node_id") == F.col("node"))
+    of = ends.join(found, F.xxhash64("node_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", F.xxhash64("node_id")))
     return of.withColumn("component", F.min("node_id").over(Window.partitionBy("component"))).select("node_id", "component")
 
 
