@@ -10,19 +10,19 @@ confident, adds nothing to the other and leaves its score as it is.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyad.llm.common import id_back, id_of, materialize
 
 #: Bound on the labelled rows that are fitted on, chosen by hash.
-MAX_LABELLED = 10_000
+MAX_LABELLED = 8_000
 #: One labelled row in so many is held out for calibration.
 HELD_OUT = 4
 ROUNDS = 2
@@ -36,6 +36,7 @@ DEVIATIONS = 4
 #: Bytes of the stems that stand for inflected words.
 STEMS = (4, 5)
 KEEP_FROM = 0.5
+MEMO = 1 << 18
 META = ("lang", "source", "n_chars")
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
@@ -69,39 +70,77 @@ def meta_features(values: dict) -> set[bytes]:
     return {f"{k}={'null' if v is None else int(math.log2(v + 1)) if isinstance(v, (int, float)) and v >= 0 else v}".encode() for k, v in values.items()}
 
 
+def hashed(features: set[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, features), np.uint64, len(features))
+
+
+class _Weights(dict):
+    """Weight by feature, filled as features are met, and emptied when full."""
+
+    def __init__(self, by_hash: dict[int, float]) -> None:
+        super().__init__()
+        self.by_hash = by_hash
+
+    def __missing__(self, feature: bytes) -> float:
+        if len(self) >= MEMO:
+            self.clear()
+        self[feature] = w = self.by_hash.get(xxhash.xxh64_intdigest(feature), 0.0)
+        return w
+
+
 class Classifier:
-    """Logistic regression over present features, with a calibrated margin."""
+    """Logistic regression over present features, known by their hashes, with a calibrated margin."""
 
     def __init__(self) -> None:
-        self.weights: dict[bytes, float] = {}
+        self.names, self.weights = np.zeros(0, np.uint64), np.zeros(0)
         self.bias, self.scale, self.shift = 0.0, 1.0, 0.0
-
-    def fit(self, rows: list[set[bytes]], labels: list[int], steps: int = 120, l2: float = 2e-4) -> Classifier:
-        count, good = Counter(f for r in rows for f in r), Counter(f for r, g in zip(rows, labels) if g for f in r)
-        base = min(max(sum(labels) / len(labels), 1e-3), 1 - 1e-3)
-        names = sorted(f for f, c in count.items() if c >= MIN_ROWS and abs(good[f] - c * base) >= DEVIATIONS * math.sqrt(c * base * (1 - base)))
-        at = {f: i for i, f in enumerate(names)}
-        cols = [np.fromiter((at[f] for f in r if f in at), np.int64) for r in rows]
-        index, owner = np.concatenate([*cols, np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), list(map(len, cols)))
-        y, w, b = np.array(labels, float), np.zeros(len(names)), 0.0
-        m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+        self.memo: _Weights | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": None}
+
+    def _index(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(feature, row) numbers of the features in use."""
+        flat, owner = np.concatenate([*rows, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(rows)), list(map(len, rows)))
+        at = np.searchsorted(self.names, flat)
+        known = np.append(self.names, np.uint64(0))[at] == flat if len(self.names) else np.zeros(len(flat), bool)
+        known &= at < len(self.names)
+        return at[known], owner[known]
+
+    def fit(self, rows: list[np.ndarray], labels: list[int], steps: int = 120, l2: float = 2e-4) -> Classifier:
+        y = np.array(labels, float)
+        base = min(max(y.mean(), 1e-3), 1 - 1e-3)
+        flat, owner = np.concatenate([*rows, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(rows)), list(map(len, rows)))
+        order = np.argsort(flat)
+        flat, owner = flat[order], owner[order]
+        head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+        count = np.diff(np.append(head, len(flat)))
+        good = np.add.reduceat(y[owner], head) if len(flat) else np.zeros(0)
+        telling = (count >= MIN_ROWS) & (np.abs(good - count * base) >= DEVIATIONS * np.sqrt(count * base * (1 - base)))
+        self.names = flat[head[telling]]
+        del flat, owner, order
+        index, owner = self._index(rows)
+        n = len(self.names)
+        w, b, m, v = np.zeros(n), 0.0, np.zeros(n + 1), np.zeros(n + 1)
         for t in range(1, steps + 1):
             z = np.bincount(owner, w[index], len(rows)) + b
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(rows)
-            grad = np.append(np.bincount(index, g[owner], len(names)) + l2 * w, g.sum())
+            grad = np.append(np.bincount(index, g[owner], n) + l2 * w, g.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
             w, b = w - step[:-1], b - step[-1]
-        self.weights, self.bias = {f: float(x) for f, x in zip(names, w) if abs(x) > 1e-6}, float(b)
-        self.known = set(self.weights)
+        self.weights, self.bias = w, float(b)
         return self
 
     def margin(self, features: set[bytes]) -> float:
-        return self.bias + sum(map(self.weights.__getitem__, features & self.known))
+        if self.memo is None:
+            self.memo = _Weights(dict(zip(self.names.tolist(), self.weights.tolist())))
+        return self.bias + sum(map(self.memo.__getitem__, features))
 
-    def calibrate(self, rows: list[set[bytes]], labels: list[int]) -> Classifier:
+    def calibrate(self, rows: list[np.ndarray], labels: list[int]) -> Classifier:
         """Fit scale and shift of the margin on rows that weren't trained on, with smoothed labels."""
-        z, n1 = np.array([self.margin(r) for r in rows]), sum(labels)
+        index, owner = self._index(rows)
+        z, n1 = np.bincount(owner, self.weights[index], len(rows)) + self.bias, sum(labels)
         t = np.where(np.array(labels) == 1, (n1 + 1) / (n1 + 2), 1 / (len(labels) - n1 + 2))
         a, b = 1.0, 0.0
         for _ in range(50):
@@ -149,11 +188,11 @@ def _map(docs: DataFrame, columns: list, schema: str, row: Callable) -> DataFram
     return picked.mapInArrow(run, schema)
 
 
-def _features(docs: DataFrame, wanted: DataFrame) -> dict[int, tuple[int, set[bytes], set[bytes]]]:
-    """Features of the bounded set ``wanted`` (id, good), of one row per id."""
+def _features(docs: DataFrame, wanted: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Hashed features of the bounded set ``wanted`` (id, good), of one row per id."""
     mine = docs.withColumn("__id", id_of("doc_id")).join(F.broadcast(wanted), F.col("__id") == F.col("id"))
-    rows = _map(mine, ["id", "good"], "id bigint, good int, text binary, meta binary", lambda t, m: (b"\n".join(sorted(text_features(t))), b"\n".join(sorted(meta_features(m)))))
-    return {r["id"]: (r["good"], set(bytes(r["text"]).split(b"\n")), set(bytes(r["meta"]).split(b"\n"))) for r in rows.dropDuplicates(["id"]).collect()}
+    rows = _map(mine, ["id", "good"], "id bigint, good int, text binary, meta binary", lambda t, m: (hashed(text_features(t)).tobytes(), hashed(meta_features(m)).tobytes()))
+    return {r["id"]: (r["good"], np.frombuffer(r["text"], np.uint64), np.frombuffer(r["meta"], np.uint64)) for r in rows.dropDuplicates(["id"]).toLocalIterator()}
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> Model:
