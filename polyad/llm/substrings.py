@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polyad.llm.common import id_back
-from polyad.llm.windows import Scheme, apply_spans, covered, prepared, repeated_spans
+from polyad.llm.windows import Scheme, apply_spans, covered, prepared, repeated_spans, runs
 
 LENGTH = 100
 ANCHOR = 32
+#: Bytes of the stretch by which contents are thinned out before a suffix array is made of them.
+STRETCH = 64
 _SALT = np.random.default_rng(0).integers(1, 2**63, 256).astype(np.uint64)
 
 
@@ -100,16 +102,40 @@ def repeated_starts(texts: list[bytes], length: int) -> np.ndarray:
     return np.sort(at[1:][cls[1:] == cls[:-1]])
 
 
+def shared_pieces(texts: list[bytes]) -> list[tuple[int, int, int]]:
+    """(text, first string, number of strings) of all that can occur twice: strings whose least-hash stretch of STRETCH bytes does."""
+    bounds = np.cumsum([0, *map(len, texts)])
+    low, start, count = runs(np.frombuffer(b"".join(texts), np.uint8), bounds, LENGTH, STRETCH)
+    if not len(low):
+        return []
+    _, which, often = np.unique(low, return_inverse=True, return_counts=True)
+    alive = often[which] > 1
+    start, count = start[alive], count[alive]
+    if not len(start):
+        return []
+    of = np.searchsorted(bounds, start, "right") - 1
+    head = np.flatnonzero(np.append(True, (start[1:] != start[:-1] + count[:-1]) | (of[1:] != of[:-1])))
+    return list(zip(of[head].tolist(), (start[head] - bounds[of[head]]).tolist(), np.add.reduceat(count, head).tolist()))
+
+
 def kernel(texts: list[bytes], requests: np.ndarray) -> list[tuple[int, int, int]]:
     """Runs of strings that also start at an earlier place; the texts come by place."""
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    found = repeated_starts(texts, LENGTH)
-    if not len(found):
-        return []
-    head = np.flatnonzero(np.append(True, found[1:] != found[:-1] + 1))
-    of = np.searchsorted(starts, found[head], "right") - 1
-    count = np.diff(np.append(head, len(found)))
-    return list(zip(requests["doc"][of].tolist(), (found[head] - starts[of] + requests["start"][of]).tolist(), count.tolist()))
+    out, first, pieces = [], {}, []
+    for i, at, n in shared_pieces(texts):
+        piece = texts[i][at : at + n + LENGTH - 1]
+        if first.setdefault(piece, (i, at)) == (i, at):
+            pieces.append((i, at, piece))
+        else:
+            out.append((i, at, n))
+    if pieces:
+        starts = np.concatenate([[0], np.cumsum([len(p) + 1 for *_, p in pieces])])
+        found = repeated_starts([p for *_, p in pieces], LENGTH)
+        if len(found):
+            head = np.flatnonzero(np.append(True, found[1:] != found[:-1] + 1))
+            of = np.searchsorted(starts, found[head], "right") - 1
+            for p, at, n in zip(of.tolist(), (found[head] - starts[of]).tolist(), np.diff(np.append(head, len(found))).tolist()):
+                out.append((pieces[p][0], pieces[p][1] + at, n))
+    return [(int(requests["doc"][i]), int(requests["start"][i]) + at, n) for i, at, n in out]
 
 
 SCHEME = Scheme(LENGTH, ANCHOR, _Bytes(), keep_first=True)

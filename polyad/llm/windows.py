@@ -32,6 +32,10 @@ from polyad.llm.common import id_of, materialize
 
 #: Bytes of text per bucket.
 BUCKET_BYTES = 16 << 20
+#: Buckets in which contents are compared, for each bucket of records; a suffix array takes some hundred bytes per byte.
+SOLVE_SPLIT = 8
+#: Bytes of contents cut from texts before they are sent.
+ASKED_BYTES = 4 << 20
 #: Symbols cut at a time; also where runs of longer documents break.
 PIECE = 1 << 18
 #: Different contents of one anchor from which its windows go one by one.
@@ -238,19 +242,29 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, kernel: Callable[[list[bytes
                 if len(part) >= scheme.window:
                     yield doc, np.ascontiguousarray(part).tobytes(), q, part
 
+    def grouped(batch: pa.RecordBatch) -> Iterator[list]:
+        """The slices of a batch in groups of about ASKED_BYTES."""
+        found, held = [], 0
+        for x in slices(batch):
+            found.append(x)
+            held += len(x[1])
+            if held > ASKED_BYTES:
+                yield found
+                found, held = [], 0
+        if found:
+            yield found
+
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(slices(batch))
+        for found in (g for batch in batches for g in grouped(batch)):
             r = np.zeros(len(found), REQUEST)
             for i, (doc, _, q, part) in enumerate(found):
                 r[i] = (q["anchor"] & (1 << 64) - 1, doc, q["start"], len(part), q["settled"])
-            bucket = _buckets(r["anchor"], n)
-            keys, blocks, contents = [], [], []
-            for b in np.unique(bucket):
-                mine = np.flatnonzero(bucket == b)
-                keys.append(int(b))
-                blocks += _packed(r[mine], np.zeros(len(mine), np.int64))[1]
-                contents.append(b"".join(found[i][1] for i in mine))
+            bucket = _buckets(r["anchor"], n * SOLVE_SPLIT)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+            keys = [int(bucket[mine[0]]) for mine in cuts]
+            blocks = [_packed(r[mine], np.zeros(len(mine), np.int64))[1][0] for mine in cuts]
+            contents = [b"".join(found[i][1] for i in mine.tolist()) for mine in cuts]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary()), pa.array(contents, pa.binary())], names=["bucket", "block", "content"])
 
     size = scheme.symbols(b"").itemsize
@@ -269,15 +283,14 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, kernel: Callable[[list[bytes
         return pa.table({"doc": pa.array(cols[0], pa.int64()), "start": pa.array(cols[1], pa.int64()), "windows": pa.array(cols[2], pa.int32())})
 
     def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = size
-        for batch in batches:
-            for doc, content, q, part in slices(batch):
+        for found in (g for batch in batches for g in grouped(batch)):
+            digests, docs_, starts = [], [], []
+            for doc, content, q, part in found:
                 count = len(part) - scheme.window + 1
-                digests = [xxhash.xxh3_128_digest(content[i * step : (i + scheme.window) * step]) for i in range(count)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, pa.binary()), pa.array([doc] * count, pa.int64()), pa.array(range(q["start"], q["start"] + count), pa.int64())],
-                    names=["digest", "doc", "start"],
-                )
+                digests += [xxhash.xxh3_128_digest(content[i * size : (i + scheme.window) * size]) for i in range(count)]
+                docs_ += [doc] * count
+                starts += range(q["start"], q["start"] + count)
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(docs_, pa.int64()), pa.array(starts, pa.int64())], names=["digest", "doc", "start"])
 
     def asked(kind: int) -> DataFrame:
         wanted = spans.filter(F.col("kind") == kind).groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows", "settled")).alias("asked"))
