@@ -133,8 +133,115 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(of, "fp").select(id_back("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back("component_id").alias("component_id"))
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """The rows with the smallest id of each component, with all their columns. Rows that repeat a kept id all stay."""
-    found = near_duplicates(df, id_col, text_col, words, radius)
-    dropped = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_of(id_col).alias("__dropped_id"))
+#: Bits by which fingerprints of distinct words may differ between candidates, and tables that are done one by one first.
+WORD_RADIUS = 5
+SINGLE_TABLES = 4
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def word_fingerprint(text: bytes) -> int:
+    """The SimHash of the distinct lower-cased words without marks at their ends."""
+    words = {w.strip(_MARKS) for w in text.lower().split()}
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words)))
+
+
+def _keyed(active: DataFrame, masks: list[int]) -> DataFrame:
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks)])
+    return active.select("fp", "id", F.explode(tables).alias("b")).select("b.t", "b.k", "fp", "id")
+
+
+def _close_pairs(buckets: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Pairs u < v within the radius in buckets of bounded size (keys, fp, id)."""
+    pairs = F.flatten(
+        F.transform(
+            "m",
+            lambda a, i: F.transform(
+                F.filter(F.slice("m", i + 2, F.size("m")), lambda b: (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= radius) & (a["id"] != b["id"])),
+                lambda b: F.struct(F.least(a["id"], b["id"]).alias("u"), F.greatest(a["id"], b["id"]).alias("v")),
+            ),
+        )
+    )
+    return buckets.groupBy(*keys).agg(F.collect_list(F.struct("fp", "id")).alias("m")).select(F.explode(pairs).alias("e")).select("e.u", "e.v").distinct()
+
+
+def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets (id, shingles) have at least this Jaccard similarity."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(c.as_buffer(), np.uint64) for c in (x, y))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both > 0 and both >= similarity * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    a, b = (shingled.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
+
+
+def verified_links(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, radius: int) -> DataFrame:
+    """Links (u, v) between ids of documents whose shingle sets are similar, as far as their word fingerprints lie within the radius.
+
+    Buckets of up to SMALL documents compare all pairs. Larger ones, as copies of one text with small changes make, are dealt
+    into small ones at random; the larger id of each verified link leaves, and what stays is dealt anew, until the bucket is
+    small or a round finds no link; then its blocks are compared with each other. The first tables go one by one, so that such
+    groups have shrunk before all tables are made.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts_ = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
+            fps = np.array([word_fingerprint(t) for t in texts_], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"]).filter(pa.array([bool(t.strip()) for t in texts_], pa.bool_()))
+
+    def shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", words)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    texts = df.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    active = materialize(texts.mapInArrow(run, "id bigint, fp bigint"), "word-fingerprints")
+    masks = covering_masks(radius)
+    keyed = _keyed(active, masks)
+    shared = materialize(keyed.join(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["t", "k"]), "word-buckets")
+    near = _close_pairs(shared.filter(F.col("n") <= SMALL), ["t", "k"], radius)
+    wanted = shared.filter(F.col("n") > SMALL).select("id").unionByName(near.select(F.explode(F.array("u", "v")).alias("id"))).distinct()
+    shingled = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(shingle, "id bigint, shingles binary").dropDuplicates(["id"]), "word-shingles")
+    active = materialize(active.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "word-active")
+    found, salt = [], 0
+    for part in [*([m] for m in masks[:SINGLE_TABLES]), masks[SINGLE_TABLES:]]:
+        while True:
+            salt += 1
+            keyed = _keyed(active, part)
+            sizes = materialize(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-sizes")
+            blocks = F.when(F.col("n") > SMALL, F.ceil(F.col("n") / (SMALL // 2))).otherwise(1)
+            dealt = materialize(keyed.join(sizes, ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), blocks)), "word-dealt")
+            links_ = materialize(similar_pairs(_close_pairs(dealt, ["t", "k", "block"], radius), shingled, similarity), "word-links")
+            crowded, none = not sizes.filter(F.col("n") > SMALL).isEmpty(), links_.isEmpty()
+            if crowded and none:  # unlike documents that share a bucket: each block with each other one
+                many = dealt.filter(F.col("n") > SMALL).withColumn("blocks", blocks)
+                both = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select("t", "k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "id")
+                links_ = materialize(similar_pairs(_close_pairs(both.filter("i <> j"), ["t", "k", "i", "j"], radius), shingled, similarity), "word-links")
+                none = links_.isEmpty()
+            if not none:
+                found.append(links_)
+                active = materialize(active.join(links_.select(F.col("v").alias("id")).distinct(), "id", "left_anti"), "word-active")
+            if not crowded or none:
+                break
+    out = df.sparkSession.createDataFrame([], "u bigint, v bigint")
+    for f in found:
+        out = out.unionByName(f)
+    return out
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = WORD_RADIUS) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id, with all its columns.
+
+    Documents are linked when the sets of their word shingles have at least this Jaccard similarity; candidates are those whose
+    word fingerprints lie within the radius, found by covering tables. Null and blank texts have no shingles and are all kept.
+    Rows that share an id count as one document. An empty table gives an empty result.
+    """
+    found = components(verified_links(df, id_col, text_col, words, similarity, radius))
+    dropped = found.filter("node <> component").select(F.col("node").alias("__dropped_id")).distinct()
     return df.join(dropped, id_of(id_col) == F.col("__dropped_id"), "left_anti")

@@ -262,6 +262,26 @@ def test_simhash(spark, docs, small, monkeypatch):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def similar(rows):
+    """Pairs of documents whose sets of five-word shingles have a similarity of 0.8 or more."""
+    sets = [(d, set(simhash.shingle_hashes((t or "").encode(), 5).tolist())) for d, t in rows]
+    return {(min(a, b), max(a, b)) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if x & y and len(x & y) >= 0.8 * len(x | y)}
+
+
+@pytest.mark.parametrize("small", [32, 4])
+def test_verified_near_duplicates(spark, docs, small, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    r, base = random.Random(4), docs[3][1].split()
+    rows = docs + [(4000 + k, " ".join(w if r.random() > 0.006 else "zz%d" % k for w in base)) for k in range(80)]
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    pairs = similar(rows)
+    left = {p for p in pairs if set(p) <= kept}
+    gone = {d for d, _ in rows} - kept
+    assert len(left) <= 0.02 * len(pairs) and len(gone) > 60
+    assert all(any(d in p for p in pairs) for d in gone) and {500, 501, 502} <= kept
+    assert simhash.drop_near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_masks_cover():
     r = random.Random(0)
     for radius in (1, 2, 3):
