@@ -22,10 +22,10 @@ def unescape(c: Column) -> Column:
 
 
 def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: ``conv_col, formatted, loss_spans``.
+    """One row per conversation: ``conv_col, formatted, segments``.
 
-    ``loss_spans`` holds (start, length) in code points of ``formatted``, one for each text of ``loss_role``, without
-    markers. Turns go by number; ties, nulls first, by role and then text, and repeated rows stay repeated. A null role
+    ``segments`` holds (text, loss): put together they are ``formatted``, and those under the loss are the texts of
+    ``loss_role``, one each, without markers. All is built in time linear in the number of turns. Turns go by number; ties, nulls first, by role and then text, and repeated rows stay repeated. A null role
     or text counts as empty. Rows with a null conversation id form one conversation. An empty table gives an empty
     result; further columns are ignored.
     """
@@ -60,15 +60,9 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
             ),
         )
     )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-    spans = F.aggregate(
-        "pieces",
-        zero,
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p["mark"]) + F.length(p["part"])).alias("at"),
-            F.when(p["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(p["mark"])).alias("start"), F.length(p["part"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
+    segments = F.concat(
+        F.flatten(F.transform("pieces", lambda p: F.array(F.struct(p["mark"].alias("text"), F.lit(False).alias("loss")), F.struct(p["part"].alias("text"), p["loss"].alias("loss"))))),
+        F.array(F.struct(F.lit(END).alias("text"), F.lit(False).alias("loss"))),
     )
     return (
         turns.select("conv", "t", first.alias("firsts"))
@@ -76,9 +70,9 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
         .select("conv", pieces.alias("pieces"))
         .select(
             F.col("conv").alias(conv_col),
-            F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["part"])), ""), F.lit(END)).alias("formatted"),
-            spans.alias("loss_spans"),
+            segments.alias("segments"),
         )
+        .select(conv_col, F.array_join(F.transform("segments", lambda x: x["text"]), "").alias("formatted"), "segments")
     )
 
 
@@ -91,6 +85,6 @@ def parse_turns(formatted: Column) -> Column:
     )
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
+def loss_text(segments: Column) -> Column:
     """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    return F.array_join(F.transform(F.filter(segments, lambda x: x["loss"]), lambda x: unescape(x["text"])), "")

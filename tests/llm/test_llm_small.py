@@ -103,7 +103,8 @@ def chats(rows):
 def test_chat(spark):
     rows = [(1, 0, "user", "<|end|>&amp;&lt;|"), (1, 1, "assistant", "a<"), (1, 2, "assistant", "|b <|part|>"), (1, 2, "assistant", None), (2, None, None, "x"), (2, 0, "as<|text|>", "\n"), (3, 0, "assistant", ""), (None, 1, "user", "é😀")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("Formatted", F.lit(1))
-    got = chat.format_chats(df).select("conv_id", "formatted", chat.parse_turns(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()
+    assert all("".join(x["text"] for x in r["segments"]) == r["formatted"] for r in chat.format_chats(df).collect())
+    got = chat.format_chats(df).select("conv_id", "formatted", chat.parse_turns(F.col("formatted")).alias("t"), chat.loss_text(F.col("segments")).alias("l")).collect()
     want = chats(rows)
     for r in got:
         assert [(t["role"], t["text"]) for t in r["t"]] == want[r["conv_id"]]
