@@ -35,6 +35,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default: rows here hold whole texts.
+TEXT_ROWS = 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Make Arrow batches of whole texts smaller, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) == 10_000:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns whose names clash, in any case, with those an operator adds."""
     taken = {n.lower() for n in names}

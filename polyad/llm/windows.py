@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyad.llm.common import id_of, materialize
+from polyad.llm.common import bound_batches, id_of, materialize
 
 #: Bytes of text per bucket.
 BUCKET_BYTES = 16 << 20
 #: Buckets in which contents are compared, for each bucket of records; a suffix array takes some hundred bytes per byte.
 SOLVE_SPLIT = 8
+#: Tasks that share the rows of one window that stands in many texts.
+SALTS = 64
 #: Bytes of contents cut from texts before they are sent.
 ASKED_BYTES = 4 << 20
 #: Symbols cut at a time; also where runs of longer documents break.
@@ -206,6 +208,7 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, kernel: Callable[[list[bytes
     ``kernel`` gets the contents asked for in a bucket, by place, and their REQUEST records, and gives such runs.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     n = 1 + total // BUCKET_BYTES
 
@@ -301,10 +304,11 @@ def repeated_spans(docs: DataFrame, scheme: Scheme, kernel: Callable[[list[bytes
     )
     if spans.filter("kind = 2").isEmpty():
         return out
-    lone = materialize(asked(2).mapInArrow(single, "digest binary, doc bigint, start bigint"), "windows")
+    # All in one plan, so that the texts' one shuffle by id serves every join. A digest's rows are spread over SALTS tasks.
     place = F.struct("doc", "start")
-    seen = materialize(lone.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last"), "windows-repeated")
-    again = lone.join(seen, "digest")
+    lone = asked(2).mapInArrow(single, "digest binary, doc bigint, start bigint").withColumn("salt", F.pmod(F.xxhash64("doc", "start"), F.lit(SALTS)))
+    seen = lone.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    again = lone.join(seen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["digest", "salt"])
     if scheme.keep_first:
         again = again.filter(place != F.col("first"))
     return out.unionByName(again.select("doc", "start", F.lit(1).alias("windows")))
