@@ -125,9 +125,12 @@ def char_span(body: Column, text: Column) -> Column:
     return F.when(at >= 0, F.struct(at.alias("start"), (at + F.length(text)).alias("end")))
 
 
-def word_chunks(c: Column, max_words: int = 300, overlap: int = 30) -> Column:
-    """(chunk, offset) per window of words; a text of at most ``max_words`` words comes unchanged."""
-    words, step = tokens(c), max_words - overlap
+def word_chunks(c: Column, words: Column, max_words: int = 300, overlap: int = 30) -> Column:
+    """(chunk, offset) per window of words; a text of at most ``max_words`` words comes unchanged.
+
+    ``words`` must be a column of tokens made before, or else each window splits the text anew.
+    """
+    step = max_words - overlap
     cut = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(step)), lambda i: F.struct(F.array_join(F.slice(words, i + 1, F.lit(max_words)), " ").alias("chunk"), i.alias("word_offset")))
     return F.when(F.size(words) <= max_words, F.array(F.struct(c.alias("chunk"), F.lit(0).alias("word_offset")))).otherwise(cut)
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polyad.functions.text import alternation, bounded_alternation, md5_rank
+from polyad.functions.text import alternation, bounded_alternation, md5_rank, tokens
+from polyad.sources.scratch import materialize
 
 
 def load(lake: DataFrame, years: tuple[int, int] | None = None, topics: list[str] | None = None, limit: int | None = None, seed: int = 42) -> DataFrame:
@@ -98,3 +99,26 @@ def stratified_split(df: DataFrame, strata: list[str], key: str, shares: tuple[f
     order = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), key)
     at = (F.row_number().over(order) - 1) / F.count(F.lit(1)).over(Window.partitionBy(*strata))
     return df.withColumn("split", F.when(at < shares[0], "train").when(at < sum(shares), "dev").otherwise("test"))
+
+
+def near_duplicate_bodies(articles: DataFrame, threshold: float = 0.95, words: int = 5) -> DataFrame:
+    """(a, b, similarity): pairs a < b of articles whose sets of word shingles have at least this Jaccard similarity.
+
+    Two such sets share one of the few rarest shingles of each (prefix filter), so only those are joined; shingles that occur
+    once are left out of the join. Bodies are compared in lower case; shorter ones are one shingle. Dedup exact copies first.
+    """
+    w = tokens(F.lower("body"))
+    # Shifted copies of the words side by side; a lambda that refers to the words would split the body anew for each shingle.
+    side = F.arrays_zip(*[F.slice(w, k + 1, F.greatest(F.size(w) - (words - 1), F.lit(0))).alias(f"w{k}") for k in range(words)])
+    grams = F.when(F.size(w) >= words, F.transform(side, lambda x: F.xxhash64(F.concat_ws(" ", *[x[f"w{k}"] for k in range(words)])))).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " "))))
+    base = materialize(articles.select("article_id", F.array_distinct(grams).alias("s")), "shingles").filter("size(s) > 0").withColumn("n", F.size("s"))
+    each = base.select("article_id", "n", F.explode("s").alias("t"))
+    often = each.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    ranked = each.join(often, "t").groupBy("article_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
+    prefix = ranked.select("article_id", "n", F.explode(F.slice("r", 1, (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("x")).filter("x.df > 1").select("article_id", "n", "x.t")
+    a, b = (prefix.select(F.col("article_id").alias(k), F.col("n").alias(f"n{k}"), "t") for k in "ab")
+    near = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
+    pairs = a.join(b, "t").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    sets = [base.select(F.col("article_id").alias(k), F.col("s").alias(f"s{k}")) for k in "ab"]
+    both = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(sets[0], "a").join(sets[1], "b").withColumn("similarity", both / (F.size("sa") + F.size("sb") - both)).filter(F.col("similarity") >= threshold).select("a", "b", "similarity")

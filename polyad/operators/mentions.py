@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polyad.functions.text import bounded_alternation, char_span, python_strip, word_chunks
+from polyad.functions.text import bounded_alternation, char_span, python_strip, tokens, word_chunks
 from polyad.functions.vocabulary import MENTION_LABELS
 from polyad.schema import NODE_TYPES
 
@@ -17,7 +17,8 @@ ENTITIES = "array<struct<text:string,type:string,score:double,char_span:array<in
 
 def chunks(articles: DataFrame, max_words: int = 300, overlap: int = 30) -> DataFrame:
     """(article_id, chunk, word_offset)."""
-    return articles.select("article_id", F.explode(word_chunks(F.col("body"), max_words, overlap)).alias("c")).select("article_id", "c.chunk", "c.word_offset")
+    split = articles.select("article_id", "body", tokens(F.col("body")).alias("words"))
+    return split.select("article_id", F.explode(word_chunks(F.col("body"), F.col("words"), max_words, overlap)).alias("c")).select("article_id", "c.chunk", "c.word_offset")
 
 
 def tag(articles: DataFrame, names: dict[str, list[str]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,11 @@ def cost_estimate(articles: DataFrame, actors: DataFrame, system_chars: int, pri
     return sums.withColumn("out_tokens", F.col("items") * out_tokens).withColumn("cost", F.col("in_tokens") / 1e6 * price_in + F.col("out_tokens") / 1e6 * price_out)
 
 
+def extract_with(requests: DataFrame, model: Callable) -> DataFrame:
+    """(key, prompt) to replies (article_id, text) by a model: it maps an iterator of pandas frames (key, prompt) to frames (article_id, text)."""
+    return requests.mapInPandas(model, "article_id string, text string")
+
+
 def explode_replies(replies: DataFrame) -> DataFrame:
     """(article_id, text) to one row per relation with its place ``ord``; what isn't JSON gives none."""
     got = F.from_json(strip_fence(F.col("text")), f"struct<relations:array<{RELATION}>>")

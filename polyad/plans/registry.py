@@ -158,6 +158,17 @@ def shard_slice(spark, sf_dir):
     return lake.shard(fx.articles(spark, sf_dir).select("article_id", "year"), 1, 4, "year", "article_id").select("article_id")
 
 
+@query(
+    "SELECT a.article_id AS a, b.article_id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS similarity FROM grams a JOIN grams b ON a.g = b.g AND a.article_id < b.article_id GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.8",
+    fx.ARTICLES_SQL,
+    "words AS (SELECT article_id, list_filter(regexp_split_to_array(lower(body), '\\s+'), lambda x: x <> '') AS w FROM articles)",
+    "sets AS (SELECT article_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM words)",
+    "grams AS (SELECT article_id, len(s) AS n, unnest(s) AS g FROM sets)",
+)
+def near_duplicate_bodies(spark, sf_dir):
+    return art.near_duplicate_bodies(fx.articles(spark, sf_dir), 0.8).withColumn("similarity", F.round("similarity", 6))
+
+
 # Mentions.
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polyad.functions.text import try_date
+from polyad.operators import graph
+from polyad.schema import TABLES
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = True) -> DataFrame:
@@ -155,8 +157,26 @@ def export_tables(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
     return {name: replace_table(df, f"{root}/{name}") for name, df in tables.items()}
 
 
-def table_names(spark: SparkSession) -> list[str]:
-    return sorted(t.name for t in spark.catalog.listTables())
+def init_database(spark: SparkSession, name: str) -> list[str]:
+    """Drop and create the graph's tables, empty, in a database of this name."""
+    spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
+    spark.sql(f"CREATE DATABASE `{name}`")
+    for table, ddl in TABLES.items():
+        spark.sql(f"CREATE TABLE `{name}`.`{table}` ({ddl}) USING parquet")
+    return table_names(spark, name)
+
+
+def export_public(nodes: DataFrame, edges: DataFrame, articles: DataFrame, root: str) -> dict:
+    """The public tables under ``root``, without quotes and texts, and their summary as ``stats.json``."""
+    counts = export_tables({"nodes": graph.public_nodes(nodes, edges), "edges": graph.public_edges(edges), "articles_meta": graph.public_articles(articles)}, root)
+    summary = graph.stats(graph.with_degree(nodes, edges), edges, articles) | {"exported": counts}
+    line = nodes.sparkSession.createDataFrame([(json.dumps(summary, ensure_ascii=False),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(f"{root}/stats.json")
+    return summary
+
+
+def table_names(spark: SparkSession, database: str | None = None) -> list[str]:
+    return sorted(t.name for t in spark.catalog.listTables(database) if not (database and t.isTemporary))
 
 
 def cached_by_count(df: DataFrame, path: str) -> DataFrame:

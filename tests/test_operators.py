@@ -151,3 +151,23 @@ def test_validation_rules(spark):
 def test_numbered(spark):
     got = relations.numbered(spark.range(50).repartition(7), "n", "id").collect()
     assert all(r["id"] == r["n"] for r in got) and len(got) == 50
+
+
+def test_database_and_export(spark, tmp_path):
+    from polyad.sources import lake
+
+    assert lake.init_database(spark, "graphdb") == sorted(schema.TABLES)
+    nodes = spark.createDataFrame([("a", "A", "person"), ("b", "B", "party"), ("c", "C", "org")], "node_id string, canonical string, node_type string")
+    edges = spark.createDataFrame([("a", "b", "x", "attacks", "negative", "i", "2020")], "from_node_id string, to_node_id string, article_id string, act_type string, polarity string, issue string, period string").withColumn("publish_date", F.lit("2020-01-01").cast("date"))
+    arts = spark.createDataFrame([("x", "s", 2020, "2020")], "article_id string, source string, year int, period string").withColumn("publish_date", F.lit("2020-01-01").cast("date"))
+    got = lake.export_public(nodes, edges, arts, str(tmp_path / "out"))
+    assert got["exported"] == {"nodes": 2, "edges": 1, "articles_meta": 1} and got["polarity"] == {"negative": 1} and got["years"] == [2020, 2020]
+
+
+def test_model_interfaces(spark):
+    def reply(frames):
+        for f in frames:
+            yield f.rename(columns={"key": "article_id", "prompt": "text"})
+
+    rows = relations.extract_with(spark.createDataFrame([("k", '{"relations": [{"from_entity": "a", "to_entity": "b"}]}'), ("z", "no")], "key string, prompt string"), reply)
+    assert [(r["article_id"], r["from_entity"], r["act_type"]) for r in relations.explode_replies(rows).collect()] == [("k", "a", None)]
