@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polyad.functions.text import alternation, bounded_alternation, md5_rank, tokens
+from polyad.operators.numbering import numbered
 from polyad.sources.scratch import materialize
 
 
@@ -85,8 +86,13 @@ def political_volume(lake: DataFrame, actors: list[str], lexicon: list[str], min
 def top_up(pool: DataFrame, taken: DataFrame, quotas: DataFrame, seed: int = 42) -> DataFrame:
     """Of each year its quota (year, need) of articles not taken yet, in the seeded hash order."""
     fresh = pool.join(taken.select("article_id").distinct(), "article_id", "left_anti")
-    order = Window.partitionBy("year").orderBy(md5_rank(F.concat("article_id", F.lit(str(seed)))), "article_id")
-    return fresh.withColumn("__rn", F.row_number().over(order)).join(F.broadcast(quotas), "year").filter(F.col("__rn") <= F.col("need")).drop("__rn", "need")
+    rank = md5_rank(F.concat("article_id", F.lit(str(seed))))
+    # A year can hold a large part of all rows, so parts of it are cut to the largest quota first.
+    most = quotas.agg(F.coalesce(F.max("need"), F.lit(0))).first()[0]
+    parts = Window.partitionBy("year", "__part").orderBy(rank, "article_id")
+    cut = fresh.withColumn("__part", F.pmod(F.xxhash64("article_id"), F.lit(256))).withColumn("__rn", F.row_number().over(parts)).filter(F.col("__rn") <= most).drop("__rn", "__part")
+    order = Window.partitionBy("year").orderBy(rank, "article_id")
+    return cut.withColumn("__rn", F.row_number().over(order)).join(F.broadcast(quotas), "year").filter(F.col("__rn") <= F.col("need")).drop("__rn", "need")
 
 
 def with_json_lists(df: DataFrame, *columns: str) -> DataFrame:
@@ -96,9 +102,14 @@ def with_json_lists(df: DataFrame, *columns: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, strata: list[str], key: str, shares: tuple[float, float] = (0.6, 0.2), seed: int = 42) -> DataFrame:
     """Adds ``split``: train, dev and test within each stratum, in the seeded hash order."""
-    order = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), key)
-    at = (F.row_number().over(order) - 1) / F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    return df.withColumn("split", F.when(at < shares[0], "train").when(at < sum(shares), "dev").otherwise("test"))
+    rows = numbered(df.withColumn("__h", F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))), "__i", *strata, "__h", key)
+    sizes = rows.groupBy(*[F.col(c).alias(f"__of_{c}") for c in strata]).agg(F.min("__i").alias("__start"), F.count(F.lit(1)).alias("__n"))
+    same = F.lit(True)
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    at = (F.col("__i") - F.col("__start")) / F.col("__n")
+    out = rows.join(sizes, same).withColumn("split", F.when(at < shares[0], "train").when(at < sum(shares), "dev").otherwise("test"))
+    return out.select(*df.columns, "split")
 
 
 def near_duplicate_bodies(articles: DataFrame, threshold: float = 0.95, words: int = 5) -> DataFrame:

@@ -168,21 +168,6 @@ def edges(linked: DataFrame, run_id: str, order: list[str], keys: tuple[str, ...
     return kept.select("from_node_id", "to_node_id", "article_id", F.lit(run_id).alias("run_id"), "act_type", "polarity", "issue", "evidence_quote", F.lit(None).cast("double").alias("confidence"), "publish_date", period(F.col("publish_date")).alias("period"))
 
 
-def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """Adds gapless ids from 0 in this order: numbers in range partitions, after a count of each, so that no task sees all rows."""
-    spark = df.sparkSession
-    from polyad.sources.scratch import materialize
-
-    sorted_ = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()), "numbered")
-    counts = sorted_.groupBy("__p").count().collect()
-    start, total = {}, 0
-    for p, n in sorted(map(tuple, counts)):
-        start[p], total = total, total + n
-    offsets = spark.createDataFrame(list(start.items()), "__p int, __start bigint")
-    within = Window.partitionBy("__p").orderBy(*order)
-    return sorted_.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__start") + F.row_number().over(within) - 1).drop("__p", "__start")
-
-
 def resolve_mentions_to_nodes(mentions: DataFrame, assign: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Mentions with the node of their surface, or else of their normalised form; others are left out."""
     by_form = mentions.withColumn("__form", normalize(F.col("text")))

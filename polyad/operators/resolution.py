@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from polyad.functions.similarity import may_reach, token_sort_ratio, token_sort_ratio_col
 from polyad.functions.text import normalize, strip_role, token_count, tokens
 from polyad.operators.components import components
+from polyad.operators.numbering import numbered
 from polyad.sources.scratch import materialize
 
 CUTOFF = 90
@@ -145,8 +146,6 @@ def resolve(mentions: DataFrame, known: DataFrame | None = None, cutoff: int = C
 
     done = materialize(placed.groupBy("component").applyInPandas(run, "surface string, type string, freq bigint, ns string, head string, head_type string, head_freq bigint, head_ns string"), "resolved")
     heads = done.groupBy("head", "head_type").agg(F.first("head_freq").alias("head_freq"), F.first("head_ns").alias("ns"), F.sort_array(F.collect_set("surface")).alias("aliases"), F.sum("freq").alias("n"), F.sort_array(F.collect_list(F.struct(-F.col("freq"), F.col("surface"), F.col("ns")))).alias("members"))
-    from polyad.operators.relations import numbered
-
     nodes = numbered(heads.withColumn("__order", -F.col("head_freq")), "idx", "__order", "head", "head_type").withColumn("node_id", F.concat(F.lit("N"), F.lpad(F.col("idx").cast("string"), 5, "0")))
     if known is None:
         canonical = nodes.withColumn("canonical", F.col("head"))

@@ -12,6 +12,7 @@ from polyad.functions.vocabulary import GENERIC_ACTORS, MENTION_LABELS
 from polyad.operators import articles as art
 from polyad.operators import curation, graph, mentions, relations, resolution, scoring, signed, topics
 from polyad.operators.components import roots
+from polyad.operators.numbering import numbered
 from polyad.plans import fixtures as fx
 from polyad.schema import ACT_TYPES, NODE_TYPES
 from polyad.sources import lake
@@ -323,7 +324,7 @@ def edges_dedup_keep_first(spark, sf_dir):
 @query("SELECT *, row_number() OVER (ORDER BY from_node_id, to_node_id, article_id, act_type) - 1 AS edge_id FROM (SELECT DISTINCT from_node_id, to_node_id, article_id, act_type FROM edges)", fx.EDGES_SQL)
 def edges_numbered(spark, sf_dir):
     keys = ["from_node_id", "to_node_id", "article_id", "act_type"]
-    return relations.numbered(fx.edges(spark, sf_dir).select(*keys).distinct(), "edge_id", *keys)
+    return numbered(fx.edges(spark, sf_dir).select(*keys).distinct(), "edge_id", *keys)
 
 
 @query("SELECT * FROM edges", fx.EDGES_SQL)

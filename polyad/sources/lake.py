@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from polyad.functions.text import try_date
 from polyad.operators import graph
+from polyad.operators.numbering import numbered
 from polyad.schema import TABLES
 
 
@@ -86,8 +87,8 @@ def pending(df: DataFrame, done: DataFrame, key: str = "article_id") -> DataFram
 
 
 def shard(df: DataFrame, k: int, of: int, *order: str) -> DataFrame:
-    """Every ``of``-th row in this order, from the ``k``-th on. The order is total, so one task numbers all keys; for large tables take ``hash_shard``."""
-    return df.withColumn("__i", F.row_number().over(Window.orderBy(*order)) - 1).filter(F.col("__i") % of == k).drop("__i")
+    """Every ``of``-th row in this order, from the ``k``-th on. ``hash_shard`` does without a sort."""
+    return numbered(df, "__i", *order).filter(F.col("__i") % of == k).drop("__i")
 
 
 def hash_shard(df: DataFrame, k: int, of: int, key: str) -> DataFrame:
@@ -97,9 +98,8 @@ def hash_shard(df: DataFrame, k: int, of: int, key: str) -> DataFrame:
 
 def split_lines(df: DataFrame, parts: int, *order: str) -> DataFrame:
     """Contiguous parts of equal size, the last one shorter: adds ``part`` from 0."""
-    n = df.count()
-    per = -(-n // parts) if n else 1
-    return df.withColumn("part", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / per).cast("int"))
+    per = max(1, -(-df.count() // parts))
+    return numbered(df, "__i", *order).withColumn("part", F.floor(F.col("__i") / per).cast("int")).drop("__i")
 
 
 def request_lines(prompts: DataFrame, system: str, max_output_tokens: int = 8192, temperature: float = 0.0) -> DataFrame:

@@ -9,6 +9,7 @@ from polyad import schema
 from polyad.functions import text as T
 from polyad.functions.similarity import indel_ratio, lcs_length, token_sort_ratio, token_sort_ratio_col
 from polyad.operators import curation, graph, mentions, relations, resolution, signed
+from polyad.operators.numbering import numbered
 
 
 def plain_lcs(a, b):
@@ -149,7 +150,7 @@ def test_validation_rules(spark):
 
 
 def test_numbered(spark):
-    got = relations.numbered(spark.range(50).repartition(7), "n", "id").collect()
+    got = numbered(spark.range(50).repartition(7), "n", "id").collect()
     assert all(r["id"] == r["n"] for r in got) and len(got) == 50
 
 
