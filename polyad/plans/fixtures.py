@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polyad.functions.text import period, sign
+from polyad.functions.text import period
 from polyad.schema import ACT_TYPES, NODE_TYPES
 from polyad.sources.lake import dedup_articles, has_body, news_articles
 
@@ -189,7 +189,3 @@ ALIASES_SQL = f"""aliases AS (
   SELECT 'S' || s_suppkey AS node_id, {sql_pick(NAMES, 's_suppkey % 10')} AS surface_form,
          {sql_pick(["maria jose perez", "maria jose perez", "maria jose perez", "alberto espina", "alberto espinoza", "teodoro ribera", "teodoro ribiera", "gabriel boric font", "udi", "union democrata independiente"], 's_suppkey % 10')} AS surface_norm,
          CAST(s_suppkey * 7 % 31 AS INTEGER) AS n_occurrences FROM supplier)"""
-
-
-def signed(df: DataFrame) -> DataFrame:
-    return df.withColumn("sign", sign(F.col("polarity")))
