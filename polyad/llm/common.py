@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Null ids take this value inside an operator, so they sort first, and turn null again in its result.
-NULL_ID = -(2**63)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            at = tempfile.mkdtemp(prefix="polyad-")
-        else:
-            at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+from polyad.sources.scratch import materialize, new_path, shared_dir
 
+__all__ = ["NULL_ID", "ascii_blank", "bound_batches", "id_back", "id_of", "materialize", "new_path", "read_table", "shared_dir", "without"]
 
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Null ids take this value inside an operator, so they sort first, and turn null again in its result.
+NULL_ID = -(2**63)
 
 
 #: Rows of an Arrow batch where the session leaves Spark's default: rows here hold whole texts.

@@ -1,44 +1,5 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components, as the operators of this subpackage use them."""
 
-from __future__ import annotations
+from polyad.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from polyad.llm.common import materialize
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. Minima are written first, so that the join that follows reads two plain shuffles and hot nodes can be split."""
-    if large:
-        around = _both_ways(edges)
-        least = materialize(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-min")
-        out = around.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "star-min")
-        out = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-    return materialize(out.filter(F.col("u") != F.col("v")).distinct(), "star")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v) of longs to (node, component) for every node of an edge; component is the smallest node reachable.
-
-    Loops and repeated edges don't matter; edges with a null end are left out. No edges give an empty result.
-    """
-    edges = materialize(edges.select("u", "v").filter("u <> v").distinct(), "star")
-    before = None
-    while True:
-        edges = _star(_star(edges, True), False)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    # Each node but the roots points at its root now.
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+__all__ = ["components"]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyad.llm.common import materialize
+from polyad.llm.common import bound_batches, materialize
 from polyad.llm.simhash import SEED, majority
 
 WORDS = 5
@@ -124,6 +124,7 @@ def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
 
 
 def _over(df: DataFrame, text: Column, index: Index, schema: str, emit: Callable) -> DataFrame:
+    bound_batches(df.sparkSession)
     cast = df.withColumn("__text", text.cast("binary"))
     shared = df.sparkSession.sparkContext.broadcast(index)
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from polyad.llm.common import id_back
 from polyad.llm.windows import Scheme, apply_spans, covered, prepared, repeated_spans, runs
