@@ -15,10 +15,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polyad.llm.common import id_back, id_of, materialize
+from polyad.llm.common import bound_batches, id_back, id_of, materialize
 from polyad.llm.components import components
 
 BITS = 64
@@ -55,6 +55,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = [majority(shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", words)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
 
+    bound_batches(df.sparkSession)
     return df.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, fp bigint")
 
 
@@ -135,7 +136,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Bits by which fingerprints of distinct words may differ between candidates, and tables that are done one by one first.
 WORD_RADIUS = 5
-SINGLE_TABLES = 4
+SINGLE_TABLES = 3
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -150,13 +151,21 @@ def _keyed(active: DataFrame, masks: list[int]) -> DataFrame:
     return active.select("fp", "id", F.explode(tables).alias("b")).select("b.t", "b.k", "fp", "id")
 
 
-def _close_pairs(buckets: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Pairs u < v within the radius in buckets of bounded size (keys, fp, id)."""
+def _close_pairs(buckets: DataFrame, keys: list[str], radius: int, masks: list[int]) -> DataFrame:
+    """Pairs u < v within the radius in buckets of bounded size (keys with t, fp, id), each in the first table where it meets."""
+    kept = F.array(*[F.lit(signed(m)) for m in masks])
+
+    def first(a: Column, b: Column) -> Column:
+        return F.array_position(F.transform(kept, lambda m: a["fp"].bitwiseXOR(b["fp"]).bitwiseAND(m)), F.lit(0).cast("long")) - 1
+
+    def close(a: Column, b: Column) -> Column:
+        return (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= radius) & (a["id"] != b["id"])
+
     pairs = F.flatten(
         F.transform(
             "m",
             lambda a, i: F.transform(
-                F.filter(F.slice("m", i + 2, F.size("m")), lambda b: (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= radius) & (a["id"] != b["id"])),
+                F.filter(F.slice("m", i + 2, F.size("m")), lambda b: F.when(close(a, b), first(a, b) == F.col("t")).otherwise(False)),
                 lambda b: F.struct(F.least(a["id"], b["id"]).alias("u"), F.greatest(a["id"], b["id"]).alias("v")),
             ),
         )
@@ -164,6 +173,12 @@ def _close_pairs(buckets: DataFrame, keys: list[str], radius: int) -> DataFrame:
     return buckets.groupBy(*keys).agg(F.collect_list(F.struct("fp", "id")).alias("m")).select(F.explode(pairs).alias("e")).select("e.u", "e.v").distinct()
 
 
+def _with_neighbour(buckets: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """(id) of documents with another one within the radius in a bucket of bounded size."""
+    met = F.filter("m", lambda a: F.exists("m", lambda b: (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= radius) & (a["id"] != b["id"])))
+    return buckets.groupBy(*keys).agg(F.collect_list(F.struct("fp", "id")).alias("m")).select(F.explode(met).alias("e")).select("e.id").distinct()
+
+
 def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets (id, shingles) have at least this Jaccard similarity."""
 
@@ -180,13 +195,20 @@ def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float) -> D
     return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
+def _outdone(links_: DataFrame) -> DataFrame:
+    """(id): documents linked to one that has more links, or as many and a smaller id. The one in the middle of a group stays to stand for it."""
+    n = materialize(links_.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")), "word-degrees")
+    a, b = (n.select(F.col("id").alias(x), F.struct("n", (-F.col("id")).alias("less")).alias(f"n{x}")) for x in "uv")
+    return links_.join(a, "u").join(b, "v").select(F.when(F.col("nu") >= F.col("nv"), F.col("v")).otherwise(F.col("u")).alias("id")).distinct()
+
+
 def verified_links(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, radius: int) -> DataFrame:
     """Links (u, v) between ids of documents whose shingle sets are similar, as far as their word fingerprints lie within the radius.
 
     Buckets of up to SMALL documents compare all pairs. Larger ones, as copies of one text with small changes make, are dealt
-    into small ones at random; the larger id of each verified link leaves, and what stays is dealt anew, until the bucket is
-    small or a round finds no link; then its blocks are compared with each other. The first tables go one by one, so that such
-    groups have shrunk before all tables are made.
+    into small ones at random; of each verified link the one with fewer links leaves, and what stays is dealt anew, as long as
+    that halves the crowded buckets; then their blocks are compared with each other. The first tables go one by one, so that such groups
+    have shrunk before all tables are made.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,35 +222,42 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, words: int, simila
             sets = [np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", words)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
+    bound_batches(df.sparkSession)
     texts = df.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     active = materialize(texts.mapInArrow(run, "id bigint, fp bigint"), "word-fingerprints")
     masks = covering_masks(radius)
     keyed = _keyed(active, masks)
     shared = materialize(keyed.join(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["t", "k"]), "word-buckets")
-    near = _close_pairs(shared.filter(F.col("n") <= SMALL), ["t", "k"], radius)
-    wanted = shared.filter(F.col("n") > SMALL).select("id").unionByName(near.select(F.explode(F.array("u", "v")).alias("id"))).distinct()
+    wanted = shared.filter(F.col("n") > SMALL).select("id").unionByName(_with_neighbour(shared.filter(F.col("n") <= SMALL), ["t", "k"], radius)).distinct()
     shingled = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(shingle, "id bigint, shingles binary").dropDuplicates(["id"]), "word-shingles")
     active = materialize(active.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "word-active")
-    found, salt = [], 0
+    found, salt, checked = [], 0, df.sparkSession.createDataFrame([], "u bigint, v bigint")
     for part in [*([m] for m in masks[:SINGLE_TABLES]), masks[SINGLE_TABLES:]]:
+        before = None
         while True:
             salt += 1
             keyed = _keyed(active, part)
             sizes = materialize(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-sizes")
+            crowd = sizes.filter(F.col("n") > SMALL).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            last = before is not None and 2 * crowd > before
             blocks = F.when(F.col("n") > SMALL, F.ceil(F.col("n") / (SMALL // 2))).otherwise(1)
-            dealt = materialize(keyed.join(sizes, ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), blocks)), "word-dealt")
-            links_ = materialize(similar_pairs(_close_pairs(dealt, ["t", "k", "block"], radius), shingled, similarity), "word-links")
-            crowded, none = not sizes.filter(F.col("n") > SMALL).isEmpty(), links_.isEmpty()
-            if crowded and none:  # unlike documents that share a bucket: each block with each other one
-                many = dealt.filter(F.col("n") > SMALL).withColumn("blocks", blocks)
-                both = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).select("t", "k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp", "id")
-                links_ = materialize(similar_pairs(_close_pairs(both.filter("i <> j"), ["t", "k", "i", "j"], radius), shingled, similarity), "word-links")
-                none = links_.isEmpty()
-            if not none:
-                found.append(links_)
-                active = materialize(active.join(links_.select(F.col("v").alias("id")).distinct(), "id", "left_anti"), "word-active")
-            if not crowded or none:
+            dealt = keyed.join(sizes, ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), blocks))
+            if last:  # what dealing at random doesn't halve any more: each block with each other one, too
+                dealt = materialize(dealt.withColumn("blocks", blocks), "word-dealt")
+                each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+                dealt = each.select("t", "k", F.least("block", "other").alias("block"), F.greatest("block", "other").alias("with"), "fp", "id")
+                near = _close_pairs(dealt, ["t", "k", "block", "with"], radius, part)
+            else:
+                near = _close_pairs(dealt, ["t", "k", "block"], radius, part)
+            near = materialize(near.join(checked, ["u", "v"], "left_anti"), "word-pairs")
+            checked = checked.unionByName(near)
+            similar = materialize(similar_pairs(near, shingled, similarity), "word-links")
+            if not similar.isEmpty():
+                found.append(similar)
+                active = materialize(active.join(_outdone(similar), "id", "left_anti"), "word-active")
+            if last or not crowd:
                 break
+            before = crowd
     out = df.sparkSession.createDataFrame([], "u bigint, v bigint")
     for f in found:
         out = out.unionByName(f)
