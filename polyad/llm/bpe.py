@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from polyad.llm.common import without
+from polyad.llm.common import bound_batches, without
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -64,6 +64,8 @@ class MergeList:
         for rank, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        self.ranks = {pair: rank for pair, (rank, _) in self.merges.items()}
+        self.made = [new for _, new in self.merges.values()]  # by rank
         self.lookahead = self._lookahead()
         self.longest = max(map(len, self.table.values()))
 
@@ -83,16 +85,17 @@ class MergeList:
         n, merges = len(ids), self.merges
         if n < 2:
             return ids
-        if n < 40:
-            while len(ids) > 1:
-                best, at, new = 1 << 60, -1, 0
-                for i, pair in enumerate(zip(ids, ids[1:])):
-                    m = merges.get(pair)
-                    if m and m[0] < best:
-                        best, new, at = m[0], m[1], i
-                if at < 0:
-                    break
-                ids[at : at + 2] = [new]
+        if n < 64:
+            rank, made, never = self.ranks.get, self.made, len(self.made)
+            ranks = [rank(pair, never) for pair in zip(ids, ids[1:])]
+            while ranks and (m := min(ranks)) < never:
+                i = ranks.index(m)
+                ids[i : i + 2] = (made[m],)
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = rank((ids[i - 1], ids[i]), never)
+                if i < len(ranks):
+                    ranks[i] = rank((ids[i], ids[i + 1]), never)
             return ids
         after, before, heap = [*range(1, n), -1], list(range(-1, n - 1)), []
         for i in range(n - 1):
@@ -276,6 +279,7 @@ def encode_decode(df: DataFrame, path: str, text_col: str = "text", batch_bytes:
     whole. Input columns named like the added ones, in any case, are replaced.
     """
     df = without(df, *ADDED)
+    bound_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
