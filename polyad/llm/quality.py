@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyad.llm.common import id_back, id_of, materialize
+from polyad.llm.common import bound_batches, id_back, id_of, materialize
 
 #: Bound on the labelled rows that are fitted on, chosen by hash.
 MAX_LABELLED = 8_000
@@ -173,6 +173,7 @@ class Model:
 
 def _map(docs: DataFrame, columns: list, schema: str, row: Callable) -> DataFrame:
     """Rows of ``row(text, metadata)`` beside the leading columns."""
+    bound_batches(docs.sparkSession)
     n, meta = len(columns), [c for c in META if c in docs.columns]
     picked = docs.select(*columns, F.col("text").cast("binary").alias("__text"), *[F.col(c).alias(f"__meta_{c}") for c in meta])
     names = [x.split()[0].strip("`") for x in schema.split(", ")]
@@ -225,13 +226,16 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled
             .join(F.broadcast(seen), F.col("id") == F.col("seen"), "left_anti"),
             "confident",
         )
+        chosen = None
         for view, other in (("text", 2), ("meta", 1)):
             for good, sure in ((1, F.col(view)), (0, 1 - F.col(view))):
-                top = scored.filter(sure >= CONFIDENT).orderBy(sure.desc(), F.xxhash64("id"), "id").limit(PER_ROUND).select("id", F.lit(good).alias("good"))
-                for i, x in _features(docs, materialize(top.dropDuplicates(["id"]), "pseudo")).items():
-                    if i not in used:
-                        sets[other].append((x[other], good))
-                        used.add(i)
+                top = scored.filter(sure >= CONFIDENT).orderBy(sure.desc(), F.xxhash64("id"), "id").limit(PER_ROUND).select("id", F.lit(2 * other + good).alias("good"))
+                chosen = top if chosen is None else chosen.unionByName(top)
+        # A document that both views chose goes by the text's label.
+        once = chosen.groupBy("id").agg(F.max("good").alias("good"))
+        for i, x in _features(docs, materialize(once, "pseudo")).items():
+            sets[x[0] // 2].append((x[x[0] // 2], x[0] % 2))
+            used.add(i)
     return model
 
 
@@ -253,6 +257,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that ``score`` keeps, with all their columns, without a shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     meta = [c for c in META if c in docs.columns]
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
