@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from polyad.llm.common import bound_batches, id_back, id_of, materialize
 from polyad.llm.components import components
@@ -134,49 +135,90 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(of, "fp").select(id_back("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_back("component_id").alias("component_id"))
 
 
-#: Bits by which fingerprints of distinct words may differ between candidates, and tables that are done one by one first.
-WORD_RADIUS = 5
-SINGLE_TABLES = 3
-_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Share of the texts, and least number of them, whose shingles are counted to find common ones; most common ones kept on the driver.
+SAMPLE_SHARE, SAMPLE_ROWS = 0.02, 5_000
+COMMON = 200_000
 
 
-def word_fingerprint(text: bytes) -> int:
-    """The SimHash of the distinct lower-cased words without marks at their ends."""
-    words = {w.strip(_MARKS) for w in text.lower().split()}
-    return majority(np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words)))
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, of shingles that many texts (id, text) of a sample hold, and in how many."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_ROWS / max(1, texts.count())))
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                if x.is_valid:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_buffer().to_pybytes(), words)).view(np.int64))], names=["t"])
 
-def _keyed(active: DataFrame, masks: list[int]) -> DataFrame:
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks)])
-    return active.select("fp", "id", F.explode(tables).alias("b")).select("b.t", "b.k", "fp", "id")
+    chosen = texts.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(10_000)) < int(share * 10_000)).select("text")
+    often = chosen.mapInArrow(run, "t bigint").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(2, int(SMALL * share)))
+    rows = often.orderBy(F.desc("n"), "t").limit(COMMON).toArrow()
+    t, n = rows.column("t").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(t)
+    return t[order], n[order]
 
 
-def _close_pairs(buckets: DataFrame, keys: list[str], radius: int, masks: list[int]) -> DataFrame:
-    """Pairs u < v within the radius in buckets of bounded size (keys with t, fp, id), each in the first table where it meets."""
-    kept = F.array(*[F.lit(signed(m)) for m in masks])
+def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(t, id, n, pos): the first shingles of every text (id, text) in one order for all texts, as many as any similar text must share one of.
 
-    def first(a: Column, b: Column) -> Column:
-        return F.array_position(F.transform(kept, lambda m: a["fp"].bitwiseXOR(b["fp"]).bitwiseAND(m)), F.lit(0).cast("long")) - 1
+    Common shingles come last and the others go by hash. Which ones count as common changes the work, never the result.
+    """
+    common, times = common_shingles(texts, words)
 
-    def close(a: Column, b: Column) -> Column:
-        return (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= radius) & (a["id"] != b["id"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in zip(batch.column(0), batch.column(1)):
+                s = np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", words))
+                if not len(s):
+                    continue
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    s = s[np.argsort(np.where(common[at] == s, times[at], 0), kind="stable")]
+                first = s[: len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1]
+                k = len(first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first.view(np.int64)), pa.array(np.full(k, i.as_py(), np.int64)), pa.array(np.full(k, len(s), np.int32)), pa.array(np.arange(k, dtype=np.int32))], names=["t", "id", "n", "pos"]
+                )
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rows = [], 0
+        for batch in run(batches):
+            kept.append(batch)
+            rows += batch.num_rows
+            if rows >= 10_000:
+                yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+                kept, rows = [], 0
+        if kept:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+    return texts.mapInArrow(joined, "t bigint, id bigint, n int, pos int")
+
+
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether sets that first meet in shingles at these places can be as similar: by their sizes and by what is left of them."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    left = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
+    slack = 1e-9
+    return (na >= similarity * nb - slack) & (nb >= similarity * na - slack) & (left * (1 + similarity) >= similarity * (na + nb) - slack)
 
-    pairs = F.flatten(
-        F.transform(
-            "m",
-            lambda a, i: F.transform(
-                F.filter(F.slice("m", i + 2, F.size("m")), lambda b: F.when(close(a, b), first(a, b) == F.col("t")).otherwise(False)),
-                lambda b: F.struct(F.least(a["id"], b["id"]).alias("u"), F.greatest(a["id"], b["id"]).alias("v")),
-            ),
-        )
-    )
-    return buckets.groupBy(*keys).agg(F.collect_list(F.struct("fp", "id")).alias("m")).select(F.explode(pairs).alias("e")).select("e.u", "e.v").distinct()
 
+#: Cells of a set's sketch: how many of its shingles fall into each, up to 255.
+CELLS = 256
 
-def _with_neighbour(buckets: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """(id) of documents with another one within the radius in a bucket of bounded size."""
-    met = F.filter("m", lambda a: F.exists("m", lambda b: (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= radius) & (a["id"] != b["id"])))
-    return buckets.groupBy(*keys).agg(F.collect_list(F.struct("fp", "id")).alias("m")).select(F.explode(met).alias("e")).select("e.id").distinct()
+
+def maybe_similar_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) but those whose sketches (id, sketch) rule out this similarity: two sets share at most the smaller count of each cell."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, CELLS) for c in (batch.column(2), batch.column(3)))
+            both = np.minimum(a, b)
+            enough = both.sum(axis=1, dtype=np.int64) * (1 + similarity) >= similarity * (a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)) - 1e-6
+            keep = enough | (both == 255).any(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
+
+    a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "uv")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
 def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
@@ -195,82 +237,70 @@ def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float) -> D
     return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
-def _outdone(links_: DataFrame) -> DataFrame:
-    """(id): documents linked to one that has more links, or as many and a smaller id. The one in the middle of a group stays to stand for it."""
-    n = materialize(links_.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")), "word-degrees")
-    a, b = (n.select(F.col("id").alias(x), F.struct("n", (-F.col("id")).alias("less")).alias(f"n{x}")) for x in "uv")
-    return links_.join(a, "u").join(b, "v").select(F.when(F.col("nu") >= F.col("nv"), F.col("v")).otherwise(F.col("u")).alias("id")).distinct()
-
+def verified_links(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) between ids of documents whose shingle sets are similar: enough of them to connect all that any such links connect.
 
-def verified_links(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float, radius: int) -> DataFrame:
-    """Links (u, v) between ids of documents whose shingle sets are similar, as far as their word fingerprints lie within the radius.
-
-    Buckets of up to SMALL documents compare all pairs. Larger ones, as copies of one text with small changes make, are dealt
-    into small ones at random; of each verified link the one with fewer links leaves, and what stays is dealt anew, as long as
-    that halves the crowded buckets; then their blocks are compared with each other. The first tables go one by one, so that such groups
-    have shrunk before all tables are made.
+    Two similar sets share one of their first shingles, so documents meet in buckets by those. In crowded buckets one member
+    is compared with all others, as long as that halves the members of crowded buckets that aren't all connected; then
+    all pairs of all buckets are compared but those that are connected by then.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts_ = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(1)]
-            fps = np.array([word_fingerprint(t) for t in texts_], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"]).filter(pa.array([bool(t.strip()) for t in texts_], pa.bool_()))
-
     def shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", words)).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in shingle(batches):
+            cells = [np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % CELLS).astype(np.int64), minlength=CELLS) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes() for c in cells], pa.binary())], names=["id", "sketch"])
+
     bound_batches(df.sparkSession)
     texts = df.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    active = materialize(texts.mapInArrow(run, "id bigint, fp bigint"), "word-fingerprints")
-    masks = covering_masks(radius)
-    keyed = _keyed(active, masks)
-    shared = materialize(keyed.join(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["t", "k"]), "word-buckets")
-    wanted = shared.filter(F.col("n") > SMALL).select("id").unionByName(_with_neighbour(shared.filter(F.col("n") <= SMALL), ["t", "k"], radius)).distinct()
-    shingled = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(shingle, "id bigint, shingles binary").dropDuplicates(["id"]), "word-shingles")
-    active = materialize(active.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "word-active")
-    found, salt, checked = [], 0, df.sparkSession.createDataFrame([], "u bigint, v bigint")
-    for part in [*([m] for m in masks[:SINGLE_TABLES]), masks[SINGLE_TABLES:]]:
-        before = None
-        while True:
-            salt += 1
-            keyed = _keyed(active, part)
-            sizes = materialize(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "word-sizes")
-            crowd = sizes.filter(F.col("n") > SMALL).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-            last = before is not None and 2 * crowd > before
-            blocks = F.when(F.col("n") > SMALL, F.ceil(F.col("n") / (SMALL // 2))).otherwise(1)
-            dealt = keyed.join(sizes, ["t", "k"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), blocks))
-            if last:  # what dealing at random doesn't halve any more: each block with each other one, too
-                dealt = materialize(dealt.withColumn("blocks", blocks), "word-dealt")
-                each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
-                dealt = each.select("t", "k", F.least("block", "other").alias("block"), F.greatest("block", "other").alias("with"), "fp", "id")
-                near = _close_pairs(dealt, ["t", "k", "block", "with"], radius, part)
-            else:
-                near = _close_pairs(dealt, ["t", "k", "block"], radius, part)
-            near = materialize(near.join(checked, ["u", "v"], "left_anti"), "word-pairs")
-            checked = checked.unionByName(near)
-            similar = materialize(similar_pairs(near, shingled, similarity), "word-links")
-            if not similar.isEmpty():
-                found.append(similar)
-                active = materialize(active.join(_outdone(similar), "id", "left_anti"), "word-active")
-            if last or not crowd:
-                break
-            before = crowd
-    out = df.sparkSession.createDataFrame([], "u bigint, v bigint")
-    for f in found:
-        out = out.unionByName(f)
-    return out
-
-
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = WORD_RADIUS) -> DataFrame:
+    by_shingle = Window.partitionBy("t")
+    met = prefixes(texts, words, similarity).withColumn("m", F.count(F.lit(1)).over(by_shingle)).filter("m > 1")
+    shared = materialize(met.withColumn("c", F.col("id")), "shingle-buckets")
+    sketched = texts.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(sketch, "id bigint, sketch binary").dropDuplicates(["id"])
+    sketches = materialize(sketched, "shingle-sketches")
+    links_ = df.sparkSession.createDataFrame([], "u bigint, v bigint")
+    checked = links_
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        nonlocal checked
+        near = materialize(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct().join(checked, ["u", "v"], "left_anti"), "shingle-pairs")
+        checked = checked.unionByName(near)
+        near = materialize(maybe_similar_pairs(near, sketches, similarity), "shingle-candidates")
+        wanted = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        shingled = texts.join(wanted, "id", "left_semi").mapInArrow(shingle, "id bigint, shingles binary").dropDuplicates(["id"])
+        return materialize(similar_pairs(near, materialize(shingled, "shingle-sets"), similarity), "shingle-links")
+
+    before, salt = None, 0
+    while True:
+        crowd = shared.filter(F.col("m") > SMALL)
+        members = crowd.count()
+        if not members or (before is not None and 2 * members > before):
+            break
+        # The member with the least before its first common shingle, as an original has, then others at random.
+        rank = F.struct(F.when(F.lit(salt == 0), F.col("pos") / F.col("n")).otherwise(0.0), F.xxhash64("id", F.lit(salt)), "id")
+        hubs = materialize(crowd.groupBy("t").agg(F.min_by(F.struct("id", "n", "pos", "c"), rank).alias("h")).select("t", "h.*"), "shingle-hubs")
+        pairs = hubs.alias("a").join(crowd.alias("b"), "t").filter(F.col("a.c") != F.col("b.c"))
+        links_ = links_.unionByName(verify(pairs.filter(_may_be_similar("a", "b", similarity))))
+        of = materialize(components(links_), "shingle-components")
+        now = shared.drop("c").join(of, F.col("id") == F.col("node"), "left").select("t", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+        apart = now.withColumns({"m": F.count(F.lit(1)).over(by_shingle), "lo": F.min("c").over(by_shingle), "hi": F.max("c").over(by_shingle)}).filter("lo <> hi").drop("lo", "hi")
+        shared = materialize(apart, "shingle-buckets")
+        before, salt = members, salt + 1
+    pairs = shared.alias("a").join(shared.alias("b"), "t").filter((F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c")))
+    return links_.unionByName(verify(pairs.filter(_may_be_similar("a", "b", similarity))))
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id, with all its columns.
 
-    Documents are linked when the sets of their word shingles have at least this Jaccard similarity; candidates are those whose
-    word fingerprints lie within the radius, found by covering tables. Null and blank texts have no shingles and are all kept.
-    Rows that share an id count as one document. An empty table gives an empty result.
+    Documents are linked when the sets of their word shingles have at least this Jaccard similarity; all such pairs count, and
+    groups are their connected components. Null and blank texts have no shingles and are all kept. Rows that share an id count
+    as one document. An empty table gives an empty result.
     """
-    found = components(verified_links(df, id_col, text_col, words, similarity, radius))
+    found = components(verified_links(df, id_col, text_col, words, similarity))
     dropped = found.filter("node <> component").select(F.col("node").alias("__dropped_id")).distinct()
     return df.join(dropped, id_of(id_col) == F.col("__dropped_id"), "left_anti")

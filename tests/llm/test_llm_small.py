@@ -283,6 +283,25 @@ def test_verified_near_duplicates(spark, docs, small, monkeypatch):
     assert simhash.drop_near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def damaged(r, base, kind, k):
+    """A copy of the words with one kind of change."""
+    n = len(base)
+    own = ["own%d_%d" % (k, i) for i in range(n // (20 if kind == "block" else 10))]
+    at = r.randrange(n - len(own))
+    return {"appended": base + own, "cut": base[: n - len(own)], "block": base[:at] + own + base[at + len(own) :], "scattered": [w if r.random() > 0.015 else "zz%d" % k for w in base]}[kind]
+
+
+@pytest.mark.parametrize("kind", ["appended", "cut", "block", "scattered"])
+def test_near_duplicates_of_each_kind(spark, kind):
+    r, rows = random.Random(6), []
+    for k in range(60):
+        base = ["w%d" % r.randrange(3000) for _ in range(r.randrange(60, 300))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(damaged(r, base, kind, k)))]
+    pairs = similar(rows)
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert len(pairs) > 20 and kept == {d for d, _ in rows} - {b for _, b in pairs}
+
+
 def test_masks_cover():
     r = random.Random(0)
     for radius in (1, 2, 3):
