@@ -302,6 +302,22 @@ def test_near_duplicates_of_each_kind(spark, kind):
     assert len(pairs) > 20 and kept == {d for d, _ in rows} - {b for _, b in pairs}
 
 
+@pytest.mark.parametrize("small", [32, 3])
+def test_near_duplicates_are_components(spark, small, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    r, rows = random.Random(7), []
+    for g in range(25):
+        base = ["g%dw%d" % (g, r.randrange(3000)) for _ in range(200)]
+        copies = [base] + [damaged(r, base, "scattered", 10 * g + k) for k in range(8)]
+        rows += [(d, " ".join(w)) for d, w in zip(r.sample(range(100 * g, 100 * g + 100), 9), copies)]
+    pairs, least = similar(rows), {d: d for d, _ in rows}
+    for _ in range(9):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert kept == set(least.values())
+
+
 def test_masks_cover():
     r = random.Random(0)
     for radius in (1, 2, 3):
