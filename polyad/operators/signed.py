@@ -109,19 +109,27 @@ def communities(links: DataFrame, at_least: int = 4) -> DataFrame:
     return found.join(F.broadcast(sizes.withColumn("community", number)), "c").select("node_id", "community", "size")
 
 
-def label_propagation(links: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node_id, c): each round a node takes the label of most weight around it, the smallest on a tie."""
+def label_propagation(links: DataFrame) -> DataFrame:
+    """(node_id, c): nodes take the label of most weight around them, the smallest on a tie, until each has one of most weight.
+
+    A random half of the nodes that would change does so at a time, as neighbours that change together can swap labels for ever.
+    """
     from polyad.sources.scratch import materialize
 
     both = materialize(links.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("e")).select("e.*"), "links")
     labels = materialize(both.select(F.col("u").alias("node_id"), F.col("u").alias("c")).distinct(), "labels")
-    for _ in range(rounds):
+    salt = 0
+    while True:
+        salt += 1
         sums = both.join(labels.withColumnRenamed("node_id", "v"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
-        now = materialize(sums.groupBy("u").agg(F.min_by("c", F.struct(-F.col("w"), "c")).alias("c")).withColumnRenamed("u", "node_id"), "labels")
-        if now.join(labels, ["node_id", "c"], "left_anti").isEmpty():
-            return now
-        labels = now
-    return labels
+        mine = sums.join(labels.select(F.col("node_id").alias("u"), F.col("c").alias("mine")), "u")
+        best = mine.groupBy("u", "mine").agg(F.min_by("c", F.struct(-F.col("w"), "c")).alias("c"), F.max("w").alias("most"), F.max(F.when(F.col("c") == F.col("mine"), F.col("w"))).alias("own"))
+        # Sums of the same weights in another order differ in their last digits.
+        step = materialize(best.withColumn("change", F.coalesce(F.col("most") > F.col("own") * (1 + 1e-9), F.lit(True))), "labels")
+        if step.filter("change").isEmpty():
+            return labels
+        turn = F.col("change") & (F.pmod(F.xxhash64("u", F.lit(salt)), F.lit(2)) == 0)
+        labels = materialize(step.select(F.col("u").alias("node_id"), F.when(turn, F.col("c")).otherwise(F.col("mine")).alias("c")), "labels")
 
 
 def balance(pairs: DataFrame, of: DataFrame) -> DataFrame:

@@ -122,6 +122,13 @@ def test_label_propagation(spark):
     assert len({got[f"a{i}"] for i in range(4)}) == 1 and got["a0"] != got["b0"]
 
 
+def test_label_propagation_settles(spark):
+    links = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0), ("d", "e", 1.0), ("e", "f", 1.0), ("f", "c", 1.0)], "u string, v string, w double")
+    got = {r["node_id"]: r["c"] for r in signed.label_propagation(links).collect()}
+    around = {"c": "df", "d": "ce", "e": "df", "f": "ce"}
+    assert got["a"] == got["b"] and all(got[n] in {got[x] for x in near} for n, near in around.items())
+
+
 def test_degree_sum(spark):
     edges = spark.createDataFrame([("a", "b", "positive"), ("a", "a", "negative"), ("b", "c", "neutral")], "from_node_id string, to_node_id string, polarity string")
     nodes = spark.createDataFrame([(n, n, "person") for n in "abcd"], "node_id string, canonical string, node_type string")
