@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyad.sources.scratch import materialize
+from polyad.sources.scratch import materialize, release
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. Minima are written first, so that the join that follows reads two plain shuffles and hot nodes can be split."""
+    """One star step, after which ``edges`` are deleted. Minima are written first, so that the join that follows reads two plain shuffles and hot nodes can be split."""
     if large:
         around = _both_ways(edges)
         least = materialize(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-min")
@@ -22,7 +22,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "star-min")
         out = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-    return materialize(out.filter(F.col("u") != F.col("v")).distinct(), "star")
+    done = materialize(out.filter(F.col("u") != F.col("v")).distinct(), "star")
+    release(least, edges)
+    return done
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,13 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges don't matter; edges with a null end are left out. No edges give an empty result.
     """
     edges = materialize(edges.select("u", "v").filter("u <> v").distinct(), "star")
-    before = None
     while True:
         edges = _star(_star(edges, True), False)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        # Done when every node that points somewhere points at one node, and that one nowhere.
+        twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+        on = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+        if twice.unionByName(on).isEmpty():
             break
-        before = now
     # Each node but the roots points at its root now.
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
