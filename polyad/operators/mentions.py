@@ -99,6 +99,17 @@ def compare(left: DataFrame, right: DataFrame, articles: DataFrame) -> DataFrame
     return parts[0].unionByName(parts[1])
 
 
+def of_articles(mentions: DataFrame, sample: DataFrame) -> DataFrame:
+    """The mentions in the articles of a sample."""
+    return mentions.join(sample.select("article_id").distinct(), "article_id", "left_semi")
+
+
+def type_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(system, type, n) of two sets of mentions."""
+    sides = [m.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("system"), "type", "n") for name, m in (("a", left), ("b", right))]
+    return sides[0].unionByName(sides[1])
+
+
 def roll_up(entities: DataFrame) -> DataFrame:
     """Entities (article_id, ord, canonical, type, surface_forms) to one row per group that shares surface forms: (canonical, type, surface_forms, n_articles).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -11,9 +12,10 @@ from pyspark.sql.window import Window
 
 from polyad.functions.text import canonical_polarity, normalize, period, python_strip, strip_fence
 from polyad.schema import ACT_TYPES, POLARITIES, UNSIGNED_ACTS
+from polyad.sources.scratch import materialize
 
 RELATION = "struct<from_entity:string,to_entity:string,act_type:string,polarity:string,issue:string,evidence_quote:string>"
-#: Fixed text of a request: the article, then its actors, then the task.
+# The parts of a request around the article and its actors. Replies and stored request files go by them.
 PROMPT = ("ARTÍCULO:\n", "\n\nACTORES PRESENTES: ", "\n\nExtraé las relaciones políticas explícitas entre estos actores según las instrucciones del sistema. Devolvé SOLO el JSON, sin markdown.")
 
 
@@ -69,6 +71,25 @@ class Rules:
     polarity_of: dict[str, str] = field(default_factory=lambda: {"endorses": "positive", "allies_with": "positive", "attacks": "negative", "accuses": "negative", "distances_from": "negative", "questions": "negative"})
 
 
+def rules_from_json(text: str) -> Rules:
+    """Rules from the ``validation`` part of a prompt's JSON file, or from that part alone; what it doesn't name keeps its default."""
+    spec = json.loads(text)
+    spec = spec.get("validation", spec)
+    names = {
+        "require_evidence_substring": "require_evidence",
+        "min_quote_len": "min_quote_len",
+        "normalize_passive_direction": "normalize_passive",
+        "dedup": "dedup",
+        "allowed_act_types": "act_types",
+        "max_relations_per_article": "max_per_article",
+        "require_both_in_quote": "both_in_quote",
+        "enforce_polarity_consistency": "consistent_polarity",
+        "require_actors_in_text": "require_actors_in_text",
+        "min_confidence": "min_confidence",
+    }
+    return Rules(**{names[k]: tuple(v) if isinstance(v, list) else v for k, v in spec.items() if k in names})
+
+
 def turn_passive(rows: DataFrame) -> DataFrame:
     """Swaps the ends where the quote says that the first ``fue`` or ``es`` something ``por`` the second."""
     a, b = F.col("from_entity"), F.col("to_entity")
@@ -140,16 +161,25 @@ def alias_dictionary(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
     return forms.filter("form IS NOT NULL AND form <> ''").groupBy("form").agg(F.min_by("node_id", F.struct("prio", "node_id")).alias("node_id"))
 
 
-def link(rows: DataFrame, dictionary: DataFrame, articles: DataFrame) -> DataFrame:
-    """Adds from_node_id, to_node_id, publish_date and ``outcome``: linked, unknown_article, unresolved or self_loop."""
+def link(rows: DataFrame, dictionary: DataFrame, articles: DataFrame, any_polarity: bool = False) -> DataFrame:
+    """Adds from_node_id, to_node_id, publish_date and ``outcome``: linked, unknown_article, unresolved or self_loop.
+
+    The dictionary is written first, so that the joins read a plain table and hot names can be split; rows without a name
+    would all meet in one place, so they get keys of their own, which the dictionary hasn't. A polarity outside the
+    vocabulary or no act leaves a relation unresolved, the polarity not with ``any_polarity``.
+    """
     known = articles.select("article_id", "publish_date", F.lit(True).alias("__known"))
-    ends = [dictionary.select(F.col("form").alias(f"__{k}"), F.col("node_id").alias(f"{k}_node_id")) for k in ("from", "to")]
-    out = rows.join(known, "article_id", "left").withColumns({"__from": normalize(F.col("from_entity")), "__to": normalize(F.col("to_entity"))}).join(ends[0], "__from", "left").join(ends[1], "__to", "left")
+    words = materialize(dictionary.select("form", "node_id"), "dictionary")
+    ends = [words.select(F.col("form").alias(f"__{k}"), F.col("node_id").alias(f"{k}_node_id")) for k in ("from", "to")]
+    none = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("article_id"), F.lit(1024)).cast("string"))
+    names = {f"__{k}": F.coalesce(normalize(F.col(f"{k}_entity")), none) for k in ("from", "to")}
+    out = rows.join(known, "article_id", "left").withColumns(names).join(ends[0], "__from", "left").join(ends[1], "__to", "left")
+    valid = F.lit(True) if any_polarity else F.coalesce(F.col("polarity").isin(*POLARITIES), F.lit(False))
     outcome = (
         F.when(F.col("__known").isNull(), "unknown_article")
         .when(F.col("from_node_id").isNull() | F.col("to_node_id").isNull(), "unresolved")
         .when(F.col("from_node_id") == F.col("to_node_id"), "self_loop")
-        .when(~F.coalesce(F.col("polarity").isin(*POLARITIES), F.lit(False)) | (F.coalesce("act_type", F.lit("")) == ""), "unresolved")
+        .when(~valid | (F.coalesce("act_type", F.lit("")) == ""), "unresolved")
         .otherwise("linked")
     )
     return out.withColumn("outcome", outcome).drop("__from", "__to", "__known")

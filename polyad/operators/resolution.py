@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polyad.functions.similarity import may_reach, token_sort_ratio, token_sort_ratio_col
-from polyad.functions.text import normalize, strip_role, token_count, tokens
+from polyad.functions.similarity import may_reach, token_sort_ratio_col
+from polyad.functions.text import normalize, strip_role, token_count, token_sort, tokens
 from polyad.operators.components import components
 from polyad.operators.numbering import numbered
 from polyad.sources.scratch import materialize
@@ -73,78 +73,89 @@ def prepared(mentions: DataFrame, strip_roles: bool = True) -> DataFrame:
     return rows
 
 
+def close_pairs(forms: DataFrame, share: int, min_token: int) -> DataFrame:
+    """(a, b, d): pairs a < b of ``forms`` (form, by), one row per form, that share a token of this length and whose ``by`` differ by few edits.
+
+    The distance ``d`` is at most ``share`` percent of both lengths together. Forms meet by token in bands of length; the
+    distance is bounded and comes first, so that only close pairs are made unique.
+    """
+    low, width = (100 - share) / (100.0 + share), F.lit(4)  # shorter over longer length of a close pair
+    words = forms.select("form", "by", F.length("by").alias("n"), F.explode(F.array_distinct(F.filter(tokens(F.col("form")), lambda t: F.length(t) >= min_token))).alias("t"))
+    left = words.select(F.col("form").alias("a"), F.col("by").alias("x"), F.col("n").alias("nx"), "t", F.explode(F.sequence(F.floor(F.floor(F.col("n") * low) / width), F.floor(F.ceil(F.col("n") / low) / width))).alias("band"))
+    right = words.select(F.col("form").alias("b"), F.col("by").alias("y"), F.col("n").alias("ny"), "t", F.floor(F.col("n") / width).alias("band"))
+    most = F.floor((F.col("nx") + F.col("ny")) * share / 100.0).cast("int")
+    near = left.join(right, ["t", "band"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("nx") - F.col("ny")) <= most))
+    return near.withColumn("d", F.call_function("levenshtein", F.col("x"), F.col("y"), most)).filter("d >= 0").select("a", "b", "d").distinct()
+
+
 def blocked_pairs(mentions: DataFrame, cutoff: int = CUTOFF, min_token: int = MIN_TOKEN) -> DataFrame:
     """(a, b, ratio): pairs a < b of forms that share a long token and are similar enough.
 
-    The rarer of the shared tokens is found by joining on every token; a native distance bound thins the pairs before the ratio.
+    Edits of the sorted tokens are no more than their insertions and deletions, so the native bound loses no pair.
     """
-    forms = mentions.select("ns").distinct()
-    words = forms.select("ns", F.explode(F.array_distinct(F.filter(tokens(F.col("ns")), lambda t: F.length(t) >= min_token))).alias("t"))
-    # Close lengths only: bands as in best_match.
-    low, width = cutoff / (200.0 - cutoff), F.lit(8)
-    n = F.length("ns")
-    left = words.select(F.col("ns").alias("a"), "t", F.explode(F.sequence(F.floor(F.floor(n * low) / width), F.floor(F.ceil(n / low) / width))).alias("band"))
-    right = words.select(F.col("ns").alias("b"), "t", F.floor(n / width).alias("band"))
-    pairs = left.join(right, ["t", "band"]).filter(F.col("a") < F.col("b")).filter(may_reach(F.col("a"), F.col("b"), cutoff)).select("a", "b").distinct()
-    return pairs.withColumn("ratio", token_sort_ratio_col(F.col("a"), F.col("b"))).filter(F.col("ratio") >= cutoff)
-
-
-def greedy(rows: list[tuple[str, str, int, str]], cutoff: int = CUTOFF, min_token: int = MIN_TOKEN) -> list[tuple[str, int]]:
-    """Assigns (surface, type, freq, ns), most frequent first, to clusters: (surface, index of the surface that founded its cluster).
-
-    Exact forms join whatever cluster has them, of any type. Else the most similar form among clusters that share a long token
-    decides, if it is similar enough: types must agree or be unknown, and persons need similar last tokens. Ties go to the
-    cluster founded first.
+    forms = mentions.select(F.col("ns").alias("form")).distinct().withColumn("by", token_sort(F.col("form")))
+    pairs = close_pairs(forms, 100 - cutoff, min_token)
+    return pairs.withColumn("ratio", token_sort_ratio_col(F.col("a"), F.col("b"))).filter(F.col("ratio") >= cutoff).select("a", "b", "ratio")
+
+
+def assign_in_order(rows: list[tuple[str, str, str]], similar: dict[str, list[tuple[int, int, str]]]) -> list[int]:
+    """For each of ``rows`` (surface, type, form), most important first, the row that founded its cluster.
+
+    ``similar`` has the similar forms of a form: (ratio of the forms, ratio of their last tokens, form). A form that is in a
+    cluster stays there, whatever the type. Another one joins the cluster with the most similar form among those it may
+    join, the one founded first on a tie, or founds its own. It may join a cluster whose type agrees or if either is
+    unknown; where either is a person, only through a form with a similar last token.
     """
-    founder, kinds, forms = [], [], []  # of each cluster
-    exact: dict[str, int] = {}
-    having: dict[str, set[int]] = {}
+    home: dict[str, int] = {}
     out = []
-    for i, (surface, kind, _, ns) in enumerate(rows):
-        at = exact.get(ns)
-        long = [t for t in ns.split() if len(t) >= min_token]
-        if at is None:
-            best = 0
-            for c in sorted(set().union(*(having.get(t, ()) for t in long))):
-                if kinds[c] != kind and "unknown" not in (kinds[c], kind):
+    for i, (_, kind, form) in enumerate(rows):
+        if form not in home:
+            options = []
+            for ratio, surname, other in similar.get(form, ()):
+                founder = home.get(other)
+                if founder is None:
                     continue
-                person = "person" in (kinds[c], kind)
-                for f in sorted(forms[c]):
-                    s = token_sort_ratio(ns, f)
-                    if s > best and (not person or token_sort_ratio(ns.split()[-1], f.split()[-1]) >= SURNAME_CUTOFF):
-                        best, at = s, c
-            if best < cutoff:
-                at = None
-        if at is None:
-            at = len(founder)
-            founder.append(i), kinds.append(kind), forms.append(set())
-        forms[at].add(ns)
-        exact[ns] = at
-        for t in long:
-            having.setdefault(t, set()).add(at)
-        out.append((surface, founder[at]))
+                types = {kind, rows[founder][1]}
+                if (len(types) == 1 or "unknown" in types) and ("person" not in types or surname >= SURNAME_CUTOFF):
+                    options.append((-ratio, founder))
+            home[form] = min(options)[1] if options else i
+        out.append(home[form])
     return out
 
 
 def resolve(mentions: DataFrame, known: DataFrame | None = None, cutoff: int = CUTOFF, min_token: int = MIN_TOKEN, strip_roles: bool = True) -> tuple[DataFrame, DataFrame]:
     """(surface, type, freq) to assignments (surface, node_id) and nodes (node_id, canonical, type, aliases, n).
 
-    A form can only join a cluster with an equal form or one it shares a long token with, and that only if they are similar;
-    so the greedy assignment runs on its own in each component of those links, most frequent surfaces first, by text on a tie.
-    ``known`` (form, canonical) gives canonical names.
+    Similar forms that share a long token are paired and scored once, over all forms. A form can only join a cluster through
+    such a pair or an equal form, so each component of these pairs is assigned on its own, most frequent surfaces first, by
+    text on a tie. A component goes to one task with its pairs; forms that are similar to no other, nearly all of them, are
+    components of one. ``known`` (form, canonical) gives canonical names.
     """
     rows = materialize(prepared(mentions, strip_roles).withColumn("nid", F.xxhash64("ns")), "surfaces")
-    links = blocked_pairs(rows, cutoff, min_token).select(F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v"))
-    of = components(links)
+    last = lambda c: F.substring_index(F.col(c), " ", -1)
+    pairs = materialize(blocked_pairs(rows, cutoff, min_token).withColumns({"surname": token_sort_ratio_col(last("a"), last("b")), "u": F.xxhash64("a"), "v": F.xxhash64("b")}), "similar-forms")
+    of = materialize(components(pairs.select("u", "v")), "form-components")
     placed = rows.join(of, rows["nid"] == of["node"], "left").select("surface", "type", "freq", "ns", F.coalesce("component", "nid").alias("component"))
+    near = pairs.join(of, pairs["u"] == of["node"]).select("component", "a", "b", "ratio", "surname")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pd.DataFrame, scored: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["freq", "surface"], ascending=[False, True], kind="stable")
-        listed = list(frame[["surface", "type", "freq", "ns"]].itertuples(index=False, name=None))
-        found = greedy(listed, cutoff, min_token)
-        return pd.DataFrame([(*listed[i], listed[f][0], listed[f][1], listed[f][2], listed[f][3]) for i, (_, f) in enumerate(found)], columns=["surface", "type", "freq", "ns", "head", "head_type", "head_freq", "head_ns"])
-
-    done = materialize(placed.groupBy("component").applyInPandas(run, "surface string, type string, freq bigint, ns string, head string, head_type string, head_freq bigint, head_ns string"), "resolved")
+        similar: dict[str, list[tuple[int, int, str]]] = {}
+        for a, b, ratio, surname in scored[["a", "b", "ratio", "surname"]].itertuples(index=False, name=None):
+            similar.setdefault(a, []).append((ratio, surname, b))
+            similar.setdefault(b, []).append((ratio, surname, a))
+        heads = frame.iloc[assign_in_order(list(frame[["surface", "type", "ns"]].itertuples(index=False, name=None)), similar)]
+        head = heads[["surface", "type", "freq", "ns"]].set_axis(["head", "head_type", "head_freq", "head_ns"], axis=1)
+        return pd.concat([frame[["surface", "type", "freq", "ns"]].reset_index(drop=True), head.reset_index(drop=True)], axis=1)
+
+    schema = "surface string, type string, freq bigint, ns string, head string, head_type string, head_freq bigint, head_ns string"
+    several = near.select("component").distinct()
+    alone = placed.join(several, "component", "left_anti").groupBy("ns").agg(F.collect_list(F.struct("surface", "type", "freq")).alias("m"))
+    # Without a similar form, all surfaces of one form are a cluster, founded by the most frequent.
+    first = F.array_sort("m", lambda x, y: F.when(x["freq"] != y["freq"], F.signum(y["freq"] - x["freq"]).cast("int")).when(x["surface"] < y["surface"], -1).when(x["surface"] > y["surface"], 1).otherwise(0))[0]
+    simple = alone.select("ns", first.alias("h"), F.explode("m").alias("x")).select("x.surface", "x.type", "x.freq", "ns", F.col("h.surface").alias("head"), F.col("h.type").alias("head_type"), F.col("h.freq").alias("head_freq"), F.col("ns").alias("head_ns"))
+    mixed = placed.join(several, "component", "left_semi").groupBy("component").cogroup(near.groupBy("component")).applyInPandas(run, schema)
+    done = materialize(simple.withColumn("freq", F.col("freq").cast("long")).withColumn("head_freq", F.col("head_freq").cast("long")).unionByName(mixed), "resolved")
     heads = done.groupBy("head", "head_type").agg(F.first("head_freq").alias("head_freq"), F.first("head_ns").alias("ns"), F.sort_array(F.collect_set("surface")).alias("aliases"), F.sum("freq").alias("n"), F.sort_array(F.collect_list(F.struct(-F.col("freq"), F.col("surface"), F.col("ns")))).alias("members"))
     nodes = numbered(heads.withColumn("__order", -F.col("head_freq")), "idx", "__order", "head", "head_type").withColumn("node_id", F.concat(F.lit("N"), F.lpad(F.col("idx").cast("string"), 5, "0")))
     if known is None:

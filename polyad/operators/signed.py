@@ -4,69 +4,18 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polyad.functions.text import hash_fraction, sign, year_month
-from polyad.functions.vocabulary import BLOCS, EVENTS
-from polyad.operators.graph import dyads
+from polyad.functions.vocabulary import BLOCS, EVENTS, GENERIC_ACTORS_SIGNED
+from polyad.operators.graph import among, dyads, top_actors
+from polyad.operators.numbering import numbered
+from polyad.sources.scratch import materialize
 
-#: Edges that one task gets for Louvain; larger graphs go by label propagation.
-LOUVAIN_EDGES = 2_000_000
-
-
-def louvain(edges: list[tuple[str, str, float]], nodes: list[str] = ()) -> dict[str, int]:
-    """Communities by greedy modularity, level by level. Nodes go in order of name and move to the best community, the smallest on a tie, as long as that gains."""
-    names = sorted({*nodes, *(x for u, v, _ in edges for x in (u, v))})
-    at = {n: i for i, n in enumerate(names)}
-    near: list[dict[int, float]] = [defaultdict(float) for _ in names]
-    for u, v, w in edges:
-        near[at[u]][at[v]] += w
-        if u != v:
-            near[at[v]][at[u]] += w
-    of = list(range(len(names)))
-    loops = [d.pop(i, 0.0) for i, d in enumerate(near)]
-    total = sum(sum(d.values()) for d in near) / 2 + sum(loops)
-    if not total:
-        return {n: i for i, n in enumerate(names)}
-    while True:
-        k = [sum(d.values()) + 2 * s for d, s in zip(near, loops)]
-        comm, weight = list(range(len(near))), k[:]
-        moved_ever = True
-        any_move = False
-        while moved_ever:
-            moved_ever = False
-            for i, d in enumerate(near):
-                mine = comm[i]
-                weight[mine] -= k[i]
-                to: dict[int, float] = defaultdict(float)
-                for j, w in d.items():
-                    to[comm[j]] += w
-                best, gain = mine, to.get(mine, 0.0) - weight[mine] * k[i] / (2 * total)
-                for c in sorted(to):
-                    g = to[c] - weight[c] * k[i] / (2 * total)
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                weight[best] += k[i]
-                if best != mine:
-                    comm[i], moved_ever, any_move = best, True, True
-        if not any_move:
-            break
-        small = {c: n for n, c in enumerate(sorted(set(comm)))}
-        comm = [small[c] for c in comm]
-        merged: list[dict[int, float]] = [defaultdict(float) for _ in small]
-        inner = [0.0] * len(small)
-        for i, d in enumerate(near):
-            inner[comm[i]] += loops[i]
-            for j, w in d.items():
-                if comm[i] == comm[j]:
-                    inner[comm[i]] += w / 2
-                else:
-                    merged[comm[i]][comm[j]] += w
-        near, loops, of = merged, inner, [comm[c] for c in of]
-    return {n: of[i] for i, n in enumerate(names)}
+#: Rounds without a gain after which nodes stop moving on a level.
+PATIENCE = 6
 
 
 def modularity(edges: list[tuple[str, str, float]], of: dict[str, int]) -> float:
@@ -90,46 +39,83 @@ def allies_net(pairs: DataFrame) -> DataFrame:
     return pairs.filter("pos > neg").select("u", "v", (F.col("pos") - F.col("neg")).cast("double").alias("w"))
 
 
-def communities(links: DataFrame, at_least: int = 4) -> DataFrame:
-    """(node_id, community, size) of links (u, v, w): communities of enough members, numbered by size, then smallest member.
+def _moved(near: DataFrame, strength: DataFrame, total: float) -> DataFrame:
+    """(node, c): nodes of a graph (u, v, w), both ways and without loops, moved to neighbouring communities for modularity.
 
-    Louvain runs in one task, so links beyond ``LOUVAIN_EDGES`` go by label propagation instead.
+    A node moves to the community of most gain, the smallest on a tie. A random half of those that would gain moves at a
+    time, as neighbours that move together can swap for ever. What has the most modularity is kept, once no node gains or
+    PATIENCE rounds have brought no more.
+    """
+    of = materialize(strength.select(F.col("u").alias("node"), F.col("u").alias("c")), "moves")
+    best, most, since, salt = of, None, 0, 0
+    while True:
+        salt += 1
+        placed = strength.join(of, F.col("u") == F.col("node")).select("u", "k", F.col("c").alias("own"))
+        sums = placed.groupBy(F.col("own").alias("c")).agg(F.sum("k").alias("s"))
+        around = near.join(of, F.col("v") == F.col("node")).select("u", "c", "w").unionByName(placed.select("u", F.col("own").alias("c"), F.lit(0.0).alias("w")))
+        options = around.groupBy("u", "c").agg(F.sum("w").alias("w")).join(sums, "c").join(placed, "u")
+        gain = F.col("w") - F.col("k") * (F.col("s") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * total)
+        rated = options.withColumn("g", gain).groupBy("u", "own", "k").agg(F.max("g").alias("top"), F.min_by("c", F.struct(-F.round("g", 9), "c")).alias("to"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"), F.max(F.when(F.col("c") == F.col("own"), F.col("w"))).alias("inside"))
+        step = materialize(rated.withColumn("moves", (F.col("to") != F.col("own")) & (F.col("top") > F.col("stay") + 1e-9)), "moves")
+        # Modularity of the present communities, but for the loops, which no move changes.
+        now = step.agg(F.sum("inside").alias("i"), F.count_if("moves").alias("m")).first()
+        spread = step.groupBy("own").agg(F.sum("k").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("q")).first()["q"]
+        quality = now["i"] / (2 * total) - spread / (4 * total * total)
+        if most is None or quality > most + 1e-9:
+            best, most, since = of, quality, 0
+        else:
+            since += 1
+        if not now["m"] or since >= PATIENCE:
+            return best
+        turn = F.col("moves") & (F.pmod(F.xxhash64("u", F.lit(salt)), F.lit(2)) == 0)
+        of = step.select(F.col("u").alias("node"), F.when(turn, F.col("to")).otherwise(F.col("own")).alias("c"))
+        of = materialize(of, "moves")
+
+
+def modularity_communities(links: DataFrame) -> DataFrame:
+    """(node_id, c) of links (u, v, w) by greedy modularity, level by level: nodes move, then each community becomes a node.
+
+    One algorithm at every size, by joins. A community is named by its smallest first node.
     """
-    if links.count() > LOUVAIN_EDGES:
-        found = label_propagation(links)
-    else:
+    both = F.explode(F.when(F.col("u") == F.col("v"), F.array(F.struct("u", "v", (2 * F.col("w")).alias("w")))).otherwise(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))))
+    graph = materialize(links.select("u", "v", F.col("w").cast("double").alias("w")).select(both.alias("e")).select("e.*").groupBy("u", "v").agg(F.sum("w").alias("w")), "links")
+    total = (graph.agg(F.sum("w").alias("t")).first()["t"] or 0.0) / 2
+    found = materialize(graph.select(F.col("u").alias("node_id"), F.col("u").alias("c")).distinct(), "communities")
+    if not total:
+        return found
+    while True:
+        strength = graph.groupBy("u").agg(F.sum("w").alias("k"))
+        moves = _moved(graph.filter("u <> v"), materialize(strength, "strength"), total)
+        if moves.filter("node <> c").isEmpty():
+            return found
+        name = moves.groupBy("c").agg(F.min("node").alias("name"))
+        moves = materialize(moves.join(name, "c").select("node", F.col("name").alias("c")), "moves")
+        found = materialize(found.join(moves, found["c"] == moves["node"]).select("node_id", moves["c"]), "communities")
+        ends = [moves.select(F.col("node").alias(k), F.col("c").alias(f"c{k}")) for k in "uv"]
+        graph = materialize(graph.join(ends[0], "u").join(ends[1], "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "links")
 
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            of = louvain(list(frame[["u", "v", "w"]].itertuples(index=False, name=None)))
-            return pd.DataFrame({"node_id": list(of), "c": list(map(str, of.values()))}, columns=["node_id", "c"])
 
-        found = links.groupBy(F.lit(0).alias("g")).applyInPandas(run, "node_id string, c string")
+def communities(links: DataFrame, at_least: int = 4) -> DataFrame:
+    """(node_id, community, size) of links (u, v, w): communities of enough members, numbered by size, then smallest member."""
+    found = modularity_communities(links)
     sizes = found.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.min("node_id").alias("first")).filter(F.col("size") >= at_least)
-    number = F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1
-    return found.join(F.broadcast(sizes.withColumn("community", number)), "c").select("node_id", "community", "size")
+    return found.join(numbered(sizes.withColumn("order", -F.col("size")), "community", "order", "first").drop("order", "first"), "c").select("node_id", F.col("community").cast("int").alias("community"), "size")
 
 
-def label_propagation(links: DataFrame) -> DataFrame:
-    """(node_id, c): nodes take the label of most weight around them, the smallest on a tie, until each has one of most weight.
+def in_period(edges: DataFrame, period: str | None) -> DataFrame:
+    """The edges of one period, of all without one."""
+    return edges if period is None else edges.filter(F.col("period") == period)
 
-    A random half of the nodes that would change does so at a time, as neighbours that change together can swap labels for ever.
-    """
-    from polyad.sources.scratch import materialize
 
-    both = materialize(links.select(F.explode(F.array(F.struct("u", "v", "w"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), "w"))).alias("e")).select("e.*"), "links")
-    labels = materialize(both.select(F.col("u").alias("node_id"), F.col("u").alias("c")).distinct(), "labels")
-    salt = 0
-    while True:
-        salt += 1
-        sums = both.join(labels.withColumnRenamed("node_id", "v"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
-        mine = sums.join(labels.select(F.col("node_id").alias("u"), F.col("c").alias("mine")), "u")
-        best = mine.groupBy("u", "mine").agg(F.min_by("c", F.struct(-F.col("w"), "c")).alias("c"), F.max("w").alias("most"), F.max(F.when(F.col("c") == F.col("mine"), F.col("w"))).alias("own"))
-        # Sums of the same weights in another order differ in their last digits.
-        step = materialize(best.withColumn("change", F.coalesce(F.col("most") > F.col("own") * (1 + 1e-9), F.lit(True))), "labels")
-        if step.filter("change").isEmpty():
-            return labels
-        turn = F.col("change") & (F.pmod(F.xxhash64("u", F.lit(salt)), F.lit(2)) == 0)
-        labels = materialize(step.select(F.col("u").alias("node_id"), F.when(turn, F.col("c")).otherwise(F.col("mine")).alias("c")), "labels")
+def analysis(nodes: DataFrame, edges: DataFrame, top: int = 110, generic: list[str] | None = None, period: str | None = None, min_valenced: int = 3, above: float = 0.15, at_least: int = 4) -> dict[str, DataFrame]:
+    """The signed network among the actors of highest degree: ``top``, ``dyads``, ``communities``, ``balance``.
+
+    Generic names are left out before the actors are chosen. ``nodes`` has degrees.
+    """
+    kept = top_actors(nodes, top, GENERIC_ACTORS_SIGNED if generic is None else generic)
+    pairs = materialize(dyads(among(in_period(edges, period), kept), min_valenced), "dyads")
+    of = materialize(communities(allies(pairs, above), at_least), "top-communities")
+    return {"top": kept, "dyads": pairs, "communities": of, "balance": balance(pairs, of)}
 
 
 def balance(pairs: DataFrame, of: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,14 +48,31 @@ def centroids(labelled: DataFrame) -> DataFrame:
     return places.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centroid"))
 
 
+def embed_with(articles: DataFrame, model: Callable) -> DataFrame:
+    """(id, embedding) by a model of one's own: it maps an iterator of pandas frames (id, text) to frames (id, embedding)."""
+    return articles.select(F.col("article_id").alias("id"), embed_text(F.col("title"), F.col("body")).alias("text")).mapInPandas(model, "id string, embedding array<double>")
+
+
+def embed_hashed(articles: DataFrame, size: int = 256) -> DataFrame:
+    """(id, embedding) without a model: hashed word counts weighted by how few articles have them, of length one. Words that share a place add up."""
+    text = embed_text(F.col("title"), F.col("body"))
+    words = articles.select(F.col("article_id").alias("id"), F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 1).alias("words"))
+    counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=size).transform(words)
+    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted).transform(counted)
+    return Normalizer(inputCol="tfidf", outputCol="unit").transform(weighted).select("id", vector_to_array("unit").alias("embedding"))
+
+
 def assign(vectors: DataFrame, centres: DataFrame, outlier_below: float | None = None) -> DataFrame:
     """(id, embedding) to (id, topic_id, score): the nearest centroid by cosine, the smallest label on a tie, -1 under the bound.
 
-    There is one centroid per topic, so the centroids are broadcast.
+    There is one centroid per topic; all of them travel as one array, and each vector takes its best without a shuffle.
+    Without centroids there is no result.
     """
-    near = vectors.crossJoin(F.broadcast(centres)).select("id", "label", cosine(F.col("embedding"), F.col("centroid")).alias("s"))
-    best = near.groupBy("id").agg(F.min_by("label", F.struct(-F.col("s"), "label")).alias("topic_id"), F.max("s").alias("score"))
-    return best if outlier_below is None else best.withColumn("topic_id", F.when(F.col("score") < outlier_below, -1).otherwise(F.col("topic_id")))
+    listed = centres.agg(F.sort_array(F.collect_list(F.struct("label", "centroid"))).alias("centres"))
+    rated = F.transform("centres", lambda c: F.struct((-cosine(F.col("embedding"), c["centroid"])).alias("s"), c["label"].alias("label")))
+    best = vectors.crossJoin(F.broadcast(listed)).filter(F.size("centres") > 0).select("id", F.array_min(rated).alias("b"))
+    out = best.select("id", F.col("b.label").alias("topic_id"), (-F.col("b.s")).alias("score"))
+    return out if outlier_below is None else out.withColumn("topic_id", F.when(F.col("score") < outlier_below, -1).otherwise(F.col("topic_id")))
 
 
 def terms(docs: DataFrame, min_df: int = 5, stopwords: list[str] | None = None) -> DataFrame:
@@ -70,7 +90,7 @@ def keywords(term_counts: DataFrame, k: int = 8) -> DataFrame:
     totals = term_counts.groupBy("topic_id").agg(F.sum("tf").alias("words"))
     mean = totals.agg(F.avg("words").alias("mean"))
     overall = term_counts.groupBy("term").agg(F.sum("tf").alias("all"))
-    scored = term_counts.join(F.broadcast(totals), "topic_id").join(overall, "term").crossJoin(F.broadcast(mean)).withColumn("score", F.col("tf") / F.col("words") * F.log(1 + F.col("mean") / F.col("all")))
+    scored = term_counts.join(totals, "topic_id").join(overall, "term").crossJoin(F.broadcast(mean)).withColumn("score", F.col("tf") / F.col("words") * F.log(1 + F.col("mean") / F.col("all")))
     order = Window.partitionBy("topic_id").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("topic_id", "term", "score", "rank")
 

@@ -142,7 +142,7 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions of documents: words as surfaces, some typed differently from time to time."""
     w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}]{6,}"), F.lit(0))).alias("ord", "text"))
-    return w.filter("ord < 12").select(
+    return w.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("article_id"),
         "ord",
         "text",
@@ -154,8 +154,7 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 MENTIONS_SQL = f"""mentions AS (
   SELECT 'd' || doc_id AS article_id, CAST(ord AS INTEGER) AS ord, text, {sql_pick(['persona', 'organización', 'partido político', 'lugar'], '(length(text) + doc_id % 2) % 4')} AS label,
          (ord * 7 + doc_id) % 10 / 10.0 AS score
-  FROM (SELECT doc_id, unnest(w) AS text, unnest(range(0, len(w))) AS ord FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}]{{6,}}') AS w FROM documents))
-  WHERE ord < 12)"""
+  FROM (SELECT doc_id, unnest(w) AS text, unnest(range(0, len(w))) AS ord FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}]{{6,}}') AS w FROM documents)))"""
 
 
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,3 +188,52 @@ ALIASES_SQL = f"""aliases AS (
   SELECT 'S' || s_suppkey AS node_id, {sql_pick(NAMES, 's_suppkey % 10')} AS surface_form,
          {sql_pick(["maria jose perez", "maria jose perez", "maria jose perez", "alberto espina", "alberto espinoza", "teodoro ribera", "teodoro ribiera", "gabriel boric font", "udi", "union democrata independiente"], 's_suppkey % 10')} AS surface_norm,
          CAST(s_suppkey * 7 % 31 AS INTEGER) AS n_occurrences FROM supplier)"""
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A resolution: suppliers as nodes (node_id, canonical, type, aliases, n), their words and names as aliases, some shared."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("S"), k.cast("string")).alias("node_id"),
+        F.col("s_name").alias("canonical"),
+        pick(list(NODE_TYPES), F.col("s_nationkey") % 6).alias("type"),
+        F.array(pick(ACTORS, k % 10), pick(NAMES, k % 10), F.concat(F.lit("Alias "), k.cast("string"))).alias("aliases"),
+        (k % 17).cast("int").alias("n"),
+    )
+
+
+FORMS_SQL = f"""forms AS (
+  SELECT {NORM_SQL.format('a')} AS form, min(node_id) AS node_id FROM (
+    SELECT 'S' || s_suppkey AS node_id, unnest([{sql_pick(ACTORS, 's_suppkey % 10')}, {sql_pick(NAMES, 's_suppkey % 10')}, 'Alias ' || s_suppkey]) AS a FROM supplier) GROUP BY 1)"""
+
+
+def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(surface, node_id) of a resolution: capitalised stand-ins."""
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").filter(k <= 10).select(pick(TERMS, k % 10).alias("surface"), F.concat(F.lit("S"), k.cast("string")).alias("node_id"))
+
+
+ASSIGN_SQL = f"assign AS (SELECT {sql_pick(TERMS, 's_suppkey % 10')} AS text, 'S' || s_suppkey AS node_id FROM supplier WHERE s_suppkey <= 10)"
+
+
+def samples(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Two samples of articles that overlap, keyed by document; the second one has other titles."""
+    d = F.col("doc_id")
+    date = F.date_add(F.lit("2014-01-01").cast("date"), (d % 4380).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("d"), d.cast("string")).alias("article_id"), F.col("text").alias("body"), "source", F.when(d % 41 != 0, date.cast("string")).alias("publish_date"), F.when(d % 11 != 0, F.year(date)).alias("year"), "doc_id"
+    )
+    return [rows.filter(d % 3 != 0).withColumn("title", F.lit("first")).drop("doc_id"), rows.filter(d % 2 == 0).withColumn("title", F.lit("second")).drop("doc_id")]
+
+
+SAMPLES_SQL = """arts AS (
+  SELECT 'd' || doc_id AS article_id, CASE WHEN doc_id % 3 <> 0 THEN 'first' ELSE 'second' END AS title, text AS body, source,
+         CASE WHEN doc_id % 41 <> 0 THEN DATE '2014-01-01' + CAST(doc_id % 4380 AS INTEGER) END AS publish_date,
+         CASE WHEN doc_id % 11 <> 0 THEN CAST(year(DATE '2014-01-01' + CAST(doc_id % 4380 AS INTEGER)) AS INTEGER) END AS year
+  FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0)"""
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(article_id, entities as JSON) of all documents, with a place where the rank is even."""
+    e = F.struct("text", F.col("label").alias("type"), "score", F.when(F.col("ord") % 2 == 0, F.array("ord", F.col("ord") + F.length("text"))).alias("char_span"))
+    return mentions(spark, sf_dir).groupBy("article_id").agg(F.to_json(F.collect_list(e)).alias("entities"))

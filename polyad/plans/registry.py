@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polyad.functions import text as T
-from polyad.functions.vocabulary import GENERIC_ACTORS, MENTION_LABELS
+from polyad.functions.vocabulary import GENERIC_ACTORS, MENTION_LABELS, STOPWORDS
 from polyad.operators import articles as art
 from polyad.operators import curation, graph, mentions, relations, resolution, scoring, signed, topics
 from polyad.operators.components import roots
 from polyad.operators.numbering import numbered
 from polyad.plans import fixtures as fx
+from polyad.plans import graph_build
 from polyad.schema import ACT_TYPES, NODE_TYPES
 from polyad.sources import lake
 
@@ -234,15 +235,21 @@ def ner_parity_jaccard(spark, sf_dir):
 
 
 @query(
-    """SELECT 'a' AS system, (SELECT count(*) FROM mentions WHERE ord % 3 <> 0) AS mentions, (SELECT count(*) FROM bodies WHERE article_id NOT IN (SELECT article_id FROM a)) AS empty_articles, (SELECT count(DISTINCT w) FROM a) AS vocabulary, (SELECT count(DISTINCT w) FROM a WHERE w NOT IN (SELECT w FROM b)) AS only_here
-UNION ALL SELECT 'b', (SELECT count(*) FROM mentions WHERE ord % 4 <> 0), (SELECT count(*) FROM bodies WHERE article_id NOT IN (SELECT article_id FROM b)), (SELECT count(DISTINCT w) FROM b), (SELECT count(DISTINCT w) FROM b WHERE w NOT IN (SELECT w FROM a))""",
+    """SELECT 'a' AS system, (SELECT count(*) FROM mentions WHERE ord % 3 <> 0) AS mentions, round((SELECT count(*) FROM mentions WHERE ord % 3 <> 0) / (SELECT count(*) FROM bodies), 6) AS mean_per_article, (SELECT count(*) FROM bodies WHERE article_id NOT IN (SELECT article_id FROM a)) AS empty_articles, (SELECT count(DISTINCT w) FROM a) AS vocabulary, (SELECT count(DISTINCT w) FROM a WHERE w NOT IN (SELECT w FROM b)) AS only_here
+UNION ALL SELECT 'b', (SELECT count(*) FROM mentions WHERE ord % 4 <> 0), round((SELECT count(*) FROM mentions WHERE ord % 4 <> 0) / (SELECT count(*) FROM bodies), 6), (SELECT count(*) FROM bodies WHERE article_id NOT IN (SELECT article_id FROM b)), (SELECT count(DISTINCT w) FROM b), (SELECT count(DISTINCT w) FROM b WHERE w NOT IN (SELECT w FROM a))""",
     fx.MENTIONS_SQL,
     fx.RELATIONS_SQL,
     _SYSTEMS_SQL,
 )
 def ner_compare(spark, sf_dir):
     rows = fx.mentions(spark, sf_dir)
-    return mentions.compare(rows.filter("ord % 3 <> 0"), rows.filter("ord % 4 <> 0"), fx.bodies(spark, sf_dir)).drop("mean_per_article")
+    return mentions.compare(rows.filter("ord % 3 <> 0"), rows.filter("ord % 4 <> 0"), fx.bodies(spark, sf_dir)).withColumn("mean_per_article", F.round("mean_per_article", 6))
+
+
+@query("SELECT 'a' AS system, label AS type, count(*) AS n FROM mentions WHERE ord % 3 <> 0 GROUP BY label UNION ALL SELECT 'b', label, count(*) FROM mentions WHERE ord % 4 <> 0 GROUP BY label", fx.MENTIONS_SQL)
+def ner_type_dist(spark, sf_dir):
+    rows = fx.mentions(spark, sf_dir).withColumnRenamed("label", "type")
+    return mentions.type_counts(rows.filter("ord % 3 <> 0"), rows.filter("ord % 4 <> 0"))
 
 
 # Relations.
@@ -528,6 +535,126 @@ def louvain_communities(spark, sf_dir):
     return signed.communities(signed.allies(graph.dyads(edges)))
 
 
+# The composed plans.
+
+
+_BUILD = (fx.FORMS_SQL, fx.ASSIGN_SQL, fx.SAMPLES_SQL, fx.MENTIONS_SQL, fx.RELATIONS_SQL)
+_BUILD_EDGES_SQL = f"""built AS (
+  SELECT DISTINCT f.node_id AS from_node_id, t.node_id AS to_node_id, article_id, act_type FROM relations r JOIN arts USING (article_id)
+  JOIN forms f ON f.form = {fx.NORM_SQL.format('from_entity')} JOIN forms t ON t.form = {fx.NORM_SQL.format('to_entity')} WHERE f.node_id <> t.node_id AND act_type IS NOT NULL)"""
+
+
+def _built(spark, sf_dir):
+    return graph_build.build(fx.resolved(spark, sf_dir), fx.assigned(spark, sf_dir), fx.samples(spark, sf_dir), fx.tagged(spark, sf_dir), [{"run_id": "ner", "kind": "ner", "n_items": 3}, {"run_id": "re", "kind": "re", "model": "m"}], fx.relations(spark, sf_dir))
+
+
+@query("SELECT article_id, title, CAST(len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) AS INTEGER) AS body_tokens, source, publish_date, year, CASE WHEN year IS NOT NULL THEN year || CASE WHEN month(publish_date) <= 6 THEN '-H1' ELSE '-H2' END END AS period FROM arts", *_BUILD)
+def build_graph_articles(spark, sf_dir):
+    return _built(spark, sf_dir)["articles"].drop("body")
+
+
+@query(
+    "SELECT 'S' || s_suppkey AS node_id, s_name AS canonical, CAST(s_suppkey % 17 AS INTEGER) AS n_mentions, CAST((SELECT count(*) FROM built WHERE from_node_id = 'S' || s_suppkey OR to_node_id = 'S' || s_suppkey) AS INTEGER) AS degree, 1.0::DOUBLE AS confidence, false AS curated FROM supplier",
+    *_BUILD,
+    _BUILD_EDGES_SQL,
+)
+def build_graph_nodes(spark, sf_dir):
+    return _built(spark, sf_dir)["nodes"].select("node_id", "canonical", "n_mentions", "degree", "confidence", "curated")
+
+
+@query("SELECT row_number() OVER (ORDER BY node_id, form) - 1 AS alias_id, node_id, form AS surface_norm, 'ner' AS source FROM forms", *_BUILD)
+def build_graph_aliases(spark, sf_dir):
+    return _built(spark, sf_dir)["aliases"].select("alias_id", "node_id", "surface_norm", "source")
+
+
+@query(
+    f"SELECT coalesce(a.node_id, f.node_id) AS node_id, article_id, text AS surface_form, CASE WHEN ord % 2 = 0 THEN ord END AS char_start, 'ner' AS run_id, score AS ner_score FROM mentions m JOIN arts USING (article_id) LEFT JOIN assign a USING (text) LEFT JOIN forms f ON f.form = {fx.NORM_SQL.format('text')} WHERE coalesce(a.node_id, f.node_id) IS NOT NULL",
+    *_BUILD,
+)
+def build_graph_mentions(spark, sf_dir):
+    return _built(spark, sf_dir)["mentions"].select("node_id", "article_id", "surface_form", "char_start", "run_id", "ner_score")
+
+
+@query("SELECT row_number() OVER (ORDER BY from_node_id, to_node_id, article_id, act_type) - 1 AS edge_id, * FROM built", *_BUILD, _BUILD_EDGES_SQL)
+def build_graph_edges(spark, sf_dir):
+    return _built(spark, sf_dir)["edges"].select("edge_id", "from_node_id", "to_node_id", "article_id", "act_type")
+
+
+def _loaded(spark, sf_dir):
+    tables = _built(spark, sf_dir)
+    half = F.substring("article_id", 2, 20).cast("long") % 2
+    rows = fx.relations(spark, sf_dir)
+    return graph_build.load_edges(tables, [rows.filter(half == 0), rows.filter(half == 1)], {"kind": "re", "model": "m2", "n_items": 9})
+
+
+_WORDS_SQL = f"words AS (SELECT form, arg_min(node_id, prio || node_id) AS node_id FROM (SELECT form, node_id, '0' AS prio FROM forms UNION ALL SELECT {fx.NORM_SQL.format('s_name')}, 'S' || s_suppkey, '1' FROM supplier) GROUP BY form)"
+_LOADED_SQL = f"""loaded AS (
+  SELECT f.node_id AS from_node_id, t.node_id AS to_node_id, article_id, act_type, polarity, a.publish_date, CAST(year(a.publish_date) AS VARCHAR) AS period
+  FROM relations r JOIN arts a USING (article_id) JOIN words f ON f.form = {fx.NORM_SQL.format('from_entity')} JOIN words t ON t.form = {fx.NORM_SQL.format('to_entity')}
+  WHERE f.node_id <> t.node_id AND act_type <> 'co_occurs' AND polarity IN ('positive', 'negative', 'neutral')
+  QUALIFY row_number() OVER (PARTITION BY f.node_id, t.node_id, article_id, act_type ORDER BY ord) = 1)"""
+
+
+@query("SELECT row_number() OVER (ORDER BY from_node_id, to_node_id, article_id, act_type) - 1 AS edge_id, 're' AS run_id, * FROM loaded", *_BUILD, _WORDS_SQL, _LOADED_SQL)
+def load_edges_edges(spark, sf_dir):
+    return _loaded(spark, sf_dir)["edges"].select("edge_id", "run_id", "from_node_id", "to_node_id", "article_id", "act_type", "polarity", "publish_date", "period")
+
+
+@query("SELECT 'S' || s_suppkey AS node_id, CAST((SELECT count(*) FROM loaded WHERE from_node_id = 'S' || s_suppkey OR to_node_id = 'S' || s_suppkey) AS INTEGER) AS degree FROM supplier", *_BUILD, _WORDS_SQL, _LOADED_SQL)
+def load_edges_nodes(spark, sf_dir):
+    return _loaded(spark, sf_dir)["nodes"].select("node_id", "degree")
+
+
+@query("SELECT 'ner' AS run_id, 'ner' AS kind, NULL::VARCHAR AS model, 3 AS n_items UNION ALL SELECT 're', 're', 'm2', 9")
+def load_edges_runs(spark, sf_dir):
+    return _loaded(spark, sf_dir)["runs"].select("run_id", "kind", "model", "n_items")
+
+
+_TOP_SQL = "top AS (SELECT node_id FROM degrees WHERE lower(canonical) <> 'supplier#000000004' ORDER BY degree DESC, node_id LIMIT 40)"
+_TOP_DYADS_SQL = f"top_dyads AS (SELECT least(from_node_id, to_node_id) AS u, greatest(from_node_id, to_node_id) AS v, CAST(sum({fx.SIGN_SQL}) AS BIGINT) AS sign_sum, count(*) AS m FROM edges WHERE from_node_id <> to_node_id AND polarity <> 'neutral' AND period = '1997' AND from_node_id IN (SELECT node_id FROM top) AND to_node_id IN (SELECT node_id FROM top) GROUP BY 1, 2 HAVING count(*) >= 2)"
+
+
+def _analysed(spark, sf_dir):
+    return signed.analysis(_ranked(spark, sf_dir), fx.edges(spark, sf_dir), 40, ["supplier#000000004"], "1997", 2)
+
+
+@query("SELECT * FROM top_dyads", *_GRAPH, _TOP_SQL, _TOP_DYADS_SQL)
+def signed_analysis_dyads(spark, sf_dir):
+    return _analysed(spark, sf_dir)["dyads"].select("u", "v", "sign_sum", "m")
+
+
+@query(None)
+def signed_analysis_communities(spark, sf_dir):
+    return _analysed(spark, sf_dir)["communities"]
+
+
+@query(None)
+def signed_analysis_balance(spark, sf_dir):
+    return _analysed(spark, sf_dir)["balance"]
+
+
+@query("SELECT from_node_id, to_node_id, article_id, act_type, period FROM edges WHERE from_node_id IN (SELECT node_id FROM top) AND to_node_id IN (SELECT node_id FROM top) AND period = '1996'", *_GRAPH, _TOP_SQL)
+def edges_among_top_in_period(spark, sf_dir):
+    top = graph.top_actors(_ranked(spark, sf_dir), 40, ["supplier#000000004"])
+    return signed.in_period(graph.among(fx.edges(spark, sf_dir), top), "1996").select("from_node_id", "to_node_id", "article_id", "act_type", "period")
+
+
+@query("SELECT article_id, ord, text FROM mentions WHERE article_id IN (SELECT article_id FROM arts WHERE year = 2016)", fx.MENTIONS_SQL, fx.SAMPLES_SQL)
+def mentions_in_sample(spark, sf_dir):
+    sample = lake.union_distinct([x.filter("year = 2016").select("article_id") for x in fx.samples(spark, sf_dir)])
+    return mentions.of_articles(fx.mentions(spark, sf_dir), sample).select("article_id", "ord", "text")
+
+
+@query("SELECT article_id, CASE WHEN title = 'first' AND article_id IN (SELECT 'd' || doc_id FROM documents WHERE doc_id % 2 = 0) THEN 'second' ELSE title END AS title FROM arts", fx.SAMPLES_SQL)
+def bodies_last_wins(spark, sf_dir):
+    return lake.first_of(fx.samples(spark, sf_dir), "article_id", last=True).select("article_id", "title")
+
+
+@query("SELECT article_id FROM articles ORDER BY year, article_id LIMIT 25", fx.ARTICLES_SQL)
+def first_pending(spark, sf_dir):
+    return lake.first_rows(fx.articles(spark, sf_dir), 25, "year", "article_id").select("article_id")
+
+
 # Resolution, curation, scores.
 
 
@@ -537,11 +664,8 @@ def louvain_communities(spark, sf_dir):
     f"norms AS (SELECT DISTINCT {fx.NORM_SQL.format('surface')} AS ns FROM surfaces), words AS (SELECT DISTINCT ns, t FROM (SELECT ns, unnest(string_split(ns, ' ')) AS t FROM norms) WHERE length(t) >= 5)",
 )
 def er_pairs_levenshtein_bound(spark, sf_dir):
-    forms = fx.surfaces(spark, sf_dir).select(T.normalize(F.col("surface")).alias("ns")).distinct()
-    words = forms.select("ns", F.explode(F.array_distinct(F.filter(F.split("ns", " "), lambda t: F.length(t) >= 5))).alias("t"))
-    pairs = words.select(F.col("ns").alias("a"), "t").join(words.select(F.col("ns").alias("b"), "t"), "t").filter("a < b").select("a", "b").distinct()
-    d = F.levenshtein("a", "b")
-    return pairs.filter(d <= F.floor((F.length("a") + F.length("b")) * 10 / 100.0)).select("a", "b", d.alias("d"))
+    forms = fx.surfaces(spark, sf_dir).select(T.normalize(F.col("surface")).alias("form")).distinct().withColumn("by", F.col("form"))
+    return resolution.close_pairs(forms, 10, 5)
 
 
 @query(None)
@@ -568,17 +692,22 @@ def top_aliases(spark, sf_dir):
 
 
 @query(
-    "SELECT node_id, min(other) AS component FROM reach GROUP BY node_id",
-    fx.ALIASES_SQL,
-    "pairs AS (SELECT DISTINCT a.node_id AS node_a, b.node_id AS node_b FROM aliases a JOIN aliases b ON a.surface_norm = b.surface_norm AND a.n_occurrences % 2 = b.n_occurrences % 2), reach AS (SELECT node_a AS node_id, node_b AS other FROM pairs)",
+    "SELECT node_id, min(x) AS component FROM (SELECT node_id, x FROM reach UNION ALL SELECT node_id, node_id FROM reach) GROUP BY node_id",
+    "RECURSIVE pairs AS (SELECT 'S' || s_suppkey AS a, 'S' || (s_suppkey + CASE WHEN s_suppkey % 2 = 0 THEN 3 ELSE 5 END) AS b FROM supplier WHERE s_suppkey % 7 <> 0), both_ways AS (SELECT a AS node_id, b AS x FROM pairs UNION ALL SELECT b, a FROM pairs), reach AS (SELECT node_id, x FROM both_ways UNION SELECT r.node_id, b.x FROM reach r JOIN both_ways b ON r.x = b.node_id)",
 )
 def curate_components(spark, sf_dir):
-    rows = fx.aliases(spark, sf_dir).withColumn("k", F.concat_ws("|", "surface_norm", F.col("n_occurrences") % 2))
-    first = rows.groupBy("k").agg(F.min("node_id").alias("node_a"))
-    return curation.groups(rows.join(first, "k").select("node_a", F.col("node_id").alias("node_b")))
+    k = F.col("s_suppkey")
+    node = lambda c: F.concat(F.lit("S"), c.cast("string"))
+    return curation.groups(fx.table(spark, sf_dir, "supplier").filter(k % 7 != 0).select(node(k).alias("node_a"), node(k + F.when(k % 2 == 0, 3).otherwise(5)).alias("node_b")))
 
 
-@query(None)
+@query(
+    """SELECT node_id, root.node_id AS merge_into, root.canonical AS canonical, root.node_type AS type FROM (
+  SELECT node_id, first_value(struct_pack(node_id := node_id, canonical := canonical, node_type := node_type)) OVER (PARTITION BY surface_norm, node_type ORDER BY degree DESC, node_id) AS root
+  FROM aliases JOIN degrees USING (node_id) WHERE length(surface_norm) >= 8 AND contains(surface_norm, ' ')) WHERE node_id <> root.node_id""",
+    *_GRAPH,
+    fx.ALIASES_SQL,
+)
 def curate_propose(spark, sf_dir):
     nodes = _ranked(spark, sf_dir)
     return curation.propose(nodes, curation.evidence(nodes, fx.aliases(spark, sf_dir)))
@@ -593,22 +722,51 @@ def merge_roots(spark, sf_dir):
     return roots(pairs)
 
 
-@query(
-    "SELECT e.from_node_id, e.to_node_id, article_id, act_type, count(*) OVER (PARTITION BY from_node_id) AS out_degree FROM (SELECT DISTINCT coalesce(a.root, from_node_id) AS from_node_id, coalesce(b.root, to_node_id) AS to_node_id, article_id, act_type FROM edges LEFT JOIN merges a ON from_node_id = a.node_id LEFT JOIN merges b ON to_node_id = b.node_id WHERE coalesce(a.root, from_node_id) <> coalesce(b.root, to_node_id)) e",
-    fx.EDGES_SQL,
-    "merges AS (SELECT 'S' || s_suppkey AS node_id, 'S' || (s_suppkey % 7) AS root FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey > 6)",
-)
-def curate_apply(spark, sf_dir):
+_MERGES_SQL = "merges AS (SELECT 'S' || s_suppkey AS node_id, 'S' || (s_suppkey % 7) AS root FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey > 6)"
+_MERGED_EDGES_SQL = "merged AS (SELECT DISTINCT coalesce(a.root, from_node_id) AS from_node_id, coalesce(b.root, to_node_id) AS to_node_id, article_id, act_type FROM edges LEFT JOIN merges a ON from_node_id = a.node_id LEFT JOIN merges b ON to_node_id = b.node_id WHERE coalesce(a.root, from_node_id) <> coalesce(b.root, to_node_id))"
+
+
+def _curated(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
-    k = F.col("s_suppkey")
-    merges = fx.table(spark, sf_dir, "supplier").filter((k % 5 == 0) & (k > 6)).select(F.concat(F.lit("S"), k.cast("string")).alias("node_id"), F.concat(F.lit("S"), (k % 7).cast("string")).alias("root"))
+    suppliers, k = fx.table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    node = lambda c: F.concat(F.lit("S"), c.cast("string"))
+    merges = suppliers.filter((k % 5 == 0) & (k > 6)).select(node(k).alias("node_id"), node(k % 7).alias("root"))
+    named = suppliers.filter(k <= 6).select(node(k).alias("node_id"), F.concat(F.lit("Curated "), k.cast("string")).alias("canonical"), F.lit("person").alias("type"), (k == 3).alias("is_generic"))
     edges = edges.withColumn("edge_id", F.xxhash64("from_node_id", "to_node_id", "article_id", "act_type", "polarity"))
-    nodes = nodes.withColumns({"n_mentions": F.lit(1), "curated": F.lit(False), "confidence": F.lit(1.0), "degree": F.lit(0)})
-    none = spark.createDataFrame([], "node_id string, canonical string, type string, is_generic boolean")
-    done = curation.apply_merges({"nodes": nodes, "edges": edges, "aliases": fx.aliases(spark, sf_dir), "mentions": spark.createDataFrame([], "node_id string")}, merges, none)
+    nodes = nodes.withColumns({"n_mentions": F.substring("node_id", 2, 20).cast("int") % 9, "curated": F.lit(False), "confidence": F.lit(0.7), "degree": F.lit(0)})
+    mentions_ = suppliers.select(node(k).alias("node_id"), k.alias("mention_id"))
+    return curation.apply_merges({"nodes": nodes, "edges": edges, "aliases": fx.aliases(spark, sf_dir), "mentions": mentions_}, merges, named)
+
+
+@query("SELECT from_node_id, to_node_id, article_id, act_type, count(*) OVER (PARTITION BY from_node_id) AS out_degree FROM merged", fx.EDGES_SQL, _MERGES_SQL, _MERGED_EDGES_SQL)
+def curate_apply(spark, sf_dir):
     from pyspark.sql.window import Window
 
-    return done["edges"].select("from_node_id", "to_node_id", "article_id", "act_type", F.count(F.lit(1)).over(Window.partitionBy("from_node_id")).alias("out_degree"))
+    return _curated(spark, sf_dir)["edges"].select("from_node_id", "to_node_id", "article_id", "act_type", F.count(F.lit(1)).over(Window.partitionBy("from_node_id")).alias("out_degree"))
+
+
+@query(
+    """SELECT node_id, CASE WHEN k <= 6 THEN 'Curated ' || k ELSE canonical END AS canonical, CASE WHEN k <= 6 THEN 'person' ELSE node_type END AS node_type, k <= 6 AS curated, CASE WHEN k = 3 THEN 0.3 WHEN k <= 6 THEN 1.0 ELSE 0.7 END::DOUBLE AS confidence,
+  CAST(k % 9 + coalesce((SELECT sum(CAST(substring(m.node_id, 2) AS INTEGER) % 9) FROM merges m WHERE m.root = n.node_id), 0) AS INTEGER) AS n_mentions,
+  (SELECT count(*) FROM merged WHERE from_node_id = n.node_id) + (SELECT count(*) FROM merged WHERE to_node_id = n.node_id) AS degree
+FROM (SELECT *, CAST(substring(node_id, 2) AS INTEGER) AS k FROM nodes) n WHERE node_id NOT IN (SELECT node_id FROM merges)""",
+    fx.NODES_SQL,
+    fx.EDGES_SQL,
+    _MERGES_SQL,
+    _MERGED_EDGES_SQL,
+)
+def curate_apply_nodes(spark, sf_dir):
+    return _curated(spark, sf_dir)["nodes"].select("node_id", "canonical", "node_type", "curated", "confidence", "n_mentions", "degree")
+
+
+@query("SELECT coalesce(root, a.node_id) AS node_id, surface_norm, surface_form, n_occurrences FROM aliases a LEFT JOIN merges m USING (node_id) QUALIFY row_number() OVER (PARTITION BY coalesce(root, a.node_id), surface_norm ORDER BY root IS NOT NULL, a.node_id) = 1", fx.ALIASES_SQL, _MERGES_SQL)
+def curate_apply_aliases(spark, sf_dir):
+    return _curated(spark, sf_dir)["aliases"].select("node_id", "surface_norm", "surface_form", "n_occurrences")
+
+
+@query("SELECT s_suppkey AS mention_id, coalesce(root, 'S' || s_suppkey) AS node_id FROM supplier LEFT JOIN merges ON node_id = 'S' || s_suppkey", _MERGES_SQL)
+def curate_apply_mentions(spark, sf_dir):
+    return _curated(spark, sf_dir)["mentions"].select("mention_id", "node_id")
 
 
 _SCORE_SQL = "SELECT level, CAST(sum(CASE WHEN p AND g THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN g IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN p IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM (SELECT *, true AS p FROM keys WHERE src = 'p') p FULL JOIN (SELECT *, true AS g FROM keys WHERE src = 'g') g USING (level, article_id, key) GROUP BY level"
@@ -658,10 +816,10 @@ def topic_assign(spark, sf_dir):
     return _assigned(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT topic_id, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM embeddings), 6) AS pct FROM assigned GROUP BY topic_id", _CENTRES_SQL)
+@query("SELECT topic_id, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM embeddings), 6) AS pct, CASE WHEN topic_id < 5 THEN 'w' || topic_id || ' · v' || topic_id END AS keywords FROM assigned GROUP BY topic_id", _CENTRES_SQL)
 def topic_report(spark, sf_dir):
-    words = spark.createDataFrame([], "topic_id int, term string, score double, rank int")
-    return topics.report(_assigned(spark, sf_dir), words).select("topic_id", "n", F.round("pct", 6).alias("pct"))
+    words = spark.createDataFrame([(t, f"{c}{t}", 1.0, r) for t in range(5) for r, c in ((2, "v"), (1, "w"))], "topic_id int, term string, score double, rank int")
+    return topics.report(_assigned(spark, sf_dir), words).select("topic_id", "n", F.round("pct", 6).alias("pct"), "keywords")
 
 
 @query("SELECT id, topic_id, CASE topic_id WHEN 0 THEN 'economy' WHEN 1 THEN 'politics' ELSE 'otro' END AS macro_topic FROM assigned", _CENTRES_SQL)
@@ -670,9 +828,17 @@ def macro_mapping(spark, sf_dir):
     return topics.to_macro(_assigned(spark, sf_dir), mapping).select("id", "topic_id", "macro_topic")
 
 
-@query(None)
+@query(
+    """SELECT topic_id, term, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, term) AS rank FROM (
+    SELECT topic_id, term, tf / words * ln(1 + (SELECT sum(tf) / count(DISTINCT topic_id) FROM counts) / total) AS score
+    FROM counts JOIN (SELECT topic_id, sum(tf) AS words FROM counts GROUP BY topic_id) USING (topic_id) JOIN (SELECT term, sum(tf) AS total FROM counts GROUP BY term) USING (term))) WHERE rank <= 8""",
+    f"words AS (SELECT doc_id, doc_id % 8 AS topic_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) > 1 AND x NOT IN ({', '.join(repr(w) for w in STOPWORDS)})) AS w FROM documents)",
+    "each AS (SELECT doc_id, topic_id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM words)",
+    "counts AS (SELECT topic_id, term, count(*) AS tf FROM each WHERE term IN (SELECT term FROM each GROUP BY term HAVING count(DISTINCT doc_id) >= 5) GROUP BY topic_id, term)",
+)
 def topic_keywords(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.abs(F.hash("lang") % 8).alias("topic_id"), "text")
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 8).alias("topic_id"), "text")
     return topics.keywords(topics.terms(docs)).withColumn("score", F.round("score", 6))
 
 

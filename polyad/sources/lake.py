@@ -126,32 +126,104 @@ def response_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def write_json_list(values: list, path: str) -> None:
-    """A small driver-side list as a JSON file."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(values, f, ensure_ascii=False, indent=2)
+def write_json_list(spark: SparkSession, values: list, path: str) -> None:
+    """A small driver-side list as a JSON file, on whatever file system the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(json.dumps(values, ensure_ascii=False, indent=2).encode()))
+    finally:
+        out.close()
+
+
+def read_json_list(spark: SparkSession, path: str) -> list:
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def first_of(parts: list[DataFrame], key: str, last: bool = False) -> DataFrame:
+    """Parts put together, one row per key: from the first part that has it, or the last one; of several there, the least by text."""
+    ranked = union_all(p.withColumn("__part", F.lit(-i if last else i)) for i, p in enumerate(parts))
+    plain = [c for c in ranked.columns if c != "__part"]
+    order = Window.partitionBy(key).orderBy("__part", F.xxhash64(*plain))
+    return ranked.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn", "__part")
+
+
+def union_distinct(parts: Iterable[DataFrame]) -> DataFrame:
+    """The distinct rows of all parts."""
+    return union_all(parts).distinct()
+
 
+def round_robin(df: DataFrame, workers: int) -> DataFrame:
+    """Rows dealt out in turn to as many partitions, of sizes that differ by little."""
+    return df.repartition(workers)
 
-def read_json_list(path: str) -> list:
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in this order; no task keeps more than ``n``."""
+    return df.orderBy(*order).limit(n)
+
+
+def insert_into(df: DataFrame, table: str) -> None:
+    """Append to a table that is there, by column name; columns that ``df`` lacks are null, and others are refused."""
+    spark = df.sparkSession
+    fields = spark.table(table).schema.fields
+    extra = set(df.columns) - {f.name for f in fields}
+    if extra:
+        raise ValueError(f"{table} has no columns {sorted(extra)}")
+    df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).write.insertInto(table)
 
 
 def replace_table(df: DataFrame, path: str) -> int:
-    """Write beside ``path``, count, and put it in its place; a failed write leaves the old table."""
+    """Write beside ``path``, count, and put it in its place.
+
+    The old table is moved aside, not deleted, until the new one is there, and comes back if that fails; after a crash in
+    between ``recover_table`` brings it back.
+    """
     spark = df.sparkSession
+    recover_table(spark, path)
     df.write.mode("overwrite").parquet(path + ".staging")
     n = spark.read.parquet(path + ".staging").count()
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".staging"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.delete(old, True)
+    fs, (new, old, aside) = _paths(spark, path + ".staging", path, path + ".old")
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"can't move {path} aside")
     if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
         raise OSError(f"can't move {path}.staging to {path}")
+    fs.delete(aside, True)
     return n
 
 
+def _paths(spark: SparkSession, *paths: str) -> tuple:
+    made = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return made[0].getFileSystem(spark._jsc.hadoopConfiguration()), made
+
+
+def recover_table(spark: SparkSession, path: str) -> bool:
+    """Bring back a table that a crash left aside; whether there was one."""
+    fs, (at, aside) = _paths(spark, path, path + ".old")
+    if not fs.exists(aside):
+        return False
+    if fs.exists(at):
+        return fs.delete(aside, True) and False
+    return fs.rename(aside, at)
+
+
+def replace_tables(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
+    """Replace several tables under ``root`` after all of them have been written; the number of rows of each."""
+    staged = {}
+    for name, df in tables.items():
+        path = f"{root}/{name}.next"
+        df.write.mode("overwrite").parquet(path)
+        staged[name] = df.sparkSession.read.parquet(path)
+    done = {name: replace_table(df, f"{root}/{name}") for name, df in staged.items()}
+    for name, df in staged.items():
+        fs, (path,) = _paths(df.sparkSession, f"{root}/{name}.next")
+        fs.delete(path, True)
+    return done
+
+
 def export_tables(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
     """Each table as Parquet under ``root``; the number of rows of each."""
     return {name: replace_table(df, f"{root}/{name}") for name, df in tables.items()}

@@ -24,7 +24,9 @@ def into_lake(articles: DataFrame, root: str, checkpoint: str) -> StreamingQuery
         spark = batch.sparkSession
         fresh = dedup_articles(batch, "src_id", "publish_date")
         try:
-            there = spark.read.parquet(root).select("article_id")
+            # An article's year follows from its row, so its copies are in the lake's folders of these years.
+            years = [r["year"] for r in fresh.select("year").distinct().collect()]
+            there = spark.read.parquet(root).filter(F.col("year").isin(*years)).select("article_id")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise

@@ -70,9 +70,22 @@ def test_tagger_and_roll_up(spark):
     assert got == {"Gabriel Boric": (2, ["Boric", "GB", "Gabriel Boric"]), "Kast": (1, ["Kast"])}
 
 
-def reference_greedy(rows):
-    """All surfaces in one loop, without components."""
-    return resolution.greedy(sorted(rows, key=lambda r: (-r[2], r[0])))
+def one_loop(rows, cutoff=90, surname=88):
+    """The rule in words, over all surfaces and without components: clusters by the most similar form that may be joined."""
+    founder, forms, out = {}, {}, []
+    for i, (surface, kind, _, ns) in enumerate(rows):
+        if ns not in founder:
+            best = (0, 0)
+            for other, home in founder.items():
+                long = {t for t in ns.split() if len(t) >= 4} & {t for t in other.split() if len(t) >= 4}
+                score = token_sort_ratio(ns, other)
+                types = {kind, rows[home][1]}
+                person = "person" in types and token_sort_ratio(ns.split()[-1], other.split()[-1]) < surname
+                if long and score >= cutoff and (len(types) == 1 or "unknown" in types) and not person:
+                    best = max(best, (score, -home)) if best[0] else (score, -home)
+            founder[ns] = -best[1] if best[0] else i
+        out.append((surface, founder[ns]))
+    return out
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -92,7 +105,7 @@ def test_resolution_equals_one_loop(spark, seed):
     prepared = [tuple(x) for x in resolution.prepared(df).select("surface", "type", "freq", "ns").collect()]
     ordered = sorted(prepared, key=lambda x: (-x[2], x[0]))
     want = {}
-    for s, head in reference_greedy(prepared):
+    for s, head in one_loop(ordered):
         want.setdefault(ordered[head][0], set()).add(s)
     got = {}
     for x in assign.collect():
@@ -108,25 +121,80 @@ def test_fuzzy_names(spark):
     assert got == {"Gabriel Boric": "E1", "Gabriel Borik": "E1", "KAST José": "E2", "nadie": None, "": None}
 
 
-def test_louvain():
-    blocks = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abc" for i in range(5) for j in range(i)]
-    edges = [*blocks, ("a0", "b0", 0.1), ("b1", "c1", 0.1)]
-    of = signed.louvain(edges)
-    assert len(set(of.values())) == 3 and all(len({of[f"{g}{i}"] for i in range(5)}) == 1 for g in "abc")
-    assert signed.modularity(edges, of) > 0.6
+def grouped(rows):
+    out = {}
+    for n, c in rows:
+        out.setdefault(c, set()).add(n)
+    return sorted(map(sorted, out.values()))
 
 
-def test_label_propagation(spark):
-    edges = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "ab" for i in range(4) for j in range(i)]
-    got = {r["node_id"]: r["c"] for r in signed.label_propagation(spark.createDataFrame(edges, "u string, v string, w double")).collect()}
-    assert len({got[f"a{i}"] for i in range(4)}) == 1 and got["a0"] != got["b0"]
+def test_communities_of_a_planted_partition(spark):
+    r = random.Random(3)
+    edges = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "abcd" for i in range(12) for j in range(i) if r.random() < 0.7]
+    edges += [(f"{g}{r.randrange(12)}", f"{h}{r.randrange(12)}", 0.5) for g in "abcd" for h in "abcd" if g < h for _ in range(4)]
+    links = spark.createDataFrame(edges, "u string, v string, w double")
+    got = [tuple(x) for x in signed.modularity_communities(links).collect()]
+    assert grouped(got) == [sorted(f"{g}{i}" for i in range(12)) for g in "abcd"]
+    assert signed.modularity(edges, dict(got)) == pytest.approx(signed.modularity(edges, {n: n[0] for n, _ in got}))
+    sized = signed.communities(links).collect()
+    assert {(x["community"], x["size"]) for x in sized} == {(k, 12) for k in range(4)} and {x["community"] for x in sized if x["node_id"][0] == "a"} == {0}
+    assert signed.communities(links.limit(0)).count() == 0
 
 
-def test_label_propagation_settles(spark):
-    links = spark.createDataFrame([("a", "b", 1.0), ("c", "d", 1.0), ("d", "e", 1.0), ("e", "f", 1.0), ("f", "c", 1.0)], "u string, v string, w double")
-    got = {r["node_id"]: r["c"] for r in signed.label_propagation(links).collect()}
-    around = {"c": "df", "d": "ce", "e": "df", "f": "ce"}
-    assert got["a"] == got["b"] and all(got[n] in {got[x] for x in near} for n, near in around.items())
+def test_communities_gain_and_settle(spark):
+    """Pairs, a ring and a loop: neighbours don't swap for ever, and no single move gains any more."""
+    edges = [("a", "b", 1.0), ("c", "d", 1.0), ("d", "e", 1.0), ("e", "f", 1.0), ("f", "c", 1.0), ("g", "g", 2.0), ("g", "a", 0.1)]
+    got = dict(tuple(x) for x in signed.modularity_communities(spark.createDataFrame(edges, "u string, v string, w double")).collect())
+    most = signed.modularity(edges, got)
+    assert all(signed.modularity(edges, got | {n: c}) <= most + 1e-9 for n in got for c in set(got.values()))
+
+
+def test_period_and_top(spark):
+    edges = spark.createDataFrame([("a", "b", "2020"), ("a", "c", "2021"), ("b", "a", "2021")], "from_node_id string, to_node_id string, period string")
+    assert signed.in_period(edges, "2021").count() == 2 and signed.in_period(edges, None).count() == 3
+    assert graph.among(edges, spark.createDataFrame([("a",), ("b",)], "node_id string")).count() == 2
+
+
+def test_rules_file():
+    rules = relations.rules_from_json('{"id": "x", "validation": {"require_evidence_substring": false, "min_quote_len": 3, "max_relations_per_article": null, "allowed_act_types": ["attacks"], "dedup": false, "other": 1}}')
+    assert rules == relations.Rules(require_evidence=False, min_quote_len=3, max_per_article=None, act_types=("attacks",), dedup=False)
+    assert relations.rules_from_json("{}") == relations.Rules()
+
+
+def test_embeddings(spark):
+    from polyad.operators import topics
+
+    arts = spark.createDataFrame([("a", "Paz", "uno dos"), ("b", None, "tres"), ("c", "", "uno dos paz")], "article_id string, title string, body string")
+    got = {r["id"]: r["embedding"] for r in topics.embed_hashed(arts, 64).collect()}
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-9 for v in got.values()) and got["a"] == pytest.approx(got["c"]) and got["a"] != got["b"]
+
+    def model(frames):
+        for f in frames:
+            yield f.assign(embedding=f["text"].map(lambda t: [float(len(t))]))[["id", "embedding"]]
+
+    assert {r["id"]: r["embedding"] for r in topics.embed_with(arts, model).collect()} == {"a": [11.0], "b": [4.0], "c": [11.0]}
+
+
+def test_candidates_and_fuzzy_queries(spark, smallest):
+    """The registered queries without SQL against loops."""
+    from polyad.plans import fixtures as fx
+    from polyad.plans import registry
+
+    nodes = sorted(registry._ranked(spark, smallest).collect(), key=lambda r: (-r["degree"], r["node_id"]))[:150]
+    want = {(min(a["node_id"], b["node_id"]), max(a["node_id"], b["node_id"]), token_sort_ratio(a["canonical"].lower(), b["canonical"].lower())) for i, a in enumerate(nodes) for b in nodes[:i] if a["node_type"] == b["node_type"]}
+    assert {(r["a"], r["b"], r["ratio"]) for r in registry.QUERIES["curation_candidates"](spark, smallest).collect()} == {x for x in want if x[2] >= 85}
+    norm = lambda names: [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(T.normalize(F.col("n"))).collect()]
+    forms = {}
+    for i, (n, form) in enumerate(zip(fx.NAMES, norm(fx.NAMES))):
+        forms[form] = f"E{i % 5}"
+    for r in registry.QUERIES["gazetteer_resolve"](spark, smallest).collect():
+        name = norm([r["surface"]])[0]
+        best = min(((-token_sort_ratio(name, f), f) for f in forms), default=None)
+        assert r["entity_id"] == forms.get(name, forms[best[1]] if -best[0] >= 85 else None)
+    prepared = [tuple(x) for x in resolution.prepared(fx.surfaces(spark, smallest)).select("surface", "type", "freq", "ns").collect()]
+    ordered = sorted(prepared, key=lambda x: (-x[2], x[0]))
+    got = [(r["surface"], r["node_id"]) for r in registry.QUERIES["er_resolve"](spark, smallest).collect()]
+    assert grouped(got) == grouped(one_loop(ordered))
 
 
 def test_degree_sum(spark):
