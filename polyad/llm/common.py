@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyad.sources.scratch import materialize, new_path, shared_dir
+from polyad.sources.scratch import delete, drop_shuffles, materialize, new_path, release, scope, shared_dir
 
-__all__ = ["NULL_ID", "ascii_blank", "bound_batches", "id_back", "id_of", "materialize", "new_path", "read_table", "shared_dir", "without"]
+__all__ = ["NULL_ID", "as_struct", "ascii_blank", "bound_batches", "delete", "distinct_rows", "drop_shuffles", "from_struct", "id_back", "id_of", "materialize", "new_path", "read_table", "release", "scope", "shared_dir", "sized", "sub_of", "without"]
 
 #: Null ids take this value inside an operator, so they sort first, and turn null again in its result.
 NULL_ID = -(2**63)
 
 
-#: Rows of an Arrow batch where the session leaves Spark's default: rows here hold whole texts.
-TEXT_ROWS = 2_000
+#: Bytes of an Arrow batch where the session sets no bound: rows here hold whole texts.
+BATCH_BYTES = 16 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Make Arrow batches of whole texts smaller, unless the session has a setting of its own."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) == 10_000:
-        spark.conf.set(key, str(TEXT_ROWS))
+    """Bound Arrow batches by bytes, unless the session has a bound of its own; ``session`` sets the same one."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in (None, str(2**31 - 1), str(2**63 - 1)):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def sized(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with about ``limit`` bytes of this binary or string column at most; none is empty."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right"))
+            stop = min(batch.num_rows, max(stop, at + 1))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -30,6 +47,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def as_struct(df: DataFrame, *leave_out: str) -> Column:
+    """The columns of ``df`` but these, in any case, as one struct, so that an operator's own columns can't clash with them."""
+    kept = without(df, *leave_out).columns
+    return F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(None).alias("__none"))
+
+
+def from_struct(df: DataFrame, row: str, names: list[str], *added: Column) -> DataFrame:
+    """The columns ``names`` of the struct ``row``, and then the added ones."""
+    return df.select(*[F.col(row)[c].alias(c) for c in names], *added)
+
+
 def id_of(name: str) -> Column:
     """The id as a long, null as ``NULL_ID``."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
@@ -44,5 +72,22 @@ def ascii_blank() -> str:
     return " \t\n\x0b\x0c\r"
 
 
+def distinct_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, sub, text, copies): one row for the rows of one id and text. ``sub`` is 0, unless ids repeat; then it goes by the text.
+
+    Where no id repeats, which is looked up first, no text moves.
+    """
+    rows = df.select(id_of(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return rows.select("id", F.lit(0).cast("long").alias("sub"), "text", F.lit(1).cast("long").alias("copies"))
+    once = rows.withColumn("digest", F.sha2("text", 256)).groupBy("id", "digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return materialize(once.select("id", sub_of("text").alias("sub"), "text", "copies"), "distinct-rows")
+
+
+def sub_of(text: str) -> Column:
+    """What tells texts of one id apart: the first 60 bits of the digest."""
+    return F.conv(F.substring(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256), 1, 15), 16, 10).cast("long")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,9 +1,9 @@
 """Repeated word windows by level-wise doubling.
 
 Windows that repeat at one length alone are extended to twice that length, until the full length is reached or none is left.
-The first level, ANCHOR words, is decided over all documents by ``windows``: only runs whose anchor repeats, with other
-contents than their own, come here. In their bucket each further level looks at the least-hash stretch of its length in a
-window, which equal windows share, and drops the windows whose stretch occurs once; the last level is the window itself.
+At 9 and at 18 words a level looks at the stretch of its length in a window that comes first in an order of all of them,
+which equal windows share; at 35 words at the window itself. Each of the first two levels deals all windows that are left in
+all documents out by their stretch, in ``windows``, and drops those whose stretch occurs once.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 
-from polyad.llm.common import id_back
-from polyad.llm.windows import Scheme, apply_spans, covered, gram_hashes, prepared, repeated_spans, sliding_min
+from polyad.llm.common import bound_batches, distinct_rows, id_back
+from polyad.llm.windows import Scheme, apply_spans, covered, gram_hashes, repeated_spans
 
 WORDS = 35
 ANCHOR = 9
@@ -27,65 +27,29 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(0)), np.uint64, len(words))
 
 
-def _repeats(values: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Which values stand at two different places at least."""
-    if not len(values):
-        return np.zeros(0, bool)
-    order = np.lexsort((places, values))
-    v, p = values[order], places[order]
-    group = np.cumsum(np.append(True, v[1:] != v[:-1])) - 1
-    several = np.bincount(group, np.append(False, (v[1:] == v[:-1]) & (p[1:] != p[:-1]))) > 0
-    out = np.empty(len(values), bool)
-    out[order] = several[group]
-    return out
-
-
-def kernel(contents: list[bytes], requests: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs of windows whose words also start elsewhere; contents that are settled only serve to compare with."""
+def classes(contents: list[bytes], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each window of WORDS words in the distinct contents of a bucket, and how often each class stands by the copies of each window."""
     x = np.frombuffer(b"".join(contents), np.uint64)
-    ends = np.cumsum(requests["symbols"].astype(np.int64))
+    ends = np.cumsum([len(c) // 8 for c in contents])
     at = np.arange(len(x) - WORDS + 1)
-    of = np.searchsorted(ends, at, "right")
-    inside = ends[of] - at >= WORDS
-    at, of = at[inside], of[inside]
-    # A place is the same for rows that repeat an id.
-    origin = np.unique(np.stack([requests["doc"], requests["start"].astype(np.int64)], 1), axis=0, return_inverse=True)[1].ravel()
-    place = origin[of] * (1 << 32) + at - (ends - requests["symbols"])[of]
-    length = 2 * ANCHOR
-    while length < WORDS and len(at):
-        h = gram_hashes(x, length)
-        low = sliding_min(h, WORDS - length + 1)
-        # Where the stretch of a window is: the first position in it with the least hash.
-        where = np.full(len(at), -1, np.int64)
-        for shift in range(WORDS - length, -1, -1):
-            hit = h[at + shift] == low[at]
-            where[hit] = shift
-        alive = _repeats(low[at], place + where)
-        at, of, place = at[alive], of[alive], place[alive]
-        length *= 2
-    if not len(at):
-        return []
-    found = _repeats(gram_hashes(x, WORDS)[at], place) & (requests["settled"][of] == 0)
-    at, of = at[found], of[found]
-    if not len(at):
-        return []
-    head = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])))
-    starts, count = (ends - requests["symbols"])[of[head]], np.diff(np.append(head, len(at)))
-    return list(zip(requests["doc"][of[head]].tolist(), (at[head] - starts + requests["start"][of[head]]).tolist(), count.tolist()))
-
-
-SCHEME = Scheme(WORDS, ANCHOR, word_hashes, keep_first=False)
-
-
-def _row(text: bytes, spans: list[tuple[int, int]]) -> tuple:
+    at = at[ends[np.searchsorted(ends, at, "right")] - at >= WORDS]
+    found = np.unique(gram_hashes(x, WORDS)[at], return_inverse=True)[1]
+    return found, np.bincount(found, copies)
+
+
+SCHEME = Scheme(WORDS, ANCHOR, 2 * ANCHOR, word_hashes, classes, keep_first=False)
+
+
+def _row(text: bytes, spans: list[tuple[int, int]], copies: int) -> list[tuple]:
     words = text.split()
-    gone = covered(spans, len(words), WORDS)
+    # Rows that repeat an id and its text repeat each other.
+    gone = covered(spans, len(words), WORDS) if copies == 1 else [(0, len(words))] if len(words) >= WORDS else []
     kept, at = [], 0
     for a, b in gone:
         kept += words[at:a]
         at = b
     kept += words[at:]
-    return len(words), sum(b - a for a, b in gone), [{"start": a, "end": b} for a, b in gone], b" ".join(kept).decode()
+    return [(len(words), sum(b - a for a, b in gone), [{"start": a, "end": b} for a, b in gone], b" ".join(kept).decode())] * copies
 
 
 def drop_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,10 +57,11 @@ def drop_repeated_windows(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Every word is removed that is covered by WORDS consecutive words which also start anywhere else, in the same document
     or another; windows are judged on the input, and the kept words are joined by one space. Words lie between ASCII white
-    space and are compared unchanged. Null texts have no words; texts under WORDS words lose none. Rows that share an id
-    count as one document, so they don't repeat each other; what is removed from one is removed, by place, from all. An
-    empty table gives an empty result; further columns are ignored.
+    space and are compared unchanged. Null texts have no words; texts under WORDS words lose none. Rows that share an id are
+    documents of their own and repeat each other. An empty table gives an empty result; further columns are ignored,
+    whatever their names.
     """
-    docs = prepared(df, id_col, text_col)
-    out = apply_spans(docs, repeated_spans(docs, SCHEME, kernel), "id bigint, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept string", _row)
+    bound_batches(df.sparkSession)
+    docs = distinct_rows(df, id_col, text_col)
+    out = apply_spans(docs, repeated_spans(docs, SCHEME), "id bigint, n_words bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept string", _row)
     return out.select(id_back("id").alias(id_col), "n_words", "n_removed", "spans", "kept")

@@ -1,10 +1,11 @@
 """Repeated byte strings, by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
-``windows`` brings all texts that can hold a repeated string together in buckets, by anchors. In a bucket the texts form a
-suffix array with a separator of its own after each. Breadth-first backward extension over its Burrows-Wheeler transform
+``windows`` brings all contents that can hold a repeated string together in buckets. In a bucket the distinct contents form
+a suffix array with a separator of its own after each. Breadth-first backward extension over its Burrows-Wheeler transform
 then meets the common-prefix values in increasing order: the interval of a string of length l + 1 that ends where no value
 is set yet sets it to l, and only such intervals are extended further. It stops at the minimum length: neighbours whose
-value isn't set by then share at least that many bytes.
+value isn't set by then share at least that many bytes. The classes that these borders leave decide which strings repeat:
+a content that stands in several places is in the array once, and counts as often as it stands.
 """
 
 from __future__ import annotations
@@ -12,18 +13,17 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from polyad.llm.common import id_back
-from polyad.llm.windows import Scheme, apply_spans, covered, prepared, repeated_spans, runs
+from polyad.llm.common import bound_batches, distinct_rows, id_back
+from polyad.llm.windows import Scheme, apply_spans, covered, repeated_spans
 
 LENGTH = 100
 ANCHOR = 32
-#: Bytes of the stretch by which contents are thinned out before a suffix array is made of them.
+#: Bytes of the stretch by which contents meet for a suffix array.
 STRETCH = 64
-_SALT = np.random.default_rng(0).integers(1, 2**63, 256).astype(np.uint64)
 
 
 class _Bytes:
-    """Bytes as symbols; they are hashed by a table."""
+    """Bytes as symbols."""
 
     def __call__(self, text: bytes) -> np.ndarray:
         return np.frombuffer(text, np.uint8)
@@ -49,14 +49,14 @@ def suffix_array(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
         k *= 2
 
 
-def prefix_classes(x: np.ndarray, order: np.ndarray, separators: int, length: int) -> np.ndarray:
+def prefix_classes(x: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """In suffix order, a number shared by suffixes whose first ``length`` symbols agree."""
     n = len(x)
     bwt = x[order - 1]  # before the first text stands the last separator
     first = x[order]
-    by_char = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[by_char] = np.arange(n)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    lf = rank[order - 1]  # where a suffix goes that has one symbol more in front
     bound = np.zeros(n + 1, bool)  # common prefix known, so less than the length
     bound[0] = bound[n] = True
     # Level 0: each separator and each byte.
@@ -84,70 +84,40 @@ def prefix_classes(x: np.ndarray, order: np.ndarray, separators: int, length: in
     return np.cumsum(bound[:n])
 
 
-def repeated_starts(texts: list[bytes], length: int) -> np.ndarray:
-    """Offsets, in the texts with one separator after each, of strings of ``length`` that also start earlier."""
+def string_classes(texts: list[bytes], length: int) -> np.ndarray:
+    """A number for each string of ``length`` bytes in the texts, one text after the other; equal strings have equal numbers."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     ends = np.cumsum(sizes) - 1
-    x = np.zeros(int(sizes.sum()), np.uint16)
-    raw = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.uint16) + 1
-    x[:] = raw
+    x = np.frombuffer(b"\0".join([*texts, b""]), np.uint8).astype(np.uint16) + 1
     x[ends] = 0
     order = suffix_array(x, ends)
-    classes = prefix_classes(x, order, len(texts), length)
-    left = ends[np.searchsorted(ends, order)] - order
-    at, cls = order[left >= length], classes[left >= length]
-    s = np.lexsort((at, cls))
-    at, cls = at[s], cls[s]
-    return np.sort(at[1:][cls[1:] == cls[:-1]])
-
-
-def shared_pieces(texts: list[bytes]) -> list[tuple[int, int, int]]:
-    """(text, first string, number of strings) of all that can occur twice: strings whose least-hash stretch of STRETCH bytes does."""
-    bounds = np.cumsum([0, *map(len, texts)])
-    low, start, count = runs(np.frombuffer(b"".join(texts), np.uint8), bounds, LENGTH, STRETCH)
-    if not len(low):
-        return []
-    _, which, often = np.unique(low, return_inverse=True, return_counts=True)
-    alive = often[which] > 1
-    start, count = start[alive], count[alive]
-    if not len(start):
-        return []
-    of = np.searchsorted(bounds, start, "right") - 1
-    head = np.flatnonzero(np.append(True, (start[1:] != start[:-1] + count[:-1]) | (of[1:] != of[:-1])))
-    return list(zip(of[head].tolist(), (start[head] - bounds[of[head]]).tolist(), np.add.reduceat(count, head).tolist()))
-
-
-def kernel(texts: list[bytes], requests: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs of strings that also start at an earlier place; the texts come by place."""
-    out, first, pieces = [], {}, []
-    for i, at, n in shared_pieces(texts):
-        piece = texts[i][at : at + n + LENGTH - 1]
-        if first.setdefault(piece, (i, at)) == (i, at):
-            pieces.append((i, at, piece))
-        else:
-            out.append((i, at, n))
-    if pieces:
-        starts = np.concatenate([[0], np.cumsum([len(p) + 1 for *_, p in pieces])])
-        found = repeated_starts([p for *_, p in pieces], LENGTH)
-        if len(found):
-            head = np.flatnonzero(np.append(True, found[1:] != found[:-1] + 1))
-            of = np.searchsorted(starts, found[head], "right") - 1
-            for p, at, n in zip(of.tolist(), (found[head] - starts[of]).tolist(), np.diff(np.append(head, len(found))).tolist()):
-                out.append((pieces[p][0], pieces[p][1] + at, n))
-    return [(int(requests["doc"][i]), int(requests["start"][i]) + at, n) for i, at, n in out]
-
-
-SCHEME = Scheme(LENGTH, ANCHOR, _Bytes(), keep_first=True)
-
-
-def _row(text: bytes, spans: list[tuple[int, int]]) -> tuple:
-    gone = covered(spans, len(text), LENGTH)
-    kept, at = [], 0
-    for a, b in gone:
-        kept.append(text[at:a])
-        at = b
-    kept.append(text[at:])
-    return len(text), sum(b - a for a, b in gone), [{"start": a, "end": b} for a, b in gone], b"".join(kept)
+    of = np.empty(len(x), np.int64)
+    of[order] = prefix_classes(x, order, length)
+    at = np.arange(len(x))
+    return np.unique(of[ends[np.searchsorted(ends, at)] - at >= length], return_inverse=True)[1]
+
+
+def classes(contents: list[bytes], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each string of LENGTH bytes in the distinct contents of a bucket, and how often each class stands by the copies of each window."""
+    found = string_classes(contents, LENGTH)
+    return found, np.bincount(found, copies)
+
+
+SCHEME = Scheme(LENGTH, ANCHOR, STRETCH, _Bytes(), classes, keep_first=True)
+
+
+def _row(text: bytes, spans: list[tuple[int, int]], copies: int) -> list[tuple]:
+    def without_(gone: list[tuple[int, int]]) -> tuple:
+        kept, at = [], 0
+        for a, b in gone:
+            kept.append(text[at:a])
+            at = b
+        kept.append(text[at:])
+        return len(text), sum(b - a for a, b in gone), [{"start": a, "end": b} for a, b in gone], b"".join(kept)
+
+    # Of rows that repeat an id and its text all but one are repeated as a whole.
+    whole = [(0, len(text))] if len(text) >= LENGTH else []
+    return [without_(covered(spans, len(text), LENGTH)), *[without_(whole)] * (copies - 1)]
 
 
 def drop_repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,9 +125,11 @@ def drop_repeated_substrings(df: DataFrame, id_col: str = "doc_id", text_col: st
 
     Every byte is removed that a string of LENGTH bytes covers which also starts earlier: in a document of smaller id, or
     earlier in the same one. Strings are judged on the input. Null texts count as empty; texts under LENGTH bytes stay as
-    they are; a null id sorts before all others. Rows that share an id count as one document: what is removed from one is
-    removed, by place, from all of them. An empty table gives an empty result; further columns are ignored.
+    they are; a null id sorts before all others. Rows that share an id are documents of their own, in the order of a digest
+    of their texts; of rows with one id and one text, one comes first. An empty table gives an empty result; further
+    columns are ignored, whatever their names.
     """
-    docs = prepared(df, id_col, text_col)
-    out = apply_spans(docs, repeated_spans(docs, SCHEME, kernel), "id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary", _row)
+    bound_batches(df.sparkSession)
+    docs = distinct_rows(df, id_col, text_col)
+    out = apply_spans(docs, repeated_spans(docs, SCHEME), "id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept binary", _row)
     return out.select(id_back("id").alias(id_col), "n_bytes", "n_removed", "spans", "kept")
