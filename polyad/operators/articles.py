@@ -77,8 +77,13 @@ def political(
 
 
 def political_volume(lake: DataFrame, actors: list[str], lexicon: list[str], min_actors: int = 2, min_terms: int = 3) -> DataFrame:
-    """(year, total, pol): articles with a body, and how many are political; null titles count as empty."""
+    """(year, total, pol): articles with a body, and how many are political; null titles count as empty.
+
+    Names are listed only where a plain match finds one.
+    """
     hit = (F.size(_distinct_hits(actors, "empty", False)) >= min_actors) | (F.size(_distinct_hits(lexicon, "empty", False)) >= min_terms)
+    if min(min_actors, min_terms) > 0:
+        hit = F.when(_text("empty").rlike(alternation([*actors, *lexicon])), hit).otherwise(False)
     rows = lake.filter(F.col("body").isNotNull() & (F.length(F.trim("body")) > 0))
     return rows.groupBy("year").agg(F.count(F.lit(1)).alias("total"), F.sum(F.when(hit, 1).otherwise(0)).alias("pol")).orderBy("year")
 

@@ -163,25 +163,29 @@ def polarization_bars(edges: DataFrame, first: str = "2019-01", last: str = "202
 def saturation(edges: DataFrame, fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Stable dyads over growing shares of the articles: (frac, n_articles, n_dyads, coverage, corr, growth).
 
-    One pass marks each edge with the shares it falls in. Two dyads or fewer in common count as correlation 1, none as 0.
+    Edges are aggregated once, by dyad, with sums for each share side by side. Two dyads or fewer in common count as
+    correlation 1, none as 0.
     """
-    shares = edges.sparkSession.createDataFrame([(f,) for f in fractions], "frac double")
     marked = edges.select("article_id", "from_node_id", "to_node_id", "polarity", hash_fraction(F.col("article_id")).alias("af"))
-    each = marked.join(F.broadcast(shares), F.col("af") < F.col("frac"))
-    articles = each.groupBy("frac").agg(F.countDistinct("article_id").alias("n_articles"))
-    s = sign(F.col("polarity"))
-    sums = (
-        each.filter(F.col("polarity").isin("positive", "negative"))
-        .groupBy("frac", F.least("from_node_id", "to_node_id").alias("u"), F.greatest("from_node_id", "to_node_id").alias("v"))
-        .agg(F.sum(s).alias("ss"), F.count(F.lit(1)).alias("m"))
+    s, af = sign(F.col("polarity")), F.col("af")
+    sums = [(F.sum(F.when(af < f, s)).alias(f"s{i}"), F.count(F.when(af < f, 1)).alias(f"m{i}")) for i, f in enumerate(fractions)]
+    pairs = (
+        marked.filter(F.col("polarity").isin("positive", "negative"))
+        .groupBy(F.least("from_node_id", "to_node_id").alias("u"), F.greatest("from_node_id", "to_node_id").alias("v"))
+        .agg(F.sum(s).alias("s"), F.count(F.lit(1)).alias("m"), *[x for pair in sums for x in pair])
         .filter("m >= 3")
-        .withColumn("mean", F.col("ss") / F.col("m"))
     )
-    whole = marked.filter(F.col("polarity").isin("positive", "negative")).groupBy(F.least("from_node_id", "to_node_id").alias("u"), F.greatest("from_node_id", "to_node_id").alias("v")).agg(F.sum(s).alias("ss"), F.count(F.lit(1)).alias("m")).filter("m >= 3").select("u", "v", (F.col("ss") / F.col("m")).alias("full"))
-    per = sums.join(whole, ["u", "v"], "left").groupBy("frac").agg(F.count(F.lit(1)).alias("n_dyads"), F.count("full").alias("common"), F.corr("mean", "full").alias("r"))
-    total = whole.agg(F.count(F.lit(1)).alias("t"))
-    corr = F.when(F.coalesce("common", F.lit(0)) == 0, 0.0).when(F.col("common") <= 2, 1.0).otherwise(F.col("r"))
-    out = articles.join(per, "frac", "left").crossJoin(F.broadcast(total)).select("frac", "n_articles", F.coalesce("n_dyads", F.lit(0)).alias("n_dyads"), (100.0 * F.coalesce("n_dyads", F.lit(0)) / F.col("t")).alias("coverage"), corr.alias("corr"))
+    # One row per dyad and share; the share -1 stands for all articles.
+    each = F.array(F.struct(F.lit(-1.0).alias("frac"), F.col("s").alias("ss"), F.col("m").alias("mm")), *[F.struct(F.lit(f).alias("frac"), F.col(f"s{i}").alias("ss"), F.col(f"m{i}").alias("mm")) for i, f in enumerate(fractions)])
+    rows = pairs.select((F.col("s") / F.col("m")).alias("full"), F.explode(each).alias("e")).select("full", "e.*").filter("mm >= 3")
+    per = rows.groupBy("frac").agg(F.count(F.lit(1)).alias("n_dyads"), F.corr(F.col("ss") / F.col("mm"), "full").alias("r"))
+    seen = marked.select("article_id", "af").distinct().agg(*[F.count(F.when(af < f, 1)).alias(f"a{i}") for i, f in enumerate(fractions)])
+    articles = seen.select(F.explode(F.array(*[F.struct(F.lit(f).alias("frac"), F.col(f"a{i}").alias("n_articles")) for i, f in enumerate(fractions)])).alias("e")).select("e.*")
+    found = articles.filter("n_articles > 0").join(per, "frac", "left")
+    total = per.filter("frac = -1").agg(F.coalesce(F.max("n_dyads"), F.lit(0)).alias("t"))
+    n = F.coalesce("n_dyads", F.lit(0))
+    corr = F.when(n == 0, 0.0).when(n <= 2, 1.0).otherwise(F.col("r"))
+    out = found.crossJoin(F.broadcast(total)).select("frac", "n_articles", n.alias("n_dyads"), (100.0 * n / F.col("t")).alias("coverage"), corr.alias("corr"))
     return out.withColumn("growth", F.col("n_dyads") - F.lag("n_dyads").over(Window.orderBy("frac")))
 
 
