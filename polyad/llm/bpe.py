@@ -21,9 +21,10 @@ from itertools import chain
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polyad.llm.common import bound_batches, without
+from polyad.llm.common import as_struct, bound_batches, from_struct, sized, without
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -49,9 +50,17 @@ class MergeList:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, of = spec["model"], byte_chars()
-        for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"):
+        for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"):
             if model.get(k):
                 raise ValueError(f"{path}: {k} isn't handled")
+        before, after = spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+        if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or after.get("type") != "ByteLevel":
+            raise ValueError(f"{path}: only byte-level BPE without a normalizer is handled")
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError(f"{path}: this pre_tokenizer isn't handled")
+        for t in spec.get("added_tokens", []):
+            if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+                raise ValueError(f"{path}: added token {t['content']!r} has a flag that isn't handled")
         ids = model["vocab"]
         self.table: dict[int, bytes] = {i: bytes(of[c] for c in t) for t, i in ids.items()}
         self.first = [0] * 256
@@ -276,30 +285,20 @@ def encode_decode(df: DataFrame, path: str, text_col: str = "text", batch_bytes:
 
     ``path`` is a byte-level BPE file that every executor has. Special strings in a text become their special ids. A null
     text counts as empty; an empty one has no ids; an empty table gives an empty result. Texts of any length are encoded
-    whole. Input columns named like the added ones, in any case, are replaced.
+    whole. Repeated rows stay repeated, each coded alike. Input columns named like the added ones, in any case, are
+    replaced; any other names are kept.
     """
-    df = without(df, *ADDED)
     bound_batches(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+    names = without(df, *ADDED).columns
+    rows = df.select(as_struct(df, *ADDED).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         decoder = Decoder(encoder.merges)
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                ids, texts, size, start = [], [], 0, at
-                for value in batch.column(batch.schema.get_field_index(text_col))[at:]:
-                    ids.append(encoder.encode(value.as_py() or ""))
-                    texts.append(decoder.decode(ids[-1]))
-                    size += len(ids[-1]) + len(texts[-1])
-                    at += 1
-                    if size > batch_bytes:
-                        break
-                part = batch.slice(start, at - start)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())],
-                    names=[*part.schema.names, *ADDED],
-                )
-
-    return df.mapInArrow(run, schema)
+        for part in sized(batches, 1, batch_bytes):
+            ids = [encoder.encode(t.as_py()) for t in part.column(1)]
+            texts = [decoder.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], names=["row", *ADDED])
+
+    return from_struct(rows.mapInArrow(run, schema), "row", names, *map(F.col, ADDED))

@@ -11,15 +11,17 @@ five-word shingles, repeats counted, decides.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from polyad.llm.common import bound_batches, materialize
+from polyad.llm.common import as_struct, bound_batches, from_struct, materialize, release
 from polyad.llm.simhash import SEED, majority
 
 WORDS = 5
@@ -27,8 +29,10 @@ SIMILARITY = 0.8
 #: At similarity 0.8 a bit differs with a chance of about 0.15; 24 of 64 are 5 standard deviations off.
 RADIUS = 24
 BLOCKS = 8
-#: Bytes of item text in one block of the query set.
-BLOCK_BYTES = 8 << 20
+#: Bytes of item text, and items, in one block of the query set, on average.
+BLOCK_BYTES, BLOCK_ITEMS = 8 << 20, 50_000
+#: Which values of a block are near each value: one of the blocks must be, within the radius.
+_NEAR = np.array([[(u ^ v).bit_count() <= RADIUS // BLOCKS for u in range(256)] for v in range(256)])
 _BITS = np.array([[(v >> b) & 1 for b in range(8)] for v in range(256)], np.int32)
 
 
@@ -62,17 +66,22 @@ class Index:
         owner = np.repeat(np.arange(len(kept)), [len(s) for s in self.shingles])
         order = np.argsort(flat, kind="stable")
         self.by_shingle, self.owner = flat[order], owner[order]
-        near = np.array([[(a ^ b).bit_count() <= RADIUS // BLOCKS for a in range(256)] for b in range(256)])
-        self.near = near[:, self.fps.view(np.uint8).reshape(-1, BLOCKS)] if len(kept) else None  # value, item, block
         self.short = sorted({int(m) for m in self.size if m < WORDS})
 
     def candidates(self, fps: np.ndarray, items: np.ndarray) -> list[tuple[int, int]]:
-        """(window, item) for all fingerprints of windows within the radius of those of the items."""
-        parts = fps.view(np.uint8).reshape(-1, BLOCKS)
-        found = np.zeros((len(fps), len(items)), bool)
+        """(window, item) for all fingerprints of windows within the radius of those of the items.
+
+        Each block has a table from its value to the items that have it, which meet the windows whose value is near that one.
+        """
+        values, of = fps.view(np.uint8).reshape(-1, BLOCKS), self.fps[items].view(np.uint8).reshape(-1, BLOCKS)
+        pairs = [np.zeros(0, np.int64)]
         for b in range(BLOCKS):
-            found |= self.near[parts[:, b]][:, items, b]
-        w, k = np.nonzero(found)
+            order = np.argsort(of[:, b], kind="stable")
+            held, at = np.unique(of[order, b], return_index=True)
+            for v, mine in zip(held.tolist(), np.split(order, at[1:])):
+                windows = np.flatnonzero(_NEAR[v][values[:, b]])
+                pairs.append((windows[:, None] * len(items) + mine[None, :]).ravel())
+        w, k = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(items)))
         close = np.bitwise_count(fps[w] ^ self.fps[items[k]]) <= RADIUS
         return list(zip(w[close].tolist(), items[k[close]].tolist()))
 
@@ -113,26 +122,33 @@ class Index:
         return best
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[Index]:
-    """Indexes of bounded blocks that together hold all items."""
+def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[Index, bool]]:
+    """Indexes of bounded blocks that together hold all items, and whether it is the only one."""
     items = materialize(items.select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "items")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    n = 1 + total // BLOCK_BYTES
+    total, rows = items.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
+    n = 1 + max(total // BLOCK_BYTES, rows // BLOCK_ITEMS)
     for b in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).orderBy("item", "text").collect()
-        yield Index([tuple(r) for r in rows])
+        yield Index([tuple(r) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).orderBy("item", "text").collect()]), n == 1
+    release(items)
+
 
+def _found(docs: DataFrame, index: Index, only: bool, schema: str | T.StructType, emit: Callable) -> DataFrame:
+    """``emit`` of the batches of ``docs`` (anything, text) and what is found in them.
 
-def _over(df: DataFrame, text: Column, index: Index, schema: str, emit: Callable) -> DataFrame:
-    bound_batches(df.sparkSession)
-    cast = df.withColumn("__text", text.cast("binary"))
-    shared = df.sparkSession.sparkContext.broadcast(index)
+    A single index is broadcast and the result lazy; of several, each result is written, so that one at a time is held.
+    """
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield emit(batch, [shared.value.matches(x.as_py() or b"") for x in batch.column(batch.num_columns - 1)], shared.value)
+            yield emit(batch, [shared.value.matches(x.as_py() or b"") for x in batch.column(1)], shared.value)
 
-    return cast.mapInArrow(run, schema)
+    out = docs.mapInArrow(run, schema)
+    if not only:
+        out = materialize(out, "found")
+        shared.destroy()
+    return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -151,21 +167,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["id", "item_id", "similarity", "start_word"]
         )
 
-    out, thin = None, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    for index in _blocks(items, item_col, item_text_col):
-        part = _over(thin, F.col("t"), index, "id bigint, item_id bigint, similarity double, start_word bigint", emit)
-        out = part if out is None else out.unionByName(part)
-    return out.withColumnRenamed("id", id_col)
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    parts = [_found(thin, index, only, "id bigint, item_id bigint, similarity double, start_word bigint", emit) for index, only in _blocks(items, item_col, item_text_col)]
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns."""
+    """The rows of ``docs`` in which no item is found, with all their columns, whatever their names. Repeated rows go or stay together."""
 
     def emit(batch: pa.RecordBatch, found: list[dict], index: Index) -> pa.RecordBatch:
-        clean = batch.filter(pa.array([not hit for hit in found], pa.bool_()))
-        return pa.RecordBatch.from_arrays(clean.columns[:-1], names=clean.schema.names[:-1])
+        return batch.filter(pa.array([not hit for hit in found], pa.bool_()))
 
-    out = docs
-    for index in _blocks(items, item_col, item_text_col):
-        out = _over(out, F.col(text_col), index, docs.schema, emit)
-    return out
+    rows = docs.select(as_struct(docs).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    for index, only in _blocks(items, item_col, item_text_col):
+        before, rows = rows, _found(rows, index, only, rows.schema, emit)
+        release(before)
+    return from_struct(rows, "row", docs.columns)

@@ -9,10 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from polyad.llm.common import NULL_ID, ascii_blank, id_back, id_of, materialize
+from polyad.llm.common import as_struct, ascii_blank, from_struct, id_back, id_of, materialize
 
 #: A digest with more than this share of the rows is split off; 1/SUPPORT bounds the broadcast rows.
 SUPPORT = 1e-3
@@ -50,13 +48,13 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("digest", "size", "best"),
         "exact-heavy",
     )
-    whole = Window.partitionBy("digest")
-    light = base.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(
-        "id", "digest", F.count(F.lit(1)).over(whole).alias("size"), F.min(F.struct((-F.col("n")).alias("m"), F.col("id").alias("keep"))).over(whole).alias("best")
-    )
+    rest = base.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
+    # Aggregated before the shuffle and written, so that the join reads two plain tables and a large group can be split.
+    light = materialize(rest.groupBy("digest").agg(F.count(F.lit(1)).alias("size"), best), "exact-light")
+    joined = rest.join(light, "digest").select("id", "digest", "size", "best")
     split = base.join(F.broadcast(heavy), "digest").select("id", "digest", "size", "best")
     return (
-        light.unionByName(split)
+        joined.unionByName(split)
         .select("id", F.col("best.keep").alias("keep"), "size", "digest")
         .select(
             id_back("id").alias(id_col),
@@ -69,6 +67,9 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The kept rows with all their columns. Rows that repeat a kept id and text all stay."""
-    dropped = exact_duplicates(df, id_col, text_col, support).filter(~F.col("kept")).select(id_of(id_col).alias("__dropped_id"))
-    return df.join(dropped, F.coalesce(df[id_col].cast(T.LongType()), F.lit(NULL_ID)) == F.col("__dropped_id"), "left_anti")
+    """The kept rows with all their columns, whatever their names. Rows that repeat a kept id and text all stay; of rows that repeat an id with other texts, each goes or stays by its own text."""
+    found = exact_duplicates(df, id_col, text_col, support)
+    dropped = found.filter(~F.col("kept")).select(id_of(id_col).alias("gone"), "text_sha256")
+    rows = df.select(as_struct(df).alias("row"), id_of(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("digest"))
+    stay = rows.join(dropped, (F.col("id") == F.col("gone")) & (F.col("digest") == F.col("text_sha256")), "left_anti")
+    return from_struct(stay, "row", df.columns)

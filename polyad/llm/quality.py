@@ -18,17 +18,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from polyad.llm.common import bound_batches, id_back, id_of, materialize
+from polyad.llm.common import as_struct, bound_batches, from_struct, id_back, id_of, materialize, sized
 
 #: Bound on the labelled rows that are fitted on, chosen by hash.
 MAX_LABELLED = 8_000
 #: One labelled row in so many is held out for calibration.
 HELD_OUT = 4
 ROUNDS = 2
-#: Pseudo-labels a view gives in a round for each class, and the least probability for one.
-PER_ROUND = 200
+#: Pseudo-labels a view gives in a round for each class: a share of the documents within these bounds; and the least probability for one.
+PSEUDO_SHARE, LEAST_PSEUDO, MOST_PSEUDO = 2e-3, 100, 2_000
 CONFIDENT = 0.95
+#: Most features of a view, and bound on what the driver keeps of each training row.
+MAX_FEATURES = 100_000
 #: A feature counts once so many training rows have it.
 MIN_ROWS = 5
 #: ... and if its share of good rows is so many standard deviations off the share of all rows, so that long texts aren't judged by chance words.
@@ -38,6 +41,8 @@ STEMS = (4, 5)
 KEEP_FROM = 0.5
 MEMO = 1 << 18
 META = ("lang", "source", "n_chars")
+#: Bytes of texts whose rows are sent at a time.
+BATCH_TEXT = 8 << 20
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _UPPER, _DIGITS = bytes(range(65, 91)), b"0123456789"
 
@@ -107,18 +112,10 @@ class Classifier:
         known &= at < len(self.names)
         return at[known], owner[known]
 
-    def fit(self, rows: list[np.ndarray], labels: list[int], steps: int = 120, l2: float = 2e-4) -> Classifier:
+    def fit(self, names: np.ndarray, rows: list[np.ndarray], labels: list[int], steps: int = 120, l2: float = 2e-4) -> Classifier:
+        """``names`` are the features to use, in order; ``rows`` the features of each row."""
         y = np.array(labels, float)
-        base = min(max(y.mean(), 1e-3), 1 - 1e-3)
-        flat, owner = np.concatenate([*rows, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(rows)), list(map(len, rows)))
-        order = np.argsort(flat)
-        flat, owner = flat[order], owner[order]
-        head = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
-        count = np.diff(np.append(head, len(flat)))
-        good = np.add.reduceat(y[owner], head) if len(flat) else np.zeros(0)
-        telling = (count >= MIN_ROWS) & (np.abs(good - count * base) >= DEVIATIONS * np.sqrt(count * base * (1 - base)))
-        self.names = flat[head[telling]]
-        del flat, owner, order
+        self.names = names
         index, owner = self._index(rows)
         n = len(self.names)
         w, b, m, v = np.zeros(n), 0.0, np.zeros(n + 1), np.zeros(n + 1)
@@ -171,71 +168,109 @@ class Model:
         return tuple(1 / (1 + math.exp(-x)) for x in (a, b, max(-60.0, min(60.0, a + b - self.prior))))
 
 
-def _map(docs: DataFrame, columns: list, schema: str, row: Callable) -> DataFrame:
+def _map(docs: DataFrame, columns: list, schema: str | T.StructType, row: Callable) -> DataFrame:
     """Rows of ``row(text, metadata)`` beside the leading columns."""
     bound_batches(docs.sparkSession)
     n, meta = len(columns), [c for c in META if c in docs.columns]
     picked = docs.select(*columns, F.col("text").cast("binary").alias("__text"), *[F.col(c).alias(f"__meta_{c}") for c in meta])
-    names = [x.split()[0].strip("`") for x in schema.split(", ")]
+    names = schema.names if isinstance(schema, T.StructType) else [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sized(batches, n, BATCH_TEXT):
             values = list(zip(*(batch.column(n + 1 + i).to_pylist() for i in range(len(meta))))) or [()] * batch.num_rows
             out = [row(t.as_py() or b"", dict(zip(meta, v))) for t, v in zip(batch.column(n), values)]
-            made = [pa.array([o[k] for o in out]) for k in range(len(out[0]))] if out else None
-            if made:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array([o[k] for o in out]) for k in range(len(out[0])))], names=names)
 
     return picked.mapInArrow(run, schema)
 
 
-def _features(docs: DataFrame, wanted: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-    """Hashed features of the bounded set ``wanted`` (id, good), of one row per id."""
-    mine = docs.withColumn("__id", id_of("doc_id")).join(F.broadcast(wanted), F.col("__id") == F.col("id"))
-    rows = _map(mine, ["id", "good"], "id bigint, good int, text binary, meta binary", lambda t, m: (hashed(text_features(t)).tobytes(), hashed(meta_features(m)).tobytes()))
-    return {r["id"]: (r["good"], np.frombuffer(r["text"], np.uint64), np.frombuffer(r["meta"], np.uint64)) for r in rows.dropDuplicates(["id"]).toLocalIterator()}
+def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, good, text, meta): hashed features of the bounded set ``wanted`` (wanted_id, wanted_good), written; of rows that repeat an id, those least by features."""
+    meta = [c for c in META if c in docs.columns]
+    mine = docs.select(id_of("doc_id").alias("id"), "text", *meta).join(F.broadcast(wanted), F.col("id") == F.col("wanted_id"))
+    rows = _map(mine, ["id", "wanted_good"], "id bigint, good int, text binary, meta binary", lambda t, m: (np.sort(hashed(text_features(t))).tobytes(), np.sort(hashed(meta_features(m))).tobytes()))
+    return materialize(rows.groupBy("id").agg(F.min(F.struct("good", "text", "meta")).alias("one")).select("id", "one.*"), "features")
+
+
+def _telling(rows: DataFrame, view: str, base: float) -> np.ndarray:
+    """Features of ``rows`` (good, and ``view`` binary) that tell good rows from others, at most MAX_FEATURES, the most telling ones; counted where the rows are."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sized(batches, 1, 8 << 20):
+            held = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column(1)]
+            flat, good = np.concatenate(held), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), list(map(len, held)))
+            h, of = np.unique(flat, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(of, minlength=len(h)).astype(np.int64)), pa.array(np.bincount(of, good, len(h)).astype(np.int64))], names=["h", "n", "good"])
+
+    sums = rows.select("good", view).mapInArrow(count, "h bigint, n bigint, good bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    off = F.abs(F.col("good") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
+    found = sums.filter(F.col("n") >= MIN_ROWS).withColumn("off", off).filter(F.col("off") >= DEVIATIONS).orderBy(F.desc("off"), "h").limit(MAX_FEATURES).select("h")
+    return np.sort(found.toArrow().column("h").to_numpy().view(np.uint64))
+
+
+def _rows(rows: DataFrame, view: str, names: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+    """Features of each row that are among ``names``, and its label, in the order of id, label and features."""
+
+    def thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [np.intersect1d(np.frombuffer(x.as_py(), np.uint64), names).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["id", "good", "kept"])
+
+    got = rows.select("id", "good", view).mapInArrow(thin, "id bigint, good int, kept binary").toArrow()
+    listed = sorted(zip(got.column("id").to_pylist(), got.column("good").to_pylist(), got.column("kept").to_pylist()))
+    return [np.frombuffer(k, np.uint64) for *_, k in listed], [g for _, g, _ in listed]
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED) -> Model:
-    """Co-train on the labelled rows of ``docs`` (at most ``max_labelled``) and on pseudo-labels among all its other rows."""
-    spark = docs.sparkSession
+    """Co-train on the labelled rows of ``docs`` (at most ``max_labelled`` labels) and on pseudo-labels among all its other rows.
+
+    The driver gets, of each training row, only the features that the classifiers use.
+    """
     known = (
         labels.filter("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)")
-        .groupBy(F.col("doc_id").cast("long").alias("id"))
-        .agg(F.min(F.when((F.coalesce("quality", F.lit(1)) >= 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("good"))
+        .groupBy(F.col("doc_id").cast("long").alias("wanted_id"))
+        .agg(F.min(F.when((F.coalesce("quality", F.lit(1)) >= 1) & (F.coalesce("toxic", F.lit(0)) == 0), 1).otherwise(0)).alias("wanted_good"))
     )
-    sample = _features(docs, materialize(known.orderBy(F.xxhash64("id"), "id").limit(max_labelled), "labelled"))
-    order = [sample[i] for i in sorted(sample)]
-    held, fit = order[::HELD_OUT], [x for k, x in enumerate(order) if k % HELD_OUT]
-    if min(len({g for g, *_ in part}) if part else 0 for part in (held, fit)) < 2:
+    sample = _features(docs, materialize(known.orderBy(F.xxhash64("wanted_id"), "wanted_id").limit(max_labelled), "labelled"))
+    place = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(HELD_OUT))
+    held, fit = sample.filter(place == 0), sample.filter(place != 0)
+    counts = {(r["h"], r["good"]): r["n"] for r in sample.groupBy((place == 0).alias("h"), "good").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 4:
         return Model(None, None, 0.0)
-    prior = math.log((sum(g for g, *_ in order) + 1) / (len(order) - sum(g for g, *_ in order) + 1))
-    sets = {1: [(x[1], x[0]) for x in fit], 2: [(x[2], x[0]) for x in fit]}
-    used = set(sample)
+    good, bad = (sum(n for (_, g), n in counts.items() if g == k) for k in (1, 0))
+    prior = math.log((good + 1) / (bad + 1))
+    sets = {"text": fit, "meta": fit}
+    used = sample.select("id").distinct()
+    enough = min(MOST_PSEUDO, max(LEAST_PSEUDO, int(PSEUDO_SHARE * docs.count())))
     for left in range(rounds, -1, -1):
-        text, meta = (
-            Classifier().fit([r for r, _ in sets[k]], [g for _, g in sets[k]]).calibrate([x[k] for x in held], [x[0] for x in held]) for k in (1, 2)
-        )
-        model = Model(text, meta, prior)
+        views = {}
+        for view, rows in sets.items():
+            n, ones = rows.agg(F.count(F.lit(1)), F.sum("good")).first()
+            names = _telling(rows, view, min(max(ones / n, 1e-3), 1 - 1e-3))
+            views[view] = Classifier().fit(names, *_rows(rows, view, names)).calibrate(*_rows(held, view, names))
+        model = Model(views["text"], views["meta"], prior)
         if not left:
             return model
-        seen = spark.createDataFrame([(i,) for i in used], "seen bigint")
         scored = materialize(
             _map(docs, [id_of("doc_id").alias("id")], "id bigint, text double, meta double, both double", model.scores)
             .filter(F.greatest("text", "meta", 1 - F.col("text"), 1 - F.col("meta")) >= CONFIDENT)
-            .join(F.broadcast(seen), F.col("id") == F.col("seen"), "left_anti"),
+            .join(F.broadcast(used), "id", "left_anti"),
             "confident",
         )
+        # Documents go by id; rows that repeat one are as sure as the least sure of them.
+        sure = scored.groupBy("id").agg(*[f(v).alias(f"{v}{k}") for v in ("text", "meta") for k, f in ((1, F.min), (0, F.max))])
         chosen = None
-        for view, other in (("text", 2), ("meta", 1)):
-            for good, sure in ((1, F.col(view)), (0, 1 - F.col(view))):
-                top = scored.filter(sure >= CONFIDENT).orderBy(sure.desc(), F.xxhash64("id"), "id").limit(PER_ROUND).select("id", F.lit(2 * other + good).alias("good"))
+        for view, other in (("text", "meta"), ("meta", "text")):
+            for label, p in ((1, F.col(f"{view}1")), (0, 1 - F.col(f"{view}0"))):
+                top = sure.filter(p >= CONFIDENT).orderBy(p.desc(), F.xxhash64("id"), "id").limit(enough).select(F.col("id").alias("wanted_id"), F.lit(label).alias("wanted_good"), F.lit(other == "meta").alias("for_meta"))
                 chosen = top if chosen is None else chosen.unionByName(top)
         # A document that both views chose goes by the text's label.
-        once = chosen.groupBy("id").agg(F.max("good").alias("good"))
-        for i, x in _features(docs, materialize(once, "pseudo")).items():
-            sets[x[0] // 2].append((x[x[0] // 2], x[0] % 2))
-            used.add(i)
+        once = materialize(chosen.groupBy("wanted_id").agg(F.max_by("wanted_good", "for_meta").alias("wanted_good"), F.max("for_meta").alias("for_meta")), "pseudo")
+        found = _features(docs, once.select("wanted_id", "wanted_good"))
+        split = found.join(F.broadcast(once), F.col("id") == F.col("wanted_id")).select("id", "good", "text", "meta", "for_meta")
+        sets["text"] = sets["text"].unionByName(split.filter(~F.col("for_meta")).drop("for_meta"))
+        sets["meta"] = sets["meta"].unionByName(split.filter("for_meta").drop("for_meta"))
+        used = used.unionByName(found.select("id").distinct())
     return model
 
 
@@ -254,16 +289,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that ``score`` keeps, with all their columns, without a shuffle."""
+    """The documents that ``score`` keeps, with all their columns, whatever their names, without a shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    meta = [c for c in META if c in docs.columns]
-    bound_batches(docs.sparkSession)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in meta))) or [()] * batch.num_rows
-            texts = batch.column(batch.schema.get_field_index("text"))
-            good = [model.value.scores((t.as_py() or "").encode(), dict(zip(meta, v)))[2] >= KEEP_FROM for t, v in zip(texts, values)]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    scored = _map(docs, [as_struct(docs).alias("row")], T.StructType([T.StructField("row", docs.select(as_struct(docs).alias("row")).schema["row"].dataType), T.StructField("score", T.DoubleType())]), lambda t, m: (model.value.scores(t, m)[2],))
+    return from_struct(scored.filter(F.col("score") >= KEEP_FROM), "row", docs.columns)

@@ -19,8 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polyad.llm.common import bound_batches, id_back, id_of, materialize
-from polyad.llm.components import components
+from polyad.llm.common import as_struct, bound_batches, distinct_rows, from_struct, id_back, id_of, materialize, sub_of
+from polyad.operators.components import components
+from polyad.operators.numbering import numbered
 
 BITS = 64
 #: Buckets up to this size compare all members; larger ones link by left-out bits.
@@ -237,8 +238,8 @@ def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float) -> D
     return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
-def verified_links(df: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Links (u, v) between ids of documents whose shingle sets are similar: enough of them to connect all that any such links connect.
+def verified_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) between ids of ``texts`` (id, text), unique ids, whose shingle sets are similar: enough of them to connect all that any such links connect.
 
     Two similar sets share one of their first shingles, so documents meet in buckets by those. In crowded buckets one member
     is compared with all others, as long as that halves the members of crowded buckets that aren't all connected; then
@@ -255,14 +256,14 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, words: int, simila
             cells = [np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % CELLS).astype(np.int64), minlength=CELLS) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.minimum(c, 255).astype(np.uint8).tobytes() for c in cells], pa.binary())], names=["id", "sketch"])
 
-    bound_batches(df.sparkSession)
-    texts = df.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    spark = texts.sparkSession
+    bound_batches(spark)
     by_shingle = Window.partitionBy("t")
     met = prefixes(texts, words, similarity).withColumn("m", F.count(F.lit(1)).over(by_shingle)).filter("m > 1")
     shared = materialize(met.withColumn("c", F.col("id")), "shingle-buckets")
-    sketched = texts.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(sketch, "id bigint, sketch binary").dropDuplicates(["id"])
+    sketched = texts.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(sketch, "id bigint, sketch binary")
     sketches = materialize(sketched, "shingle-sketches")
-    links_ = df.sparkSession.createDataFrame([], "u bigint, v bigint")
+    links_ = spark.createDataFrame([], "u bigint, v bigint")
     checked = links_
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -271,7 +272,7 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, words: int, simila
         checked = checked.unionByName(near)
         near = materialize(maybe_similar_pairs(near, sketches, similarity), "shingle-candidates")
         wanted = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        shingled = texts.join(wanted, "id", "left_semi").mapInArrow(shingle, "id bigint, shingles binary").dropDuplicates(["id"])
+        shingled = texts.join(wanted, "id", "left_semi").mapInArrow(shingle, "id bigint, shingles binary")
         return materialize(similar_pairs(near, materialize(shingled, "shingle-sets"), similarity), "shingle-links")
 
     before, salt = None, 0
@@ -295,12 +296,25 @@ def verified_links(df: DataFrame, id_col: str, text_col: str, words: int, simila
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id, with all its columns.
+    """One document of each group of near duplicates, the one with the smallest id, with all its columns, whatever their names.
 
     Documents are linked when the sets of their word shingles have at least this Jaccard similarity; all such pairs count, and
-    groups are their connected components. Null and blank texts have no shingles and are all kept. Rows that share an id count
-    as one document. An empty table gives an empty result.
+    groups are their connected components. Null and blank texts have no shingles and are all kept. Rows that share an id with
+    other texts are documents of their own, in the order of a digest of their texts; rows of one id and one text are one
+    document and stay or go together. A null id sorts before all others. An empty table gives an empty result.
     """
-    found = components(verified_links(df, id_col, text_col, words, similarity))
-    dropped = found.filter("node <> component").select(F.col("node").alias("__dropped_id")).distinct()
-    return df.join(dropped, id_of(id_col) == F.col("__dropped_id"), "left_anti")
+    docs = distinct_rows(df, id_col, text_col)
+    unique = docs.filter((F.col("sub") != 0) | (F.col("copies") != 1)).isEmpty()
+    if unique:
+        dropped = components(verified_links(docs.select("id", "text"), words, similarity)).filter("node <> component").select(F.col("node").alias("gone"))
+        return _without(df, dropped.distinct(), F.col("id") == F.col("gone"), id_col, text_col)
+    # Numbers in the order of id and text stand for the documents.
+    nodes = materialize(numbered(docs, "node", "id", "sub"), "numbered")
+    found = components(verified_links(nodes.select(F.col("node").alias("id"), "text"), words, similarity)).filter("node <> component").select("node").distinct()
+    dropped = nodes.join(found, "node").select(F.col("id").alias("gone"), F.col("sub").alias("gone_sub"))
+    return _without(df, dropped, (F.col("id") == F.col("gone")) & (F.col("sub") == F.col("gone_sub")), id_col, text_col)
+
+
+def _without(df: DataFrame, dropped: DataFrame, same: Column, id_col: str, text_col: str) -> DataFrame:
+    rows = df.select(as_struct(df).alias("row"), id_of(id_col).alias("id"), sub_of(text_col).alias("sub"))
+    return from_struct(rows.join(dropped, same, "left_anti"), "row", df.columns)
