@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +9,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders made where the session names none, by application.
 _made: dict[str, str] = {}
 #: Folders that scopes have opened, the innermost last.
@@ -52,7 +52,13 @@ def scope(spark: SparkSession) -> Iterator[None]:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    # What reads the table needs none of the shuffles that made it, so Spark deletes them when the write has ended.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -63,9 +69,3 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         if path := getattr(df, "_scratch", None):
             delete(df.sparkSession, path)
-
-
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files that no plan needs any more: it does so once the driver has collected the plans."""
-    gc.collect()
-    spark._jvm.System.gc()
