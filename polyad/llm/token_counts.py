@@ -1,8 +1,8 @@
 """Token counts through a cache keyed by the digests of normalised content and of the tokenizer.
 
 A text's digest joins stored counts. Texts without one are shuffled by digest, one of each is encoded by the tokenizer's
-own library, and the new counts are appended to the cache as Parquet. Counts then join the rows by digest, so that texts
-move at most once and repeated texts are encoded once, in this run and in all later ones.
+own library, and the new counts are appended to the cache as Parquet, by tokenizer. Counts then join the rows by digest, so
+that texts move at most once and repeated texts are encoded once, in this run and in all later ones.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from polyad.llm.common import without
+from polyad.llm.common import as_struct, bound_batches, from_struct, materialize, without
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 #: Characters with Unicode's White_Space property, but for the space.
@@ -57,23 +57,33 @@ def normalised(text: Column, blank_runs_count: bool) -> Column:
     return text if blank_runs_count else F.btrim(F.regexp_replace(text, BLANK, " "))
 
 
+def stored(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
+    """(digest, n_tokens) of one tokenizer version; None if there is no cache yet."""
+    try:
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version).select(F.col("digest").alias("of"), "n_tokens")
+    except AnalysisException:
+        return None
+
+
 def count_tokens(df: DataFrame, path: str, cache: str, text_col: str = "text", limit: int = 2048, blank_runs_count: bool = True) -> DataFrame:
     """``df`` without its text, with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more tokens than ``limit``).
 
-    ``path`` is a tokenizer file that driver and executors have; ``cache`` a folder that they share, made where absent.
-    Set ``blank_runs_count`` to False for tokenizers that turn runs of white space into separators and drop them.
+    ``path`` is a tokenizer file that driver and executors have; ``cache`` a folder that they share, made where absent. It
+    may be used by several tokenizers and by runs at a time, and outlives the run. Set ``blank_runs_count`` to False for
+    tokenizers that turn runs of white space into separators and drop them.
     Null texts count as empty, with no bytes and tokens. Repeated rows stay repeated. An empty table gives an empty
-    result. Input columns named like the added ones, in any case, are replaced.
+    result. Input columns named like the added ones, in any case, are replaced; any other names are kept.
     """
-    df, spark, version = without(df, *ADDED), df.sparkSession, tokenizer_digest(path)
-    keep = [c for c in df.columns if c != text_col]
-    rows = df.withColumns({"__text": normalised(F.col(text_col), blank_runs_count)}).withColumn("__digest", F.coalesce(F.unhex(F.sha2("__text", 256)), F.lit(b"")))
-    try:
-        known = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version)
-        misses = rows.join(known.select(F.col("digest").alias("__digest")), "__digest", "left_anti")
-    except AnalysisException:  # no cache yet
-        misses = rows
-    distinct = misses.select("__digest", "__text").groupBy("__digest").agg(F.first("__text").alias("__text"))
+    spark, version = df.sparkSession, tokenizer_digest(path)
+    names = without(df, *ADDED, text_col).columns
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(as_struct(df, *ADDED, text_col).alias("row"), F.octet_length(text).cast("long").alias("bytes"), normalised(text, blank_runs_count).alias("content"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("content", 256)))
+    # Repeated texts fall together before the shuffle; a digest that is stored needs no encoding.
+    misses = rows.groupBy("digest").agg(F.first("content").alias("content"))
+    known = stored(spark, cache, version)
+    if known is not None:
+        misses = misses.join(known.select("of"), F.col("digest") == F.col("of"), "left_anti")
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
@@ -87,13 +97,11 @@ def count_tokens(df: DataFrame, path: str, cache: str, text_col: str = "text", l
             counts += count(group)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * batch.num_rows, pa.string()), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"])
 
-    distinct.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == version)
-    # Two runs that append at a time may store a digest twice, with one count.
-    counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return (
-        rows.select(*[F.col(f"`{c}`") for c in keep], F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes"), "__digest")
-        .join(counts, F.col("__digest") == F.col("digest"))
-        .withColumn("over_limit", F.col("n_tokens") > limit)
-        .drop("__digest", "digest")
-    )
+    bound_batches(spark)
+    misses.select("digest", "content").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    base = materialize(rows.select("row", "bytes", "digest"), "token-rows")
+    # Two runs that append at a time may store a digest twice, with one count. Counts are written, one per digest of these
+    # rows, so that the join below reads two plain tables and the rows of a frequent digest can be split.
+    of = stored(spark, cache, version).join(base.select("digest").distinct(), F.col("of") == F.col("digest"), "left_semi")
+    counts = materialize(of.groupBy("of").agg(F.max("n_tokens").alias("tokens")), "token-counts")
+    return from_struct(base.join(counts, F.col("digest") == F.col("of")), "row", names, F.col("bytes").alias("n_bytes"), F.col("tokens").alias("n_tokens"), (F.col("tokens") > limit).alias("over_limit"))
