@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from polyad.llm.common import without
+from polyad.llm.common import as_struct, from_struct, without
 
 #: Mean rows of a block, as long as there are fewer than MAX_BLOCKS of them.
 BLOCK_ROWS = 512
@@ -28,7 +28,7 @@ ADDED = ("shard", "slot")
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Number of good ones among n drawn without replacement from good + bad; exact also beyond numpy's 10**9."""
+    """Number of good ones among n drawn without replacement from good + bad; beyond numpy's 10**9 by inversion, exact up to rounding of doubles."""
     if n == 0 or good == 0:
         return 0
     if bad == 0:
@@ -37,29 +37,15 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
         return int(rng.hypergeometric(good, bad, n))
     low, high = max(0, n - bad), min(n, good)
     mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-    lg = math.lgamma
-
-    def log_choose(a: int, b: int) -> float:
-        return lg(a + 1) - lg(b + 1) - lg(a - b + 1)
-
-    left = rng.random()
-    at_mode = math.exp(log_choose(good, mode) + log_choose(bad, n - mode) - log_choose(good + bad, n))
-    left -= at_mode
-    up, down, p, q = mode, mode, at_mode, at_mode
-    while left > 0 and (up < high or down > low):
-        if up < high:
-            p *= (good - up) * (n - up) / ((up + 1) * (bad - n + up + 1))
-            up += 1
-            left -= p
-            if left <= 0:
-                return up
-        if down > low:
-            q *= down * (bad - n + down) / ((good - down + 1) * (n - down + 1))
-            down -= 1
-            left -= q
-            if left <= 0:
-                return down
-    return mode
+    # Chances relative to the mode's, 14 standard deviations to either side of it; what is left out is below 1e-40.
+    total = good + bad
+    reach = int(14 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)))) + 64
+    k = np.arange(mode, min(high, mode + reach), dtype=float)
+    up = np.cumprod((good - k) * (n - k) / ((k + 1) * (bad - n + k + 1)))
+    k = np.arange(mode, max(low, mode - reach), -1, dtype=float)
+    down = np.cumprod(k * (bad - n + k) / ((good - k + 1) * (n - k + 1)))
+    chances = np.concatenate([down[::-1], [1.0], up])
+    return mode - len(down) + int(np.searchsorted(np.cumsum(chances), rng.random() * chances.sum(), "right"))
 
 
 def communication_matrix(block_sizes: list[int], shard_sizes: list[int], seed: int) -> list[list[int]]:
@@ -80,44 +66,36 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (j < rows % shards) for j in range(shards)]
 
 
-def uniform_shards(df: DataFrame, shards: int, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
+def uniform_shards(df: DataFrame, shards: int, seed: int = 42) -> DataFrame:
     """All rows of ``df`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
     The order over shards and slots is a uniform random permutation, and shard sizes differ by one at most. The random
-    keys come from ``key_cols`` (default: all columns but maps and variants). Nulls hash like any value. Rows that repeat
-    in all these columns fall into one block and each gets a slot of its own. An empty table gives an empty result. Input
-    columns named shard or slot, in any case, are replaced.
+    keys come from all columns but maps and variants, so rows that tie are equal in all of them, and a task that runs again
+    deals the same rows. Nulls hash like any value. Equal rows fall into one block and each gets a slot of its own. An empty
+    table gives an empty result. Input columns named shard or slot, in any case, are replaced; any other names are kept.
     """
-    df = without(df, *ADDED)
-    spark, cols = df.sparkSession, key_cols or [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    names = [f"`{c}`" for c in cols]
+    spark, names = df.sparkSession, without(df, *ADDED).columns
+    hashed = [f.name for f in df.schema if f.name in names and not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
     def key(salt: int) -> Column:
-        return F.xxhash64(F.lit(seed * 4 + salt), *names)
+        return F.xxhash64(F.lit(seed * 4 + salt), *[F.col(f"`{c}`") for c in hashed])
 
     rows = df.count()
     blocks = max(1, min(MAX_BLOCKS, rows // BLOCK_ROWS))
     cells = max(1, min(MAX_BLOCKS // shards, rows // (shards * BLOCK_ROWS)))
-    keyed = df.withColumns({"__block": F.pmod(key(0), F.lit(blocks)).cast("int"), "__first": key(1), "__second": key(2), "__cell": F.pmod(key(3), F.lit(cells)).cast("int")})
-    have = sorted((r[0], r[1]) for r in keyed.groupBy("__block").count().collect())
+    keyed = df.select(as_struct(df, *ADDED).alias("row"), F.pmod(key(0), F.lit(blocks)).cast("int").alias("block"), key(1).alias("k1"), key(2).alias("k2"), F.pmod(key(3), F.lit(cells)).cast("int").alias("cell"))
+    have = sorted((r[0], r[1]) for r in keyed.groupBy("block").count().collect())
     matrix = communication_matrix([n for _, n in have], shard_sizes(rows, shards), random.Random(seed).getrandbits(63))
-    plan = spark.createDataFrame(
-        [(b, np.cumsum(row)[:-1].tolist()) for (b, _), row in zip(have, matrix)], "__of int, __cuts array<bigint>"
-    )
-    local = Window.partitionBy("__block").orderBy("__first", "__second")
+    plan = spark.createDataFrame([(b, np.cumsum(row)[:-1].tolist()) for (b, _), row in zip(have, matrix)], "of int, cuts array<bigint>")
+    local = Window.partitionBy("block").orderBy("k1", "k2")
     dealt = (
-        keyed.withColumn("__rank", F.row_number().over(local))
-        .join(F.broadcast(plan), F.col("__block") == F.col("__of"))
-        .withColumn("shard", F.size(F.filter("__cuts", lambda c: c < F.col("__rank"))).cast("int"))
-        .drop("__block", "__first", "__rank", "__of", "__cuts")
-    )
-    sizes = dealt.groupBy("shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("shard").alias("__s"), F.col("__cell").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    again = Window.partitionBy("shard", "__cell").orderBy("__second")
-    return (
-        dealt.withColumn("__rank", F.row_number().over(again))
-        .join(F.broadcast(starts), (F.col("shard") == F.col("__s")) & (F.col("__cell") == F.col("__c")))
-        .withColumn("slot", (F.col("__start") + F.col("__rank") - 1).cast("long"))
-        .drop("__cell", "__second", "__rank", "__s", "__c", "__start")
+        keyed.withColumn("rank", F.row_number().over(local))
+        .join(F.broadcast(plan), F.col("block") == F.col("of"))
+        .select("row", "k2", "k1", "cell", F.size(F.filter("cuts", lambda c: c < F.col("rank"))).cast("int").alias("shard"))
     )
+    sizes = dealt.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("shard").alias("s"), F.col("cell").alias("c"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    again = Window.partitionBy("shard", "cell").orderBy("k2", "k1")
+    slotted = dealt.withColumn("rank", F.row_number().over(again)).join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col("cell") == F.col("c")))
+    return from_struct(slotted, "row", names, F.col("shard"), (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"))
