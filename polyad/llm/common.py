@@ -10,16 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyad.sources.scratch import delete, drop_shuffles, materialize, new_path, release, scope, shared_dir
+from polyad.sources.scratch import delete, materialize, new_path, release, scope, shared_dir
 
-__all__ = ["NULL_ID", "as_struct", "ascii_blank", "bound_batches", "delete", "distinct_rows", "drop_shuffles", "from_struct", "id_back", "id_of", "materialize", "new_path", "read_table", "release", "scope", "shared_dir", "sized", "sub_of", "without"]
+__all__ = ["NULL_ID", "as_struct", "ascii_blank", "bound_batches", "delete", "distinct_rows", "from_struct", "id_back", "id_of", "materialize", "new_path", "read_table", "release", "scope", "shared_dir", "sized", "sub_of", "without"]
 
 #: Null ids take this value inside an operator, so they sort first, and turn null again in its result.
 NULL_ID = -(2**63)
 
 
 #: Bytes of an Arrow batch where the session sets no bound: rows here hold whole texts.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -79,7 +79,9 @@ def distinct_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     rows = df.select(id_of(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        return rows.select("id", F.lit(0).cast("long").alias("sub"), "text", F.lit(1).cast("long").alias("copies"))
+        # Zero, and never null: a literal would be lost as a key of joins by (id, sub) on one side only, and nulls would be
+        # filtered below one shuffle of the texts and not below the other, which then couldn't be the same one.
+        return rows.select("id", F.coalesce(F.pmod("id", F.lit(1)).cast("long"), F.lit(0).cast("long")).alias("sub"), "text", F.lit(1).cast("long").alias("copies"))
     once = rows.withColumn("digest", F.sha2("text", 256)).groupBy("id", "digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     return materialize(once.select("id", sub_of("text").alias("sub"), "text", "copies"), "distinct-rows")
 

@@ -304,7 +304,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     document and stay or go together. A null id sorts before all others. An empty table gives an empty result.
     """
     docs = distinct_rows(df, id_col, text_col)
-    unique = docs.filter((F.col("sub") != 0) | (F.col("copies") != 1)).isEmpty()
+    unique = docs.select("sub", "copies").filter((F.col("sub") != 0) | (F.col("copies") != 1)).isEmpty()
     if unique:
         dropped = components(verified_links(docs.select("id", "text"), words, similarity)).filter("node <> component").select(F.col("node").alias("gone"))
         return _without(df, dropped.distinct(), F.col("id") == F.col("gone"), id_col, text_col)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from polyad.llm.common import drop_shuffles, materialize, sized
+from polyad.llm.common import materialize, sized
 
 #: Bytes of text per bucket.
 BUCKET_BYTES = 16 << 20
@@ -44,11 +44,13 @@ PIECE = 1 << 18
 #: Bytes of contents whose windows are classed at a time, as long as no stretch has more, and of one piece of them.
 SLICE = 1 << 16
 #: Bytes of texts that are cut into runs before their records are sent.
-SENT_BYTES = 16 << 20
+SENT_BYTES = 8 << 20
 #: Bytes of texts whose results are sent at a time.
 OUT_BYTES = 8 << 20
 #: Documents in which common runs of symbols are looked for, the share of them that makes one common, and most common ones kept.
 SAMPLE_ROWS, COMMON_SHARE, COMMON = 16_000, 1e-3, 100_000
+#: Symbols among which common runs are counted at a time; those that stand once among them aren't sent.
+COUNTED = 8 << 20
 #: Cells of the table of common runs of symbols, by the first bits of their hashes.
 CELL_BITS = 21
 RECORD = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("start", "<u4"), ("windows", "<u2"), ("copies", "<u4")])
@@ -281,14 +283,24 @@ def common_cells(docs: DataFrame, rows: int, scheme: Scheme) -> np.ndarray:
     share = min(1.0, SAMPLE_ROWS / max(1, rows))
     chosen = docs.filter(F.pmod(F.xxhash64("id", "sub", F.lit(42)), F.lit(1_000_000)) < int(share * 1_000_000))
 
+    def repeats(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k in (scheme.anchor, scheme.stretch):
+            grams = np.concatenate([np.zeros(0, np.uint64), *(gram_hashes(x, k) for x in held if len(x) >= k)])
+            grams.sort()
+            head = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+            n = np.diff(np.append(head, len(grams)))
+            yield pa.RecordBatch.from_arrays([pa.array(grams[head[n > 1]].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["h", "n"])
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            held = [scheme.symbols(t.as_py() or b"") for t in batch.column(2)]
-            for k in (scheme.anchor, scheme.stretch):
-                grams = np.sort(np.concatenate([np.zeros(0, np.uint64), *(gram_hashes(x, k) for x in held if len(x) >= k)]))
-                head = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
-                n = np.diff(np.append(head, len(grams)))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[head[n > 1]].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["h", "n"])
+            for text in batch.column(2):
+                held.append(scheme.symbols(text.as_py() or b""))
+                size += len(held[-1])
+                if size > COUNTED:
+                    yield from repeats(held)
+                    held, size = [], 0
+        yield from repeats(held)
 
     counts = chosen.select("id", "sub", F.col("text").cast("binary").alias("text")).mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     often = counts.filter(F.col("n") > max(4, int(COMMON_SHARE * min(rows, SAMPLE_ROWS)))).orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
@@ -326,8 +338,6 @@ def repeated_spans(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
     sent = docs.select("id", "sub", F.col("text").cast("binary").alias("text")).mapInArrow(send, "bucket bigint, block binary")
     spans = materialize(sent.groupBy("bucket").applyInArrow(meet, SPAN_SCHEMA), "spans")
-    del sent
-    drop_shuffles(docs.sparkSession)  # of all records, about as large as the texts
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,10 +349,11 @@ def repeated_spans(docs: DataFrame, scheme: Scheme) -> DataFrame:
     def solve(table: pa.Table) -> pa.Table:
         records, pieces = [], []
         for block, content in zip(table.column("block"), table.column("content")):
-            r, raw = unpacked(block.as_py(), PART), content.as_py()
+            r = unpacked(block.as_py(), PART)
             records.append(r)
             head = np.flatnonzero(r["joined"] == 0)
             ends = np.cumsum((np.add.reduceat(r["windows"].astype(np.int64), head) + scheme.window - 1) * size).tolist()
+            raw = pa.decompress(content.as_py(), ends[-1], "zstd", asbytes=True)
             pieces += [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
         found = [decide(*x, scheme) for x in sliced(np.concatenate(records), pieces)]
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, bool)]
@@ -411,7 +422,7 @@ def _asked(*found: tuple[np.ndarray, list[bytes]], n: int) -> pa.RecordBatch:
     keys, at = np.unique(bucket[order], return_index=True)
     records = np.argsort(bucket[of], kind="stable")
     blocks = np.split(r[records], np.flatnonzero(np.diff(bucket[of][records])) + 1)
-    contents = [b"".join(pieces[i] for i in mine.tolist()) for mine in np.split(order, at[1:])]
+    contents = [pa.compress(b"".join(pieces[i] for i in mine.tolist()), "zstd", asbytes=True) for mine in np.split(order, at[1:])]
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([_packed(b, np.zeros(len(b), np.int64))[1][0] for b in blocks], pa.binary()), pa.array(contents, pa.binary())], names=["bucket", "block", "content"])
 
 
