@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 
 import duckdb
@@ -57,6 +58,25 @@ def test_shards(spark, docs):
     assert sharding.uniform_shards(spark.range(3).toDF("doc_id"), 8).select("shard").distinct().count() == 3
 
 
+def test_op1_query(spark):
+    d = "/root/testdata/sf0.001"
+    want = {i: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{d}/documents.parquet'").fetchall()}
+    got = queries.op1_sharding(spark, d).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == want and len(got) == len(want)
+    assert {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
+    sizes = Counter(r["shard"] for r in got)
+    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n)) for s, n in sizes.items())
+
+
+def test_shards_of_ties_and_one_hot_block(spark):
+    """Rows that are equal, or share an id, each get a slot, and the same ones however the rows are dealt out."""
+    rows = [(1, "a")] * 700 + [(1, None)] * 300 + [(1, "b%d" % k) for k in range(200)] + [(None, None)] * 50
+    one, two = (sorted(sharding.uniform_shards(spark.createDataFrame(rows, DOCS).repartition(n), 4).collect(), key=str) for n in (1, 5))
+    assert one == two and Counter(r["shard"] for r in one) == {0: 313, 1: 313, 2: 312, 3: 312}
+    assert all(sorted(r["slot"] for r in one if r["shard"] == s) == list(range(312 + (s < 2))) for s in range(4))
+
+
 def test_shards_are_uniform(spark):
     where = Counter()
     for seed in range(30):
@@ -72,6 +92,9 @@ def test_matrix_margins():
     rng = np.random.default_rng(0)
     big = [sharding._hypergeometric(rng, 2 * 10**9, 3 * 10**9, 1000) for _ in range(300)]
     assert abs(np.mean(big) - 400) < 5 and 12 < np.std(big) < 19
+    big = [sharding._hypergeometric(rng, 3 * 10**9, 10**9, 2 * 10**9) for _ in range(300)]
+    sd = (2e9 * 0.75 * 0.25 * 0.5) ** 0.5
+    assert abs(np.mean(big) - 1.5e9) < 0.3 * sd and 0.8 * sd < np.std(big) < 1.2 * sd
 
 
 def test_exact(spark, docs):
@@ -161,6 +184,19 @@ def test_token_counts(spark, docs):
     assert {r["doc_id"]: r["n_tokens"] for r in pieces.collect()}[2] == 0
 
 
+def test_token_cache_is_used(spark, docs):
+    """A second run encodes nothing; another tokenizer version does."""
+    path, cache = public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "cache")
+    rows = docs + docs[:5] + [(None, "x" * (3 * token_counts.GROUP_CHARS)), (None, None)]
+    first = sorted(map(str, token_counts.count_tokens(frame(spark, rows), path, cache).collect()))
+    n = spark.read.parquet(cache).count()
+
+    again = sorted(map(str, token_counts.count_tokens(frame(spark, rows), path, cache).collect()))
+    assert again == first and len(first) == len(rows) and spark.read.parquet(cache).count() == n
+    token_counts.count_tokens(frame(spark, rows), public_tokenizers.path("piece_bpe_32k.model"), cache).count()
+    assert spark.read.parquet(cache).count() == 2 * n
+
+
 def brute_bytes(rows, n=100):
     seen, out = set(), {}
     for d, t in sorted(rows, key=lambda x: x[0]):
@@ -187,32 +223,75 @@ def brute_words(rows, n=35):
     return out
 
 
-@pytest.mark.parametrize("crowded", [2000, 10])
-def test_repeated_windows(spark, docs, crowded, monkeypatch):
-    monkeypatch.setattr(windows, "CROWDED", crowded)
+def got_bytes(df):
+    return {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), dig(bytes(r["kept"]))) for r in substrings.drop_repeated_substrings(df).collect()}
+
+
+def got_words(df):
+    return {r["doc_id"]: (r["n_words"], r["n_removed"], dig(r["kept"].encode())) for r in doubling.drop_repeated_windows(df).collect()}
+
+
+@pytest.mark.parametrize("common", [1e-3, 1.0])
+def test_repeated_windows(spark, docs, common, monkeypatch):
+    monkeypatch.setattr(windows, "COMMON_SHARE", common)
     monkeypatch.setattr(windows, "BUCKET_BYTES", 1 << 15)
     df = frame(spark, docs)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), dig(bytes(r["kept"]))) for r in substrings.drop_repeated_substrings(df).collect()}
-    assert got == brute_bytes(docs)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], dig(r["kept"].encode())) for r in doubling.drop_repeated_windows(df).collect()}
-    assert got == brute_words(docs)
+    assert got_bytes(df) == brute_bytes(docs)
+    assert got_words(df) == brute_words(docs)
 
 
 def test_windows_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert substrings.drop_repeated_substrings(empty).count() == doubling.drop_repeated_windows(empty).count() == 0
-    t = " ".join(f"w{i}" for i in range(60))
-    twice = spark.createDataFrame([(1, t), (1, t), (None, "x"), (2, None)], DOCS)
-    assert {r["n_removed"] for r in doubling.drop_repeated_windows(twice).collect()} == {0}
-    assert {r["n_removed"] for r in substrings.drop_repeated_substrings(twice).collect()} == {0}
-
-
-def test_long_texts_break_into_pieces(monkeypatch):
+    t, u = (" ".join(f"{c}{i}" for i in range(60)) for c in "wv")
+    # Rows that repeat an id, with one text and with another one.
+    rows = [(1, t), (1, t), (1, u), (3, "q " + t), (None, u), (None, None), (2, None), (2, "short")]
+    twice = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("id", "sub", "text_", "copies", "spans", "start", "anchor", "kept", "N_words")}).repartition(3)
+    got = doubling.drop_repeated_windows(twice).collect()
+    assert Counter((x["doc_id"], x["n_words"], x["n_removed"]) for x in got) == {(1, 60, 60): 3, (3, 61, 60): 1, (None, 60, 60): 1, (None, 0, 0): 1, (2, 0, 0): 1, (2, 1, 0): 1}
+    got = substrings.drop_repeated_substrings(twice).collect()
+    n = len(t)
+    assert Counter((x["doc_id"], x["n_bytes"], x["n_removed"]) for x in got) == {(1, n, 0): 1, (1, n, n): 2, (3, n + 2, n): 1, (None, n, 0): 1, (None, 0, 0): 1, (2, 0, 0): 1, (2, 5, 0): 1}
+
+
+@pytest.mark.parametrize("op", [substrings, doubling])
+def test_only_the_method_removes(spark, docs, op, monkeypatch):
+    """With classes in which every window stands once nothing goes, not even of exact copies."""
+    s, window, size = op.SCHEME, op.SCHEME.window, op.SCHEME.symbols(b"").itemsize
+
+    def apart(contents, copies):
+        n = sum(len(c) // size - window + 1 for c in contents)
+        return np.arange(n), np.ones(n)
+
+    monkeypatch.setattr(op, "SCHEME", windows.Scheme(s.window, s.anchor, s.stretch, s.symbols, apart, s.keep_first))
+    run = {substrings: substrings.drop_repeated_substrings, doubling: doubling.drop_repeated_windows}[op]
+    assert run(frame(spark, docs + [(9000 + d, t) for d, t in docs[:10]])).agg(F.sum("n_removed").alias("n")).first()["n"] == 0
+
+
+def test_hot_passage_meets_by_its_surroundings(monkeypatch):
+    """Around a passage of many documents windows have anchors of their own, once its anchors are common."""
+    r = random.Random(2)
+    passage = bytes(r.choices(b"abcdefgh", k=80))
+    texts = [bytes(r.choices(b"ijklmnop", k=90)) + passage + bytes(r.choices(b"ijklmnop", k=90)) for _ in range(300)]
+    common = windows.NONE_COMMON.copy()
+    cells = windows.gram_hashes(np.frombuffer(passage, np.uint8), substrings.ANCHOR) >> np.uint64(64 - windows.CELL_BITS)
+    common[cells.astype(np.int64)] = 1
+    plain, ordered = (windows.cut([(i, 0) for i in range(300)], texts, substrings.SCHEME, c) for c in (windows.NONE_COMMON, common))
+    assert max(Counter(plain["anchor"].tolist()).values()) > 200 and max(Counter(ordered["anchor"].tolist()).values()) < 60
+
+
+def test_long_texts_break_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(windows, "PIECE", 700)
     text = bytes(random.Random(1).choices(b"abcdefgh", k=5000))
-    r = windows.cut([1], [text], substrings.SCHEME)
+    r = windows.cut([(1, 0)], [text], substrings.SCHEME)
     starts = sorted(s for x in r for s in range(x["start"], x["start"] + x["windows"]))
     assert starts == list(range(len(text) - 99))
+    monkeypatch.undo()
+    r = random.Random(2)
+    words = " ".join("l%d" % r.randrange(10**6) for _ in range(120_000))
+    rows = [(1, words), (2, "x " + words[300_000:700_000]), (3, words[-2000:])]
+    assert got_bytes(spark.createDataFrame(rows, DOCS)) == brute_bytes(rows)
+    assert got_words(spark.createDataFrame(rows, DOCS)) == brute_words(rows)
 
 
 def test_interval_expansion():
@@ -221,14 +300,9 @@ def test_interval_expansion():
         n, letters = r.choice([5, 12, 40]), r.choice([b"ab", b"abc", bytes(range(256)), b"a"])
         pool = [bytes(r.choices(letters, k=r.randint(1, 90))) for _ in range(4)]
         texts = [b"".join(r.choices(pool, k=r.randint(0, 4))) for _ in range(r.randint(1, 10))]
-        seen, want, at = set(), [], 0
-        for t in texts:
-            for i in range(len(t) - n + 1):
-                if t[i : i + n] in seen:
-                    want.append(at + i)
-                seen.add(t[i : i + n])
-            at += len(t) + 1
-        assert substrings.repeated_starts(texts, n).tolist() == want
+        strings = [t[i : i + n] for t in texts for i in range(len(t) - n + 1)]
+        got = substrings.string_classes(texts, n).tolist()
+        assert len(got) == len(strings) and len(set(got)) == len(set(strings)) == len(set(zip(got, strings)))
 
 
 def brute_components(rows, radius=2):
@@ -388,7 +462,7 @@ def test_queries_and_pipeline(spark):
             seen = out
     assert {r["round_trip"] for r in out.collect()} == {True}
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     for name, sql in queries.ORACLES.items():
         df = known[name](spark, d)
