@@ -30,6 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from polyad.llm.common import materialize, sized
 
@@ -443,7 +445,8 @@ def covered(spans: list[tuple[int, int]], length: int, window: int) -> list[tupl
 def apply_spans(docs: DataFrame, spans: DataFrame, schema: str, row: Callable[[bytes, list[tuple[int, int]], int], list[tuple]]) -> DataFrame:
     """(id, and what ``row`` makes of each text, the windows to remove and the number of its copies) for all ``docs``."""
     mine = spans.groupBy("doc", "doc_sub").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    names = [x.split()[0] for x in schema.split(", ")]
+    # Types are given, since a batch in which no text has a span would have lists of nulls.
+    made_of = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, 1, OUT_BYTES):
@@ -452,7 +455,9 @@ def apply_spans(docs: DataFrame, spans: DataFrame, schema: str, row: Callable[[b
                 made = row(text.as_py() or b"", [(s["start"], s["windows"]) for s in spans_.as_py() or ()], copies.as_py())
                 ids += [i.as_py()] * len(made)
                 out += made
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c) for c in zip(*out))], names=names)
+            if ids:
+                columns = [ids, *zip(*out)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made_of)], schema=made_of)
 
     joined = docs.join(mine, (F.col("id") == F.col("doc")) & (F.col("sub") == F.col("doc_sub")), "left")
     return joined.select("id", F.col("text").cast("binary").alias("text"), "spans", "copies").mapInArrow(run, schema)

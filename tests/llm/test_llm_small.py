@@ -468,3 +468,15 @@ def test_queries_and_pipeline(spark):
         df = known[name](spark, d)
         cols = sorted(df.columns)
         assert sorted(map(tuple, df.select(*cols).collect())) == sorted(con.sql(sql).project(", ".join(cols)).fetchall())
+
+
+def test_spans_keep_their_type_in_every_batch(spark):
+    """A batch without any span, and one with, come from the same task."""
+    docs = spark.createDataFrame([(i, 0, "ab" * 60, 1) for i in range(40)], "id long, sub long, text string, copies long").coalesce(1)
+    spans = spark.createDataFrame([(39, 0, 0, 3)], "doc long, doc_sub long, start long, windows long")
+    for module, size in ((substrings, 120), (doubling, 1)):
+        schema = "id bigint, n bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept " + ("binary" if size > 1 else "string")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        got = windows.apply_spans(docs, spans, schema, module._row).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted((r["id"], r["n"]) for r in got) == [(i, size) for i in range(40)]
