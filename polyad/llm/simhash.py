@@ -238,12 +238,26 @@ def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float) -> D
     return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
-def verified_links(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def fingerprint_pairs(texts: DataFrame, words: int, radius: int) -> DataFrame:
+    """Pairs (u, v) of ids of ``texts`` (id, text), unique ids, whose fingerprints are within the radius: enough to connect all that are.
+
+    Equal fingerprints are paired with the smallest id that has them, others by ``links``. The fingerprint zero, which texts without
+    shingles have, is left out.
+    """
+    fps = materialize(fingerprints(texts, "id", "text", words).filter("fp <> 0"), "fingerprints")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "fingerprints-distinct")
+    equal = fps.join(distinct, "fp").filter("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v"))
+    return links(distinct, radius).select("u", "v").unionByName(equal)
+
+
+def verified_links(texts: DataFrame, words: int, similarity: float, radius: int = 2) -> DataFrame:
     """Links (u, v) between ids of ``texts`` (id, text), unique ids, whose shingle sets are similar: enough of them to connect all that any such links connect.
 
-    Two similar sets share one of their first shingles, so documents meet in buckets by those. In crowded buckets one member
-    is compared with all others, as long as that halves the members of crowded buckets that aren't all connected; then
-    all pairs of all buckets are compared but those that are connected by then.
+    Pairs of fingerprints within the radius come first and are compared exactly. Similar texts may have fingerprints that
+    lie farther apart; for these, and only between texts that aren't connected by then: two similar sets share one of their
+    first shingles, so documents meet in buckets by those. In crowded buckets one member is compared with all others, as
+    long as that halves the members of crowded buckets that aren't all connected; then all pairs of all buckets are compared
+    but those that are connected by then.
     """
 
     def shingle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,13 +282,25 @@ def verified_links(texts: DataFrame, words: int, similarity: float) -> DataFrame
 
     def verify(pairs: DataFrame) -> DataFrame:
         nonlocal checked
-        near = materialize(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct().join(checked, ["u", "v"], "left_anti"), "shingle-pairs")
+        near = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(checked, ["u", "v"], "left_anti"), "shingle-pairs")
         checked = checked.unionByName(near)
         near = materialize(maybe_similar_pairs(near, sketches, similarity), "shingle-candidates")
         wanted = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
         shingled = texts.join(wanted, "id", "left_semi").mapInArrow(shingle, "id bigint, shingles binary")
         return materialize(similar_pairs(near, materialize(shingled, "shingle-sets"), similarity), "shingle-links")
 
+    def met_pairs(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
+        return left.alias("a").join(right.alias("b"), "t").filter(apart & _may_be_similar("a", "b", similarity)).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+
+    def still_apart() -> DataFrame:
+        """The buckets whose members aren't all connected, with the components that the links make."""
+        of = materialize(components(links_), "shingle-components")
+        now = shared.drop("c").join(of, F.col("id") == F.col("node"), "left").select("t", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+        apart = now.withColumns({"m": F.count(F.lit(1)).over(by_shingle), "lo": F.min("c").over(by_shingle), "hi": F.max("c").over(by_shingle)}).filter("lo <> hi").drop("lo", "hi")
+        return materialize(apart, "shingle-buckets")
+
+    links_ = verify(fingerprint_pairs(texts, words, radius))
+    shared = still_apart()
     before, salt = None, 0
     while True:
         crowd = shared.filter(F.col("m") > SMALL)
@@ -284,22 +310,18 @@ def verified_links(texts: DataFrame, words: int, similarity: float) -> DataFrame
         # The member with the least before its first common shingle, as an original has, then others at random.
         rank = F.struct(F.when(F.lit(salt == 0), F.col("pos") / F.col("n")).otherwise(0.0), F.xxhash64("id", F.lit(salt)), "id")
         hubs = materialize(crowd.groupBy("t").agg(F.min_by(F.struct("id", "n", "pos", "c"), rank).alias("h")).select("t", "h.*"), "shingle-hubs")
-        pairs = hubs.alias("a").join(crowd.alias("b"), "t").filter(F.col("a.c") != F.col("b.c"))
-        links_ = links_.unionByName(verify(pairs.filter(_may_be_similar("a", "b", similarity))))
-        of = materialize(components(links_), "shingle-components")
-        now = shared.drop("c").join(of, F.col("id") == F.col("node"), "left").select("t", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
-        apart = now.withColumns({"m": F.count(F.lit(1)).over(by_shingle), "lo": F.min("c").over(by_shingle), "hi": F.max("c").over(by_shingle)}).filter("lo <> hi").drop("lo", "hi")
-        shared = materialize(apart, "shingle-buckets")
+        links_ = links_.unionByName(verify(met_pairs(hubs, crowd, F.col("a.c") != F.col("b.c"))))
+        shared = still_apart()
         before, salt = members, salt + 1
-    pairs = shared.alias("a").join(shared.alias("b"), "t").filter((F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c")))
-    return links_.unionByName(verify(pairs.filter(_may_be_similar("a", "b", similarity))))
+    return links_.unionByName(verify(met_pairs(shared, shared, (F.col("a.id") < F.col("b.id")) & (F.col("a.c") != F.col("b.c")))))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id, with all its columns, whatever their names.
 
     Documents are linked when the sets of their word shingles have at least this Jaccard similarity; all such pairs count, and
-    groups are their connected components. Null and blank texts have no shingles and are all kept. Rows that share an id with
+    groups are their connected components. Fingerprints and covering tables find the close pairs, which are compared exactly;
+    an exact filter by shingles finds those that lie beyond the radius. Null and blank texts have no shingles and are all kept. Rows that share an id with
     other texts are documents of their own, in the order of a digest of their texts; rows of one id and one text are one
     document and stay or go together. A null id sorts before all others. An empty table gives an empty result.
     """

@@ -376,6 +376,23 @@ def test_near_duplicates_of_each_kind(spark, kind):
     assert len(pairs) > 20 and kept == {d for d, _ in rows} - {b for _, b in pairs}
 
 
+def test_near_duplicates_go_by_fingerprints_first(spark, monkeypatch):
+    """Close fingerprints are looked up and what they link is compared exactly; pairs that lie beyond the radius are found as well."""
+    r, calls = random.Random(11), []
+    base = ["w%d" % r.randrange(3000) for _ in range(300)]
+    far = ["v%d" % r.randrange(3000) for _ in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(base).upper()), (4, " ".join(far)), (5, " ".join(far + ["own%d" % i for i in range(8)])), (6, None), (7, " ")]
+    found = simhash.fingerprint_pairs
+
+    def spy(texts, words, radius):
+        calls.append((words, radius, {tuple(sorted(p)) for p in found(texts, words, radius).collect()}))
+        return found(texts, words, radius)
+
+    monkeypatch.setattr(simhash, "fingerprint_pairs", spy)
+    kept = {x["doc_id"] for x in simhash.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert calls == [(5, 2, {(1, 2), (1, 3)})] and kept == {1, 4, 6, 7}
+
+
 @pytest.mark.parametrize("small", [32, 3])
 def test_near_duplicates_are_components(spark, small, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL", small)
