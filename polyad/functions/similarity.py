@@ -1,9 +1,10 @@
-"""String similarity: the Indel ratio of sorted tokens, as an Arrow UDF behind a native bound."""
+"""String similarity: the Indel ratio of sorted tokens, as an Arrow UDF behind a native bound, and distances of many pairs at a time."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,3 +57,97 @@ def may_reach(a: Column, b: Column, cutoff: int) -> Column:
     x, y = token_sort(a), token_sort(b)
     both = F.length(x) + F.length(y)
     return F.levenshtein(x, y) <= F.floor(both * (100 - cutoff) / 100.0)
+
+
+def levenshtein(a: str, b: str) -> int:
+    """Edit distance; the bits of integers stand for the places in ``a``."""
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, d = full, 0, len(a)
+    for c in b:
+        eq = at.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(x | up)), up & x
+        d += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | (full & ~(eq | down | more)), more & (eq | down)
+    return d
+
+
+def indel(a: str, b: str) -> int:
+    """Insertions and deletions between two strings."""
+    return len(a) + len(b) - 2 * lcs_length(a, b)
+
+
+#: Places that one machine word has; longer strings are compared one by one.
+WORD = 64
+#: Characters fall into so many cells by code point, which only weakens the bound by counts.
+CELLS = 64
+
+
+class Strings:
+    """Strings as arrays: lengths, characters per cell, codes of characters and the places of each code as bits."""
+
+    def __init__(self, strings: list[str], alphabet: np.ndarray):
+        self.strings, self.n = strings, np.array([len(s) for s in strings], np.int64)
+        flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(len(strings)), self.n)
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        counts = np.bincount(row * CELLS + flat % CELLS, minlength=len(strings) * CELLS).reshape(-1, CELLS)
+        self.counts = counts.T.astype(np.uint8 if self.n.max(initial=0) < 256 else np.uint32)
+        code, short = np.searchsorted(alphabet, flat), at < WORD
+        # The last code stands for what lies beyond the end and occurs nowhere.
+        self.codes = np.full((len(strings), WORD), len(alphabet), np.int32)
+        self.codes[row[short], at[short]] = code[short]
+        self.places = np.zeros((len(strings), len(alphabet) + 1), np.uint64)
+        np.bitwise_or.at(self.places, (row[short], code[short]), np.uint64(1) << at[short].astype(np.uint64))
+
+
+def alphabet_of(*strings: list[str]) -> np.ndarray:
+    return np.unique(np.frombuffer("".join(s for x in strings for s in x).encode("utf-32-le", "surrogatepass"), np.uint32))
+
+
+def distances(x: Strings, y: Strings, p: np.ndarray, q: np.ndarray, edits: bool) -> np.ndarray:
+    """Edit distances (or insertions and deletions, without ``edits``) of the strings p of ``x`` and q of ``y``."""
+    m, n = x.n[p], y.n[q]
+    d = np.zeros(len(p), np.int64)
+    long_ = (m > WORD) | (n > WORD) | (m == 0)
+    for k in np.flatnonzero(long_).tolist():
+        d[k] = (levenshtein if edits else indel)(x.strings[p[k]], y.strings[q[k]])
+    p, q, m, n = p[~long_], q[~long_], m[~long_], n[~long_]
+    one, ones = np.uint64(1), np.full(len(p), ~np.uint64(0))
+    last = one << (m - 1).astype(np.uint64)
+    up, down, out = ones.copy(), np.zeros(len(p), np.uint64), m.copy()
+    for k in range(int(n.max(initial=0))):
+        eq = x.places[p, y.codes[q, k]]
+        if not edits:
+            hit = up & eq
+            up = (up + hit) | (up - hit)
+            continue
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | ~(h | up), up & h
+        out += ((more & last) != 0).astype(np.int64) * (k < n) - ((less & last) != 0).astype(np.int64) * (k < n)
+        more, less = more << one | one, less << one
+        up, down = less | ~(eq | down | more), more & (eq | down)
+    if not edits:
+        out = m + n - 2 * np.bitwise_count(~up & (last | (last - one))).astype(np.int64)
+    d[~long_] = out
+    return d
+
+
+def close(x: Strings, y: Strings, share: int, edits: bool, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (p, q) that a bound by counts of characters leaves: all whose distance is at most ``share`` percent of both lengths together, and others."""
+    used = np.flatnonzero((x.counts.max(axis=1, initial=0) > 0) & (y.counts.max(axis=1, initial=0) > 0))
+    wide = np.result_type(x.counts, y.counts)
+    for at in range(0, len(x.n), rows):
+        m = x.n[at : at + rows, None]
+        both = np.zeros((len(m), len(y.n)), wide)  # at most the shorter length
+        for c in used:
+            both += np.minimum(x.counts[c, at : at + rows, None], y.counts[c][None, :])
+        least = np.maximum(m, y.n) - both if edits else m + y.n - 2 * both.astype(np.int64)
+        p, q = np.nonzero(least <= (m + y.n) * share // 100)
+        yield p + at, q

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polyad.functions.similarity import may_reach, token_sort_ratio_col
+from polyad.functions.similarity import Strings, alphabet_of, close, distances, may_reach, token_sort_ratio_col
 from polyad.functions.text import normalize, strip_role, token_count, token_sort, tokens
 from polyad.operators.components import components
 from polyad.operators.numbering import numbered
@@ -73,29 +76,71 @@ def prepared(mentions: DataFrame, strip_roles: bool = True) -> DataFrame:
     return rows
 
 
-def close_pairs(forms: DataFrame, share: int, min_token: int) -> DataFrame:
-    """(a, b, d): pairs a < b of ``forms`` (form, by), one row per form, that share a token of this length and whose ``by`` differ by few edits.
+#: Forms of a block; tokens of at most so many forms share bins; most tasks that compare blocks.
+BLOCK, RARE, TASKS = 1024, 256, 2000
 
-    The distance ``d`` is at most ``share`` percent of both lengths together. Forms meet by token in bands of length; the
-    distance is bounded and comes first, so that only close pairs are made unique.
+
+def close_pairs(forms: DataFrame, share: int, min_token: int, edits: bool = True) -> DataFrame:
+    """(a, b, d, n): pairs a < b of ``forms`` (form, by), one row per form, that share a token of this length and whose ``by`` are close.
+
+    The distance ``d``, edits or insertions and deletions, is at most ``share`` percent of both lengths together, ``n``.
+    Forms meet in a bin per token, where rare tokens share bins. A bin is cut into blocks, and each two blocks are compared
+    in arrays: counts of characters rule out most pairs, the others are compared exactly. A pair that shares several
+    tokens counts in the bin of the first one alone, so no pair comes twice.
     """
-    low, width = (100 - share) / (100.0 + share), F.lit(4)  # shorter over longer length of a close pair
-    words = forms.select("form", "by", F.length("by").alias("n"), F.explode(F.array_distinct(F.filter(tokens(F.col("form")), lambda t: F.length(t) >= min_token))).alias("t"))
-    left = words.select(F.col("form").alias("a"), F.col("by").alias("x"), F.col("n").alias("nx"), "t", F.explode(F.sequence(F.floor(F.floor(F.col("n") * low) / width), F.floor(F.ceil(F.col("n") / low) / width))).alias("band"))
-    right = words.select(F.col("form").alias("b"), F.col("by").alias("y"), F.col("n").alias("ny"), "t", F.floor(F.col("n") / width).alias("band"))
-    most = F.floor((F.col("nx") + F.col("ny")) * share / 100.0).cast("int")
-    near = left.join(right, ["t", "band"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("nx") - F.col("ny")) <= most))
-    return near.withColumn("d", F.call_function("levenshtein", F.col("x"), F.col("y"), most)).filter("d >= 0").select("a", "b", "d").distinct()
+    words = forms.select("form", "by", F.explode(F.array_distinct(F.filter(tokens(F.col("form")), lambda t: F.length(t) >= min_token))).alias("t")).withColumn("t", F.xxhash64("t"))
+    counts = materialize(words.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "token-counts")
+    rare = counts.filter(F.col("n") <= RARE).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bins = counts.select("t", F.when(F.col("n") > RARE, F.col("t")).otherwise(F.pmod("t", F.lit(1 + rare // BLOCK))).alias("bin"))
+    rows = materialize(words.join(bins, "t").groupBy("form", "by").agg(F.sort_array(F.collect_list(F.struct("t", "bin"))).alias("m")), "token-rows")
+    each = rows.withColumn("bin", F.explode(F.array_distinct("m.bin")))
+    sizes = materialize(each.groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "token-bins")
+    work = sizes.agg(F.coalesce(F.sum(F.col("blocks").cast("long") * (F.col("blocks") + 1)), F.lit(0))).first()[0]
+    block = F.pmod(F.xxhash64("form", F.lit(1)), F.col("blocks")).cast("int")
+    sent = each.join(F.broadcast(sizes), "bin").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = sent.select("bin", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "form", "by", "m")
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, i, j = (table.column(c)[0].as_py() for c in ("bin", "i", "j"))
+        of = table.column("block").to_numpy()
+        sides = [table.filter(pa.array(of == k)).combine_chunks() for k in (i, j)]
+        names = [side.column("form").to_pylist() for side in sides]
+        marks = [side.column("m").to_pylist() for side in sides]
+        wide = max(len(m) for mine in marks for m in mine)
+        # Ends are filled with other numbers on either side.
+        t, bin_ = ([np.array([[x[key] for x in m] + [fill] * (wide - len(m)) for m in mine], np.int64).T for mine, fill in zip(marks, (-1, -2))] for key in ("t", "bin"))
+        texts = [side.column("by").to_pylist() for side in sides]
+        alphabet = alphabet_of(*texts)
+        x, y = (Strings(side, alphabet) for side in texts)
+        found = [(np.zeros(0, np.int64),) * 4]
+        for p, q in close(x, y, share, edits):
+            if i == j:
+                p, q = p[p < q], q[p < q]
+            first, open_ = np.zeros(len(p), bool), np.ones(len(p), bool)
+            for k in range(wide):
+                mine = t[0][k][p]
+                hit = open_ & np.logical_or.reduce([mine == t[1][o][q] for o in range(wide)])
+                first |= hit & (bin_[0][k][p] == own)
+                open_ &= ~hit
+            p, q = p[first], q[first]
+            d, n = distances(x, y, p, q, edits), x.n[p] + y.n[q]
+            near = d <= n * share // 100
+            found.append((p[near], q[near], d[near], n[near]))
+        p, q, d, n = (np.concatenate(c) for c in zip(*found))
+        a, b = pa.array(names[0], pa.string()).take(pa.array(p)), pa.array(names[1], pa.string()).take(pa.array(q))
+        less = pc.less(a, b)
+        return pa.table({"a": pc.if_else(less, a, b), "b": pc.if_else(less, b, a), "d": pa.array(d.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+
+    # The number of tasks is given, since little data makes much work here.
+    dealt = met.repartition(int(min(TASKS, max(1, work))), "bin", "i", "j")
+    return dealt.groupBy("bin", "i", "j").applyInArrow(compare, "a string, b string, d int, n int")
 
 
 def blocked_pairs(mentions: DataFrame, cutoff: int = CUTOFF, min_token: int = MIN_TOKEN) -> DataFrame:
-    """(a, b, ratio): pairs a < b of forms that share a long token and are similar enough.
-
-    Edits of the sorted tokens are no more than their insertions and deletions, so the native bound loses no pair.
-    """
+    """(a, b, ratio): pairs a < b of forms that share a long token and are similar enough, by insertions and deletions of their sorted tokens."""
     forms = mentions.select(F.col("ns").alias("form")).distinct().withColumn("by", token_sort(F.col("form")))
-    pairs = close_pairs(forms, 100 - cutoff, min_token)
-    return pairs.withColumn("ratio", token_sort_ratio_col(F.col("a"), F.col("b"))).filter(F.col("ratio") >= cutoff).select("a", "b", "ratio")
+    pairs = close_pairs(forms, 100 - cutoff, min_token, edits=False)
+    return pairs.withColumn("ratio", F.floor(100.0 * (F.col("n") - F.col("d")) / F.col("n")).cast("int")).filter(F.col("ratio") >= cutoff).select("a", "b", "ratio")
 
 
 def assign_in_order(rows: list[tuple[str, str, str]], similar: dict[str, list[tuple[int, int, str]]]) -> list[int]:

@@ -21,6 +21,17 @@ def plain_lcs(a, b):
     return row[-1]
 
 
+def plain_distance(a, b, edits):
+    if not edits:
+        return len(a) + len(b) - 2 * plain_lcs(a, b)
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcd ", max_size=12), st.text("abcd ", max_size=12))
 def test_lcs(a, b):
@@ -206,6 +217,27 @@ def test_degree_sum(spark):
     assert view == {"a": 2, "b": 2, "c": 1}
 
 
+def test_close_pairs_of_many_forms(spark, monkeypatch):
+    """Forms that fill several blocks, share common and rare tokens, and are longer than a machine word, against a loop."""
+    monkeypatch.setattr(resolution, "BLOCK", 40)
+    monkeypatch.setattr(resolution, "RARE", 12)
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdñ") for _ in range(r.randrange(3, 8)))
+    known = [word() for _ in range(60)]
+    names = {" ".join(r.choice(known[:4] if r.random() < 0.5 else known) for _ in range(r.randrange(1, 5))) for _ in range(300)}
+    names |= {n[:-1] + r.choice("abcd") for n in list(names)[:80]} | {" ".join(known[k : k + 14]) + " " + word() for k in range(3) for _ in range(6)} | {"x" * 300 + " " + known[0], "x" * 299 + " " + known[0]}
+    names = sorted({" ".join(n.split()) for n in names})
+    shares = lambda a, b: any(len(t) >= 4 for t in set(a.split()) & set(b.split()))
+    forms = spark.createDataFrame([(n,) for n in names], "form string")
+    for edits in (True, False):
+        sized = forms.withColumn("by", F.col("form") if edits else T.token_sort(F.col("form")))
+        got = sorted(tuple(x)[:3] for x in resolution.close_pairs(sized, 20, 4, edits).collect())
+        by = {n: n if edits else " ".join(sorted(n.split())) for n in names}
+        far = {(a, b): plain_distance(by[a], by[b], edits) for i, a in enumerate(names) for b in names[i + 1 :] if shares(a, b)}
+        assert got == sorted((a, b, d) for (a, b), d in far.items() if d <= (len(by[a]) + len(by[b])) * 20 // 100) and len(got) > 50
+        assert max(len(a) for a, _, _ in got) > 200
+
+
 def test_known_pairs_of_names_with_several_nodes(spark):
     """A name that several nodes have stands for all of them; a pair without edges has net 0, and an unknown polarity isn't counted."""
     nodes = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "A"), ("4", "C")], "node_id string, canonical string")
