@@ -238,6 +238,14 @@ def test_close_pairs_of_many_forms(spark, monkeypatch):
         assert max(len(a) for a, _, _ in got) > 200
 
 
+def test_blocked_pairs_ratio(spark):
+    names = ["ana maria perez", "perez ana maria", "ana maria peres", "mario perez", "ana perez maria soto", "perez", "soto vial juan"]
+    got = {tuple(x) for x in resolution.blocked_pairs(spark.createDataFrame([(n,) for n in names], "ns string"), 80).collect()}
+    shares = lambda a, b: any(len(t) >= 4 for t in set(a.split()) & set(b.split()))
+    want = {(a, b, token_sort_ratio(a, b)) for a in names for b in names if a < b and shares(a, b)}
+    assert got == {x for x in want if x[2] >= 80} and len(got) > 3
+
+
 def test_known_pairs_of_names_with_several_nodes(spark):
     """A name that several nodes have stands for all of them; a pair without edges has net 0, and an unknown polarity isn't counted."""
     nodes = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "A"), ("4", "C")], "node_id string, canonical string")
