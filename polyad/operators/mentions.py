@@ -73,16 +73,27 @@ def majority_type(mentions: DataFrame) -> DataFrame:
 
 def parity(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two sets of mentions (article_id, text, type) against each other: mean Jaccard similarity per article, and mentions lost and gained."""
-    sets = [m.groupBy("article_id").agg(F.collect_set(F.struct(F.lower("text"), "type")).alias(c)) for m, c in ((left, "a"), (right, "b"))]
-    both = sets[0].join(sets[1], "article_id", "full_outer")
-    none = F.array().cast("array<struct<col1:string,type:string>>")
-    a, b = (F.coalesce(F.col(c).cast("array<struct<col1:string,type:string>>"), none) for c in "ab")
-    size = F.size(F.array_union(a, b))
-    return both.agg(
+    sides = [m.select("article_id", "text", "type", F.lit(name == "a").alias("in_a"), F.lit(name == "b").alias("in_b")) for name, m in (("a", left), ("b", right))]
+    return parity_of(sides[0].unionByName(sides[1]))
+
+
+def parity_of(rows: DataFrame) -> DataFrame:
+    """``parity`` of mentions (article_id, text, type, in_a, in_b) that say which sets they are in, read once.
+
+    A mention is one string, which starts with the sets that a row has it in: sets of strings are compared by hash, those of
+    structs each with each.
+    """
+    kind = F.coalesce(F.concat(F.length("type").cast("string"), F.lit(":"), F.col("type")), F.lit("-"))
+    name = F.coalesce(F.concat(F.lit("="), F.lower("text")), F.lit(""))
+    sets = F.when(F.col("in_a") & F.col("in_b"), "2").when(F.col("in_a"), "a").otherwise("b")
+    seen = rows.filter("in_a OR in_b").groupBy("article_id").agg(F.collect_set(F.concat(sets, kind, name)).alias("seen"))
+    only = lambda other: F.array_distinct(F.transform(F.filter("seen", lambda x: F.substring(x, 1, 1) != other), lambda x: F.substring(x, 2, 2**31 - 1)))
+    n = seen.select(only("b").alias("a"), only("a").alias("b")).select(F.size("a").alias("a"), F.size("b").alias("b"), F.size(F.array_intersect("a", "b")).alias("both"))
+    return n.agg(
         F.count(F.lit(1)).alias("articles"),
-        F.avg(F.when(size > 0, F.size(F.array_intersect(a, b)) / size).otherwise(1.0)).alias("mean_jaccard"),
-        F.sum(F.size(F.array_except(a, b))).alias("lost"),
-        F.sum(F.size(F.array_except(b, a))).alias("gained"),
+        F.avg(F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("mean_jaccard"),
+        F.sum(F.col("a") - F.col("both")).alias("lost"),
+        F.sum(F.col("b") - F.col("both")).alias("gained"),
     )
 
 

@@ -246,6 +246,24 @@ def test_blocked_pairs_ratio(spark):
     assert got == {x for x in want if x[2] >= 80} and len(got) > 3
 
 
+def test_parity_compares_by_hash(spark):
+    """Null names and types, a name that looks like another's type, an article in one set only, and no comparison of structs each with each."""
+    left = [("x", "Ana", "person"), ("x", "ANA", "person"), ("x", None, "person"), ("y", "a", "1:b"), ("z", "q", None)]
+    right = [("x", "ana", "person"), ("x", "Bob", "person"), ("y", "b=a", "1"), ("w", "q", None)]
+    a, b = (spark.createDataFrame(rows, "article_id string, text string, type string") for rows in (left, right))
+    df = mentions.parity(a, b)
+    sets = [{}, {}]
+    for s, rows in zip(sets, (left, right)):
+        for k, t, y in rows:
+            s.setdefault(k, set()).add((t and t.lower(), y))
+    keys = set(sets[0]) | set(sets[1])
+    both = [(sets[0].get(k, set()), sets[1].get(k, set())) for k in keys]
+    got = df.first()
+    assert (got["articles"], got["lost"], got["gained"]) == (len(keys), sum(len(x - y) for x, y in both), sum(len(y - x) for x, y in both))
+    assert abs(got["mean_jaccard"] - sum(len(x & y) / len(x | y) for x, y in both) / len(keys)) < 1e-9
+    assert "array_intersect" in df._jdf.queryExecution().optimizedPlan().toString() and "array<struct" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_known_pairs_of_names_with_several_nodes(spark):
     """A name that several nodes have stands for all of them; a pair without edges has net 0, and an unknown polarity isn't counted."""
     nodes = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "A"), ("4", "C")], "node_id string, canonical string")
