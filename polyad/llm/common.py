@@ -10,25 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polyad.session import BATCH_BYTES, bound_batches
 from polyad.sources.scratch import delete, materialize, new_path, release, scope, shared_dir
 
-__all__ = ["NULL_ID", "as_struct", "ascii_blank", "bound_batches", "delete", "distinct_rows", "from_struct", "id_back", "id_of", "materialize", "new_path", "read_table", "release", "scope", "shared_dir", "sized", "sub_of", "without"]
+__all__ = ["BATCH_BYTES", "NULL_ID", "as_struct", "ascii_blank", "bound_batches", "delete", "distinct_rows", "from_struct", "id_back", "id_of", "materialize", "new_path", "read_table", "release", "scope", "shared_dir", "sized", "sub_of", "without"]
 
 #: Null ids take this value inside an operator, so they sort first, and turn null again in its result.
 NULL_ID = -(2**63)
 
 
-#: Bytes of an Arrow batch where the session sets no bound: rows here hold whole texts.
-BATCH_BYTES = 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, unless the session has a bound of its own; ``session`` sets the same one."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) in (None, str(2**31 - 1), str(2**63 - 1)):
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def sized(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with about ``limit`` bytes of this binary or string column at most; none is empty."""
     for batch in batches:

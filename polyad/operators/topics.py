@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polyad.functions.vocabulary import STOPWORDS
+from polyad.session import bound_batches
+from polyad.sources.scratch import materialize
 
 BODY_CHARS = 600
 
@@ -75,14 +79,52 @@ def assign(vectors: DataFrame, centres: DataFrame, outlier_below: float | None =
     return out if outlier_below is None else out.withColumn("topic_id", F.when(F.col("score") < outlier_below, -1).otherwise(F.col("topic_id")))
 
 
+#: Cells that terms fall into by hash, to leave out those that too few documents have: one bit each on the driver and in a broadcast.
+CELLS = 1 << 27
+
+
+def _in_common_cells(rows: DataFrame, min_df: int) -> DataFrame:
+    """``rows`` (id, topic_id, terms) with the terms whose cell at least ``min_df`` rows have: all terms that as many rows have, and a few others."""
+    cell = lambda t: F.pmod(F.xxhash64(t), F.lit(CELLS))
+    often = rows.select(F.explode(F.array_distinct(F.transform("terms", cell))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_df)
+    words = materialize(often.groupBy((F.col("c") / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("c", F.lit(64)).cast("int"))).alias("bits")), "term-cells").toArrow()
+    bits = np.zeros(CELLS // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    known = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(3).flatten().to_numpy()
+            held = (known.value[cells >> 6] >> (cells & 63)) & 1 == 1
+            ends = np.cumsum(batch.column(2).value_lengths().to_numpy())
+            offsets = np.append(0, np.append(0, np.cumsum(held))[ends]).astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(offsets), batch.column(2).flatten().filter(pa.array(held)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kept], names=["id", "topic_id", "terms"])
+
+    return rows.withColumn("cells", F.transform("terms", cell)).mapInArrow(keep, rows.schema)
+
+
 def terms(docs: DataFrame, min_df: int = 5, stopwords: list[str] | None = None) -> DataFrame:
-    """(topic_id, term, tf) of words and pairs of words of (id, topic_id, text), without stop words; terms in fewer documents go."""
+    """(topic_id, term, tf) of words and pairs of words of (id, topic_id, text), without stop words; terms in fewer documents go.
+
+    Most terms stand in one or two documents. They are left out by the counts of hash cells before any term is shuffled;
+    what is left is counted exactly. Rows of one id and topic are one document.
+    """
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & ~w.isin(stopwords or STOPWORDS))
-    w = docs.select("id", "topic_id", words.alias("w"))
+    w = docs.select("id", "topic_id", F.coalesce(words, F.array().cast("array<string>")).alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).otherwise(F.array().cast("array<string>"))
-    each = w.select("id", "topic_id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "topic_id", "term").agg(F.count(F.lit(1)).alias("c"))
-    common = each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df).select("term")
-    return each.join(common, "term").groupBy("topic_id", "term").agg(F.sum("c").alias("tf"))
+    bound_batches(docs.sparkSession)
+    kept = _in_common_cells(w.select("id", "topic_id", F.concat("w", pairs).alias("terms")), min_df)
+    repeated = materialize(docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("again")), "repeated-ids")
+    same = F.col("id").eqNullSafe(F.col("again"))
+    # Each occurrence counts as c, and each document once as d, in the task that has its row; documents of several rows are put together first.
+    one = lambda c, d: lambda t: F.struct(t.alias("term"), F.lit(c).cast("long").alias("c"), F.lit(d).cast("long").alias("d"))
+    once = kept.join(repeated, same, "left_anti").select("topic_id", F.explode(F.concat(F.transform("terms", one(1, 0)), F.transform(F.array_distinct("terms"), one(0, 1)))).alias("e")).select("topic_id", "e.*")
+    more = kept.join(repeated, same, "left_semi").select("id", "topic_id", F.explode("terms").alias("term")).groupBy("id", "topic_id", "term").agg(F.count(F.lit(1)).alias("c"))
+    each = once.unionByName(more.select("topic_id", "term", "c", F.lit(1).cast("long").alias("d")))
+    counts = materialize(each.groupBy("topic_id", "term").agg(F.sum("c").alias("tf"), F.sum("d").alias("df")), "term-counts")
+    common = counts.groupBy("term").agg(F.sum("df").alias("df")).filter(F.col("df") >= min_df).select("term")
+    return materialize(counts.join(common, "term").select("topic_id", "term", "tf"), "common-terms")
 
 
 def keywords(term_counts: DataFrame, k: int = 8) -> DataFrame:

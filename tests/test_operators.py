@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from polyad import schema
 from polyad.functions import text as T
 from polyad.functions.similarity import indel_ratio, lcs_length, token_sort_ratio, token_sort_ratio_col
-from polyad.operators import curation, graph, mentions, relations, resolution, signed
+from polyad.operators import curation, graph, mentions, relations, resolution, signed, topics
 from polyad.operators.numbering import numbered
 
 
@@ -264,6 +264,24 @@ def test_parity_compares_by_hash(spark):
     assert "array_intersect" in df._jdf.queryExecution().optimizedPlan().toString() and "array<struct" not in df._jdf.queryExecution().analyzed().toString()
 
 
+def test_terms_of_repeated_ids(spark, monkeypatch):
+    """Rows of one id count as one document, also without an id, and cells that many terms share add none."""
+    texts = [(i, i % 2, "uno dos %s tres" % ("comun" if i < 5 else "raro%d" % i)) for i in range(12)] + [(20, 0, "gato gato perro")] * 6 + [(None, 1, "luna sol")] * 6 + [(30, 0, None), (31, 1, "")]
+    docs, want = spark.createDataFrame(texts, "id long, topic_id int, text string"), {}
+    for cells in (topics.CELLS, 64):
+        monkeypatch.setattr(topics, "CELLS", cells)
+        df, tf, seen = topics.terms(docs, 5, ["tres"]), {}, {}
+        for i, k, t in texts:
+            w = [x for x in (t or "").split() if x != "tres"]
+            for x in w + [f"{p} {q}" for p, q in zip(w, w[1:])]:
+                tf[k, x] = tf.get((k, x), 0) + 1
+                seen.setdefault(x, set()).add((i, k))
+        want = {(*k, n) for k, n in tf.items() if len(seen[k[1]]) >= 5}
+        assert {tuple(r) for r in df.select("topic_id", "term", "tf").collect()} == want and want
+    scratch = [p for p in df.inputFiles()]
+    assert scratch and all("common-terms" in p for p in scratch)
+
+
 def test_known_pairs_of_names_with_several_nodes(spark):
     """A name that several nodes have stands for all of them; a pair without edges has net 0, and an unknown polarity isn't counted."""
     nodes = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "A"), ("4", "C")], "node_id string, canonical string")
