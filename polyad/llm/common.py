@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,24 @@ from pyspark.sql import functions as F
 from polyad.session import BATCH_BYTES, bound_batches
 from polyad.sources.scratch import delete, materialize, new_path, release, scope, shared_dir
 
-__all__ = ["BATCH_BYTES", "NULL_ID", "as_struct", "ascii_blank", "bound_batches", "delete", "distinct_rows", "from_struct", "id_back", "id_of", "materialize", "new_path", "read_table", "release", "scope", "shared_dir", "sized", "sub_of", "without"]
+__all__ = ["BATCH_BYTES", "NULL_ID", "as_struct", "ascii_blank", "bound_batches", "delete", "distinct_rows", "from_struct", "given_back", "id_back", "id_of", "materialize", "new_path", "read_table", "release", "scope", "shared_dir", "sized", "sub_of", "without"]
 
 #: Null ids take this value inside an operator, so they sort first, and turn null again in its result.
 NULL_ID = -(2**63)
 
 
+def given_back(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker gives free memory back: workers live on, and what one stage left would count in the next."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def sized(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with about ``limit`` bytes of this binary or string column at most; none is empty."""
     for batch in batches:

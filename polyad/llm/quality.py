@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from polyad.llm.common import as_struct, bound_batches, from_struct, id_back, id_of, materialize, sized
+from polyad.llm.common import as_struct, bound_batches, from_struct, given_back, id_back, id_of, materialize, sized
 
 #: Bound on the labelled rows that are fitted on, chosen by hash.
 MAX_LABELLED = 8_000
@@ -181,7 +181,7 @@ def _map(docs: DataFrame, columns: list, schema: str | T.StructType, row: Callab
             out = [row(t.as_py() or b"", dict(zip(meta, v))) for t, v in zip(batch.column(n), values)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array([o[k] for o in out]) for k in range(len(out[0])))], names=names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(given_back(run), schema)
 
 
 def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -202,7 +202,7 @@ def _telling(rows: DataFrame, view: str, base: float) -> np.ndarray:
             h, of = np.unique(flat, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(of, minlength=len(h)).astype(np.int64)), pa.array(np.bincount(of, good, len(h)).astype(np.int64))], names=["h", "n", "good"])
 
-    sums = rows.select("good", view).mapInArrow(count, "h bigint, n bigint, good bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    sums = rows.select("good", view).mapInArrow(given_back(count), "h bigint, n bigint, good bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     off = F.abs(F.col("good") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
     found = sums.filter(F.col("n") >= MIN_ROWS).withColumn("off", off).filter(F.col("off") >= DEVIATIONS).orderBy(F.desc("off"), "h").limit(MAX_FEATURES).select("h")
     return np.sort(found.toArrow().column("h").to_numpy().view(np.uint64))
@@ -216,7 +216,7 @@ def _rows(rows: DataFrame, view: str, names: np.ndarray) -> tuple[list[np.ndarra
             kept = [np.intersect1d(np.frombuffer(x.as_py(), np.uint64), names).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary())], names=["id", "good", "kept"])
 
-    got = rows.select("id", "good", view).mapInArrow(thin, "id bigint, good int, kept binary").toArrow()
+    got = rows.select("id", "good", view).mapInArrow(given_back(thin), "id bigint, good int, kept binary").toArrow()
     listed = sorted(zip(got.column("id").to_pylist(), got.column("good").to_pylist(), got.column("kept").to_pylist()))
     return [np.frombuffer(k, np.uint64) for *_, k in listed], [g for _, g, _ in listed]
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from polyad.llm.common import as_struct, bound_batches, distinct_rows, from_struct, id_back, id_of, materialize, sub_of
+from polyad.llm.common import as_struct, bound_batches, distinct_rows, from_struct, given_back, id_back, id_of, materialize, sub_of
 from polyad.operators.components import components
 from polyad.operators.numbering import numbered
 
@@ -58,7 +58,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["id", "fp"])
 
     bound_batches(df.sparkSession)
-    return df.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id bigint, fp bigint")
+    return df.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(given_back(run), "id bigint, fp bigint")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -152,7 +152,7 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
                     yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_buffer().to_pybytes(), words)).view(np.int64))], names=["t"])
 
     chosen = texts.filter(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(10_000)) < int(share * 10_000)).select("text")
-    often = chosen.mapInArrow(run, "t bigint").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(2, int(SMALL * share)))
+    often = chosen.mapInArrow(given_back(run), "t bigint").groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(2, int(SMALL * share)))
     rows = often.orderBy(F.desc("n"), "t").limit(COMMON).toArrow()
     t, n = rows.column("t").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(t)
@@ -192,7 +192,7 @@ def prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         if kept:
             yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
 
-    return texts.mapInArrow(joined, "t bigint, id bigint, n int, pos int")
+    return texts.mapInArrow(given_back(joined), "t bigint, id bigint, n int, pos int")
 
 
 def _may_be_similar(a: str, b: str, similarity: float) -> Column:
@@ -219,7 +219,7 @@ def maybe_similar_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
     a, b = (sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}")) for x in "uv")
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(given_back(run), "u bigint, v bigint")
 
 
 def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float) -> DataFrame:
@@ -235,7 +235,7 @@ def similar_pairs(pairs: DataFrame, shingled: DataFrame, similarity: float) -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     a, b = (shingled.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "uv")
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(given_back(run), "u bigint, v bigint")
 
 
 def fingerprint_pairs(texts: DataFrame, words: int, radius: int) -> DataFrame:
@@ -275,7 +275,7 @@ def verified_links(texts: DataFrame, words: int, similarity: float, radius: int
     by_shingle = Window.partitionBy("t")
     met = prefixes(texts, words, similarity).withColumn("m", F.count(F.lit(1)).over(by_shingle)).filter("m > 1")
     shared = materialize(met.withColumn("c", F.col("id")), "shingle-buckets")
-    sketched = texts.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(sketch, "id bigint, sketch binary")
+    sketched = texts.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(given_back(sketch), "id bigint, sketch binary")
     sketches = materialize(sketched, "shingle-sketches")
     links_ = spark.createDataFrame([], "u bigint, v bigint")
     checked = links_
@@ -286,7 +286,7 @@ def verified_links(texts: DataFrame, words: int, similarity: float, radius: int
         checked = checked.unionByName(near)
         near = materialize(maybe_similar_pairs(near, sketches, similarity), "shingle-candidates")
         wanted = near.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        shingled = texts.join(wanted, "id", "left_semi").mapInArrow(shingle, "id bigint, shingles binary")
+        shingled = texts.join(wanted, "id", "left_semi").mapInArrow(given_back(shingle), "id bigint, shingles binary")
         return materialize(similar_pairs(near, materialize(shingled, "shingle-sets"), similarity), "shingle-links")
 
     def met_pairs(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
