@@ -246,6 +246,59 @@ def test_blocked_pairs_ratio(spark):
     assert got == {x for x in want if x[2] >= 80} and len(got) > 3
 
 
+@pytest.mark.parametrize("block", [60, 45])
+def test_close_pairs_of_rings_of_blocks(spark, monkeypatch, block):
+    """Blocks that meet in several tasks, with names and last tokens: pairs of two strict forms need similar last tokens."""
+    monkeypatch.setattr(resolution, "BLOCK", block)
+    monkeypatch.setattr(resolution, "RARE", 8)
+    monkeypatch.setattr(resolution, "SPAN", 2)
+    r = random.Random(block)
+    ends = ["gonzalezperez", "gonzalesperez", "rojas", "rojos", "soto"]
+    names = sorted({f"{r.choice(['ana', 'eva', 'maria'])} {'comun ' if r.random() < 0.8 else ''}{''.join(r.choice('abcde') for _ in range(4))} {r.choice(ends)}" for _ in range(400)})
+    rows = [(7 * i, n, " ".join(sorted(n.split())), n.split()[-1], r.random() < 0.6) for i, n in enumerate(names)]
+    forms = spark.createDataFrame(rows, "name long, form string, by string, last string, strict boolean")
+    got = sorted(tuple(x) for x in resolution.close_pairs(forms, 10, 4, edits=False).select("a", "b", "d", "same").collect())
+    want = []
+    for i, (a, f, by, last, strict) in enumerate(rows):
+        for b, g, other, end, also in rows[i + 1 :]:
+            d, same = plain_distance(by, other, False), token_sort_ratio(last, end) >= 88
+            if d <= (len(by) + len(other)) * 10 // 100 and {t for t in f.split() if len(t) >= 4} & set(g.split()) and (same or not (strict and also)):
+                want.append((a, b, d, same))
+    assert got == sorted(want) and {x[3] for x in got} == {True, False}
+
+
+def test_few_tasks_compare_forms_of_a_common_token(spark):
+    forms = spark.range(6000).select(F.concat(F.lit("comun "), F.md5(F.col("id").cast("string"))).alias("form")).withColumn("by", F.col("form"))
+    assert resolution.close_pairs(forms, 10, 4).rdd.getNumPartitions() <= 4
+
+
+def test_components_share_tasks(spark, monkeypatch):
+    """Whatever number of tasks assigns components, clusters are those of one loop; nodes beyond 99,999 have ids of their own."""
+    r = random.Random(5)
+    names = sorted({f"{r.choice(['alberto', 'teodora', 'gabriel'])} {''.join(r.choice('aeo') for _ in range(3))}{r.choice(['espina', 'riberas', 'vallejo'])}" for _ in range(120)})
+    df = spark.createDataFrame([(n, r.choice(["person", "org", "unknown", None]), r.randint(1, 4)) for n in names] + [(names[0].upper(), "org", 9)], "surface string, type string, freq long")
+    ordered = sorted((tuple(x) for x in resolution.prepared(df).select("surface", "type", "freq", "ns").collect()), key=lambda x: (-x[2], x[0]))
+    number = resolution.numbered
+    monkeypatch.setattr(resolution, "numbered", lambda rows, name, *order: number(rows, name, *order).withColumn(name, F.col(name) + 99_990))
+    for pairs in (resolution.PAIRS, 40):
+        monkeypatch.setattr(resolution, "PAIRS", pairs)
+        assign, nodes = resolution.resolve(df)
+        got = [(x["surface"], x["node_id"]) for x in assign.collect()]
+        assert grouped(got) == grouped(one_loop(ordered)) and len(got) == len(ordered) > len(set(n for _, n in got)) > 20
+        assert {n for _, n in got} == {x["node_id"] for x in nodes.collect()} and {"N99990", "N100000"} <= {n for _, n in got}
+
+
+def test_spanning_edges(spark, monkeypatch):
+    """Edges in several lots a partition: the components stay, and edges are fewer than nodes."""
+    monkeypatch.setattr(resolution, "PAIRS", 50)
+    r = random.Random(2)
+    edges = [(r.randrange(150), r.randrange(150)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "u long, v long").coalesce(1)
+    found = resolution.spanning(df)
+    joined = lambda e: grouped([tuple(x) for x in resolution.components(e).collect()])
+    assert joined(found) == joined(df) and found.count() < len({n for e in edges for n in e})
+
+
 def test_parity_compares_by_hash(spark):
     """Null names and types, a name that looks like another's type, an article in one set only, and no comparison of structs each with each."""
     left = [("x", "Ana", "person"), ("x", "ANA", "person"), ("x", None, "person"), ("y", "a", "1:b"), ("z", "q", None)]
