@@ -3,13 +3,19 @@
 A text's digest joins stored counts. Texts without one are shuffled by digest, one of each is encoded by the tokenizer's
 own library, and the new counts are appended to the cache as Parquet, by tokenizer. Counts then join the rows by digest, so
 that texts move at most once and repeated texts are encoded once, in this run and in all later ones.
+
+Where a tokenizer file says that pieces between words are tokenized one by one, the library encodes each different piece
+once, as long as a worker remembers it, and a text has the sum over its pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Iterable, Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -20,12 +26,29 @@ from pyspark.sql.utils import AnalysisException
 from polyad.llm.common import as_struct, bound_batches, from_struct, materialize, without
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
-#: Characters with Unicode's White_Space property, but for the space.
-OTHER_BLANK = r"\x{9}-\x{D}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-#: Runs of white space that aren't one space already.
-BLANK = rf"[{OTHER_BLANK}][{OTHER_BLANK} ]*| [{OTHER_BLANK} ]+"
+#: Runs of white space (Unicode's White_Space) that aren't one space already; its first character rules out most places.
+BLANK = r"(?U)\s(?:(?<! )|(?=\s))\s*"
 #: Characters of the texts that the library encodes at a time; its encodings take some hundred times as many bytes.
 GROUP_CHARS = 1 << 16
+#: Pieces that the library encodes at a time; it takes twice as long a piece where thousands are put together.
+PIECES = 100
+#: Characters of the pieces whose counts a worker remembers; some 100 bytes each piece.
+MEMO_CHARS = 1 << 22
+#: What a tokenizer file has to say for its pieces to be taken one by one: no match of the pattern holds white space or depends
+#: on what stands around it, and nothing else sees more than a piece.
+PIECE_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: That pattern over lower-case Latin-1, which NFC leaves as it is: letters, numbers, and what is neither nor white space.
+_L, _N = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECE = re.compile(rf"[{_L}]+|[{_N}]|'(?:[stmd]|re|ve|ll)|[^\t-\r \x85\xa0{_L}{_N}]+")
 ADDED = ("n_bytes", "n_tokens", "over_limit")
 
 
@@ -48,7 +71,58 @@ def _counter(path: str):
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return lambda texts: [len(x.ids) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    with open(path, encoding="utf-8") as f:
+        return piecewise(tok, special) if (special := special_strings(json.load(f))) is not None else lambda texts: _encoded(tok, texts)
+
+
+def _encoded(tok, texts: list[str]) -> list[int]:
+    return [len(x.ids) for x in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def special_strings(rules: dict) -> list[str] | None:
+    """The strings that a tokenizer file has as tokens of their own, if it tokenizes pieces one by one; else None."""
+    model, added = rules["model"], rules.get("added_tokens") or []
+    one_by_one = all(rules.get(k) == v for k, v in PIECE_RULES.items()) and model.get("type") == "BPE" and not model.get("dropout")
+    return [x["content"] for x in added] if one_by_one and not any(x["normalized"] for x in added) else None
+
+
+def pieces_of(text: str) -> tuple[list[str], str]:
+    """The pieces of a text, and its words that have to be encoded as they are: outside Latin-1 those that aren't ASCII."""
+    rest = ""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            words = text.split(" ")
+            text, rest = " ".join(x for x in words if x.isascii()), " ".join(x for x in words if not x.isascii())
+    return PIECE.findall(text.lower()), rest
+
+
+def piecewise(tok, special: list[str]) -> Callable[[list[str]], list[int]]:
+    """Counts of texts as sums over their pieces. Texts with a special string are encoded whole, and those put together of pieces that hardly repeat."""
+    known: dict[str, int] = {}
+    held = 0
+
+    def count(texts: list[str]) -> list[int]:
+        nonlocal held
+        split = [([], x) if any(s in x for s in special) else pieces_of(x) for x in texts]
+        new = list(set().union(*(x for x, _ in split)).difference(known))
+        if held > MEMO_CHARS >> 4 and 2 * len(new) > sum(len(x) for x, _ in split):
+            return _encoded(tok, texts)  # pieces that hardly repeat aren't worth it
+        for at in range(0, len(new), PIECES):
+            part = new[at : at + PIECES]
+            n = Counter(tok.encode(" ".join(part), add_special_tokens=False).word_ids)
+            # A piece without any token would shift the numbers of those after it.
+            known.update(zip(part, [n[k] for k in range(len(part))] if n.keys() == set(range(len(part))) else _encoded(tok, part), strict=True))
+        held += sum(map(len, new))
+        rest = iter(_encoded(tok, [x for _, x in split if x]))
+        counts = [sum(map(known.__getitem__, x)) + (next(rest) if r else 0) for x, r in split]
+        if held > MEMO_CHARS:
+            known.clear()
+            held = 0
+        return counts
+
+    return count
 
 
 def normalised(text: Column, blank_runs_count: bool) -> Column:

@@ -197,6 +197,63 @@ def test_token_cache_is_used(spark, docs):
     assert spark.read.parquet(cache).count() == 2 * n
 
 
+def test_token_counts_of_pieces(monkeypatch):
+    """Sums over pieces equal the library's counts of whole texts, and the library sees each different piece once."""
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    tok, seen = Tokenizer.from_file(path), []
+
+    class Watched:
+        no_truncation = no_padding = lambda self: None
+
+        def encode(self, text, **kw):
+            seen.append(text)
+            return tok.encode(text, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            seen.extend(texts)
+            return tok.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(Tokenizer, "from_file", lambda path: Watched())
+    count = token_counts._counter.__wrapped__(path)
+    latin = [chr(i) for i in range(256)]
+    odd = ["'s", "'RE", "''ll", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>x", "a\u0301", "\u0301b", "\u0130", "\u03a3\u03a3", "\u2019s", "\ufb01", "\u4e2d\u6587", "\U0001f600", "\u2126", "\u0e01\u0e33", "\u1100\u1161", "\u2003", "\u180e", "\u200b", "\u0660", "\u2160", "\ufeff", "x", "É", " ", "  ", "\n", "9", "_", "¼", "ª"]
+    texts = ["", " "] + [a + b + c for a in latin for b in latin for c in ("", "s 7")] + ["".join(r.choice(odd + latin) for _ in range(r.randint(1, 30))) for _ in range(4000)]
+    texts += ["".join(r.choice(odd) for _ in range(r.randint(1, 30))) for _ in range(4000)] + ["y" * 70_000, "é'" * 20_000]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        assert count(part) == [len(x.ids) for x in tok.encode_batch(part, add_special_tokens=False)]
+    words = ["".join(r.choice("abcdeéè") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join(r.choice(words) for _ in range(200)) for _ in range(100)]
+    seen.clear()
+    assert count(texts) + count(texts) == 2 * [len(x.ids) for x in tok.encode_batch(texts, add_special_tokens=False)]
+    assert sum(map(len, seen)) <= 2 * sum(map(len, words))
+
+
+def test_token_counts_forget_pieces(monkeypatch):
+    """Counts stay right when a worker's memory of pieces is full again and again, and where pieces don't repeat."""
+    path, r = public_tokenizers.path("word_bpe_49k.json"), random.Random(4)
+    tok = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_counts, "MEMO_CHARS", 600)
+    count = token_counts._counter.__wrapped__(path)
+    texts = [" ".join("".join(r.choices("abcdeé", k=6)) for _ in range(20)) for _ in range(60)]
+    want = {x: len(tok.encode(x, add_special_tokens=False).ids) for x in texts}
+    sizes, known = set(), dict(zip(count.__code__.co_freevars, count.__closure__, strict=True))["known"].cell_contents
+    for x in texts:
+        assert count([x, x, x, "<|endoftext|> " + x]) == 3 * [want[x]] + [want[x] + 1]
+        sizes.add(len(known))
+    assert 0 in sizes and len(sizes) > 2
+    for x in [" ".join("".join(r.choices("fghij", k=9)) for _ in range(20)) for _ in range(20)]:
+        assert count([x]) == [len(tok.encode(x, add_special_tokens=False).ids)] and len(known) <= 200
+
+
+def test_blank_runs(spark):
+    """Runs of white space become one space, as one pattern after the other on single characters gives it."""
+    blanks, r = [" ", "\n", "\t", "\x0b", "\x85", "\xa0", "\u1680", "\u2000", "\u200a", "\u2028", "\u2029", "\u202f", "\u205f", "\u3000"], random.Random(6)
+    texts = ["".join(r.choice(blanks + ["a", "b", " ", "\x1c", "\u200b", "\u180e", "\ufeff"]) for _ in range(r.randint(0, 12))) for _ in range(3000)] + [" \n" * 300_000 + "x"]
+    got = spark.createDataFrame(list(enumerate(texts)), DOCS).select("doc_id", token_counts.normalised(F.col("text"), False).alias("t")).collect()
+    assert {x["doc_id"]: x["t"] for x in got} == {k: re.sub("[" + "".join(blanks) + "]+", " ", t).strip(" ") for k, t in enumerate(texts)}
+
+
 def brute_bytes(rows, n=100):
     seen, out = set(), {}
     for d, t in sorted(rows, key=lambda x: x[0]):
