@@ -39,6 +39,8 @@ DEVIATIONS = 4
 #: Bytes of the stems that stand for inflected words.
 STEMS = (4, 5)
 KEEP_FROM = 0.5
+#: Files at most of each bounded set; a file for each shuffle partition would hold a few rows, and the driver and executors handle every one of them.
+FEW_FILES = 16
 MEMO = 1 << 18
 META = ("lang", "source", "n_chars")
 #: Bytes of texts whose rows are sent at a time.
@@ -189,7 +191,7 @@ def _features(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     meta = [c for c in META if c in docs.columns]
     mine = docs.select(id_of("doc_id").alias("id"), "text", *meta).join(F.broadcast(wanted), F.col("id") == F.col("wanted_id"))
     rows = _map(mine, ["id", "wanted_good"], "id bigint, good int, text binary, meta binary", lambda t, m: (np.sort(hashed(text_features(t))).tobytes(), np.sort(hashed(meta_features(m))).tobytes()))
-    return materialize(rows.groupBy("id").agg(F.min(F.struct("good", "text", "meta")).alias("one")).select("id", "one.*"), "features")
+    return materialize(rows.groupBy("id").agg(F.min(F.struct("good", "text", "meta")).alias("one")).select("id", "one.*").coalesce(FEW_FILES), "features")
 
 
 def _telling(rows: DataFrame, view: str, base: float) -> np.ndarray:
@@ -265,7 +267,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, max_labelled
                 top = sure.filter(p >= CONFIDENT).orderBy(p.desc(), F.xxhash64("id"), "id").limit(enough).select(F.col("id").alias("wanted_id"), F.lit(label).alias("wanted_good"), F.lit(other == "meta").alias("for_meta"))
                 chosen = top if chosen is None else chosen.unionByName(top)
         # A document that both views chose goes by the text's label.
-        once = materialize(chosen.groupBy("wanted_id").agg(F.max_by("wanted_good", "for_meta").alias("wanted_good"), F.max("for_meta").alias("for_meta")), "pseudo")
+        once = materialize(chosen.groupBy("wanted_id").agg(F.max_by("wanted_good", "for_meta").alias("wanted_good"), F.max("for_meta").alias("for_meta")).coalesce(FEW_FILES), "pseudo")
         found = _features(docs, once.select("wanted_id", "wanted_good"))
         split = found.join(F.broadcast(once), F.col("id") == F.col("wanted_id")).select("id", "good", "text", "meta", "for_meta")
         sets["text"] = sets["text"].unionByName(split.filter(~F.col("for_meta")).drop("for_meta"))

@@ -511,6 +511,30 @@ def test_quality(spark):
     assert sum(good) >= 0.9 * len(good) and sum(bad) <= 0.5 * len(bad)
 
 
+def test_quality_writes_bounded_sets_in_few_files(spark, monkeypatch):
+    """With many shuffle partitions, which nothing puts together, bounded sets aren't dealt over as many files, and no score changes."""
+    d, wrote, plain = "/root/testdata/sf0.001", [], quality.materialize
+
+    def noted(df, tag):
+        wrote.append((tag, out := plain(df, tag)))
+        return out
+
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    expected = sorted(quality.score(docs, labels).collect())
+    monkeypatch.setattr(quality, "materialize", noted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert sorted(quality.score(docs, labels).collect()) == expected
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {tag for tag, _ in wrote} == {"labelled", "features", "confident", "pseudo"}
+    assert all(len(df.inputFiles()) <= 16 for tag, df in wrote if tag != "confident")
+
+
 def test_quality_edges(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame([(1, None, None, None, None), (1, "a", "en", "s", 1), (None, "", "en", "s", 0)], schema)
